@@ -1,0 +1,5 @@
+"""The reference reads finished files only, so there are no streaming operators.
+
+Its one incremental behaviour, skipping work that is already done, is a batch
+anti join: see ``corvane.sources.sinks.pending``.
+"""
