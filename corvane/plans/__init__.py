@@ -1,5 +1,6 @@
 """Importing this package registers every query."""
 
 from corvane.plans import (  # noqa: F401
+    cleaning,
     retrieval,
 )

@@ -24,21 +24,22 @@ def vector_rows(spark: SparkSession, sf: str) -> DataFrame:
 def queries_and_library(spark: SparkSession, sf: str):
     """Every vector is a query against the whole table; a row is never its own neighbour."""
     v = vector_rows(spark, sf)
-    q = v.select(F.col("vec_id").alias("query_id"), "vec", F.col("grp").alias("query_group"))
-    n_parts = table(spark, sf, "part").select(F.count("*")).scalar()
-    part = table(spark, sf, "part").select(
+    return (v.select(F.col("vec_id").alias("query_id"), "vec", F.col("grp").alias("query_group")),
+            v.select(F.col("vec_id").alias("lib_id"), "vec", F.col("grp").alias("lib_group")))
+
+
+def library_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Three numbers per library row, taken from the part its id wraps to."""
+    part = table(spark, sf, "part")
+    ids = table(spark, sf, "embeddings").select("vec_id").withColumn("_n", part.select(F.count("*")).scalar())
+    props = part.select(
         F.col("p_partkey").alias("_pk"),
         (F.col("p_retailprice") / 100.0).alias("price"),
         F.col("p_size").cast("double").alias("size"),
         F.length("p_name").cast("double").alias("name_len"),
     )
-    lib = (
-        v.withColumn("_n", n_parts)
-        .withColumn("_pk", F.col("vec_id") % F.col("_n"))
-        .join(part, "_pk")
-        .select(F.col("vec_id").alias("lib_id"), "vec", F.col("grp").alias("lib_group"), "price", "size", "name_len")
-    )
-    return q, lib
+    return ids.withColumn("_pk", F.col("vec_id") % F.col("_n")).join(props, "_pk").select(
+        F.col("vec_id").alias("lib_id"), "price", "size", "name_len")
 
 
 PROPS = ["price", "size", "name_len"]
@@ -63,8 +64,8 @@ def neighbours(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
     from corvane.operators.retrieval import gather, topk_cosine
 
     q, lib = queries_and_library(spark, sf)
-    hits = topk_cosine(q, lib, k, exclude_self=True)
-    return gather(hits, lib, [*PROPS, "lib_group", "vec"])
+    hits = gather(topk_cosine(q, lib, k, exclude_self=True), library_properties(spark, sf), PROPS)
+    return gather(hits, lib, ["lib_group", "vec"])
 
 
 # ---- fingerprints ----------------------------------------------------------------
@@ -82,3 +83,62 @@ bits_{out} AS (SELECT {out}, list_sort(list_distinct(list_transform(
       CASE WHEN len(w) >= 3 THEN range(1, len(w) - 1) ELSE []::bigint[] END,
       lambda i: concat('0x', substr(md5(w[i] || ' ' || w[i+1] || ' ' || w[i+2]), 1, 8))::bigint % {n_bits}))) AS b FROM tok_{out})
 """
+
+
+# ---- predictions -------------------------------------------------------------------
+# Scores come from integer arithmetic on the rows, so every engine gets the same bits. Ties occur on purpose.
+
+
+def binary_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """``(model, seed, row_id, lang, y, score, pred)``: three models by five seeds over every labelled document."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf, "labels"), "doc_id")
+    noise = (F.col("row_id") * 7919 + F.col("n_chars") * 31 + F.col("model") * 1013 + F.col("seed") * 37 * F.col("model")) % 1000
+    rows = (
+        d.select(F.col("doc_id").alias("row_id"), "lang", "n_chars", F.col("quality").alias("y"))
+        .withColumn("model", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+        .withColumn("seed", F.explode(F.array(*[F.lit(s) for s in range(42, 47)])))
+    )
+    score = (noise + F.col("y") * 200 * F.col("model")) / (F.lit(1000.0) + 200 * F.col("model"))
+    return rows.select("model", "seed", "row_id", "lang", "y", score.alias("score"), (score >= 0.5).cast("int").alias("pred"))
+
+
+BINARY_SQL = """
+binary_base AS (SELECT model, seed, doc_id AS row_id, lang, quality AS y,
+   ((doc_id * 7919 + n_chars * 31 + model * 1013 + seed * 37 * model) % 1000 + quality * 200 * model) / (1000.0::double + 200 * model) AS score
+   FROM documents JOIN labels USING (doc_id), (SELECT unnest([1, 2, 3]) AS model), (SELECT unnest(range(42, 47))::int AS seed)),
+binary_rows AS (SELECT *, (score >= 0.5)::int AS pred FROM binary_base)
+"""
+
+N_CLASSES = 10
+
+
+def multi_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """``(row_id, y, proba)`` over every embedding: ten class scores that sum to 1."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("y"))
+    raw = F.transform(
+        F.sequence(F.lit(0), F.lit(N_CLASSES - 1)),
+        lambda c: (F.col("row_id") * 37 + c * 101) % 97 + F.when(c == F.col("y"), 60).otherwise(0) + 1,
+    )
+    return e.withColumn("raw", raw).select(
+        "row_id", "y",
+        F.transform("raw", lambda x: x / F.aggregate("raw", F.lit(0).cast("bigint"), lambda a, b: a + b).cast("double")).alias("proba"))
+
+
+MULTI_SQL = f"""
+multi_raw AS (SELECT vec_id AS row_id, label AS y,
+   list_transform(range({N_CLASSES}), lambda c: (vec_id * 37 + c * 101) % 97 + CASE WHEN c = label THEN 60 ELSE 0 END + 1) AS raw FROM embeddings),
+multi_rows AS (SELECT row_id, y, list_transform(raw, lambda x: x / list_sum(raw)::double) AS proba FROM multi_raw)
+"""
+
+
+def regression_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """``(grp, row_id, y, pred)`` over every order."""
+    return table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("y"),
+        (F.col("o_totalprice") * 0.5 + (F.col("o_custkey") * 37 % 1000) * 250.0).alias("pred"))
+
+
+REG_SQL = """
+reg_rows AS (SELECT o_orderpriority AS grp, o_orderkey AS row_id, o_totalprice AS y,
+   o_totalprice * 0.5::double + (o_custkey * 37 % 1000) * 250.0::double AS pred FROM orders)
+"""

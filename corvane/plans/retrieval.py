@@ -117,9 +117,9 @@ WITH lib AS (SELECT vec_id AS lib_id, row_number() OVER (ORDER BY vec_id) - 1 AS
 n AS (SELECT count(*) AS m FROM embeddings),
 drawn AS (SELECT vec_id AS query_id, list_reduce(range(m - 20, m), lambda acc, j: list_append(acc,
    CASE WHEN list_contains(acc, concat('0x', substr(md5('7:' || vec_id || ':' || j), 1, 8))::bigint % (j + 1)) THEN j
-        ELSE concat('0x', substr(md5('7:' || vec_id || ':' || j), 1, 8))::bigint % (j + 1) END), []::bigint[]) AS at
+        ELSE concat('0x', substr(md5('7:' || vec_id || ':' || j), 1, 8))::bigint % (j + 1) END), []::bigint[]) AS pos
    FROM embeddings, n),
-long AS (SELECT query_id, unnest(range(1, 21)) AS rank, unnest(at) AS idx FROM drawn)
+long AS (SELECT query_id, unnest(range(1, 21)) AS rank, unnest(pos) AS idx FROM drawn)
 SELECT query_id, rank, lib_id FROM long JOIN lib USING (idx)
 """)
 def topk_random(spark, sf):
@@ -240,7 +240,7 @@ SELECT query_id, {profile_sql(WIDE, [10, 20])} FROM w GROUP BY query_id
 def n8(spark, sf):
     from corvane.operators.ordered import exact_quantiles
 
-    _, lib = inputs.queries_and_library(spark, sf)
+    lib = inputs.library_properties(spark, sf)
     # a property that is missing for small parts; missing values take the library median
     extra = lib.select("lib_id", F.when(F.col("size") >= 5, F.col("price") / F.col("size")).alias("price_per_size"))
     median = exact_quantiles(extra, [], "price_per_size", {"m": 0.5}).select("m").scalar()
