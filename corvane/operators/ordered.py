@@ -146,3 +146,15 @@ def with_prior_max(df: DataFrame, by: list[str], bucket: str, order: list[str],
 def scalar_columns(df: DataFrame, one_row: DataFrame, names: list[str]) -> DataFrame:
     """Adds the columns of a one-row aggregate as scalar subqueries (no join, no collect)."""
     return reduce(lambda d, n: d.withColumn(n, one_row.select(n).scalar()), names, df)
+
+
+def carry_forward(df: DataFrame, by: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Last non-null ``value`` at or before each row by ``order`` inside ``by``."""
+    keys = [*by, bucket]
+    lasts = df.groupBy(*keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*keys, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumn("_here", F.last(value, ignorenulls=True).over(inside))
+    out = _join_back(local, carried, keys)
+    return out.select(*df.columns, F.coalesce("_here", "_carried").alias(name))

@@ -2,5 +2,7 @@
 
 from corvane.plans import (  # noqa: F401
     cleaning,
+    ingest,
+    joins,
     retrieval,
 )

@@ -142,3 +142,46 @@ REG_SQL = """
 reg_rows AS (SELECT o_orderpriority AS grp, o_orderkey AS row_id, o_totalprice AS y,
    o_totalprice * 0.5::double + (o_custkey * 37 % 1000) * 250.0::double AS pred FROM orders)
 """
+
+
+# ---- a grid of configuration cells ---------------------------------------------------
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """``(dataset, emb, tree, seed, cv, test, n)``: a measured value per configuration and seed, over every order.
+
+    dataset = order priority, emb = market segment, tree = order status, seed =
+    42 + key mod 5; cv and test are mean prices of even and odd order lines in millions.
+    """
+    o = table(spark, sf, "orders").join(
+        table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    price = F.col("o_totalprice") / 1e6
+    half = F.col("o_orderkey") % 2
+    return o.groupBy(
+        F.col("o_orderpriority").alias("dataset"), F.col("c_mktsegment").alias("emb"), F.col("o_orderstatus").alias("tree"),
+        (F.lit(42) + F.col("o_orderkey") % 5).cast("int").alias("seed"),
+    ).agg(F.avg(F.when(half == 0, price)).alias("cv"), F.avg(F.when(half == 1, price)).alias("test"), F.count("*").alias("n"))
+
+
+CELL_SQL = """
+cells AS (SELECT o_orderpriority AS dataset, c_mktsegment AS emb, o_orderstatus AS tree, (42 + o_orderkey % 5)::int AS seed,
+   avg(o_totalprice / 1e6::double) FILTER (WHERE o_orderkey % 2 = 0) AS cv,
+   avg(o_totalprice / 1e6::double) FILTER (WHERE o_orderkey % 2 = 1) AS test, count(*) AS n
+   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)
+"""
+
+
+def configs(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells averaged over seeds, with a normal interval from the seed spread."""
+    g = cells(spark, sf).groupBy("dataset", "emb", "tree").agg(
+        F.avg("test").alias("test"), F.avg("cv").alias("cv"), F.stddev_samp("test").alias("sd"), F.count("test").alias("n"))
+    se = F.col("sd") / F.sqrt(F.col("n").cast("double"))
+    return g.withColumns({"method": F.concat_ws("/", "emb", "tree"), "point": F.col("test"), "se": se,
+                          "ci_lo": F.col("test") - se, "ci_hi": F.col("test") + se})
+
+
+CONFIG_SQL = CELL_SQL + """,
+configs AS (SELECT *, emb || '/' || tree AS method, test AS point, sd / sqrt(n) AS se,
+   test - sd / sqrt(n) AS ci_lo, test + sd / sqrt(n) AS ci_hi FROM
+   (SELECT dataset, emb, tree, avg(test) AS test, avg(cv) AS cv, stddev_samp(test) AS sd, count(test) AS n FROM cells GROUP BY ALL))
+"""
