@@ -4,5 +4,6 @@ from corvane.plans import (  # noqa: F401
     cleaning,
     ingest,
     joins,
+    metrics,
     retrieval,
 )
