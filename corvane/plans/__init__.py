@@ -5,5 +5,6 @@ from corvane.plans import (  # noqa: F401
     ingest,
     joins,
     metrics,
+    resampling,
     retrieval,
 )
