@@ -2,6 +2,8 @@
 
 from corvane.plans import (  # noqa: F401
     cleaning,
+    comparison,
+    functions,
     ingest,
     joins,
     metrics,
