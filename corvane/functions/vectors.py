@@ -31,7 +31,7 @@ def repair(v: Column) -> Column:
 def parse_vector(text: Column) -> Column:
     """Text to ``array<double>``; null when it has no digit, is empty or holds a bad token."""
     body = F.regexp_replace(F.trim(text), r"^\[(.*)\]$", "$1")
-    tokens = F.filter(F.transform(F.split(body, ","), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(body, ","), lambda t: F.trim(t)), lambda t: t != "")
 
     def checked(numbers: Column) -> Column:
         good = text.rlike("[0-9]") & (F.size(numbers) > 0) & ~F.exists(numbers, lambda x: x.isNull())

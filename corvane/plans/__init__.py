@@ -4,9 +4,11 @@ from corvane.plans import (  # noqa: F401
     cleaning,
     comparison,
     functions,
+    graphs,
     ingest,
     joins,
     metrics,
+    models,
     resampling,
     retrieval,
 )

@@ -27,7 +27,7 @@ def vector_text(spark, sf):
 
 
 @plan("F1_parse_vector", f"""
-WITH t AS (SELECT vec_id, list_transform(embedding::double[], lambda x: printf('%.6f', x)::double) AS v FROM embeddings)
+WITH t AS (SELECT vec_id, list_transform(embedding::double[], lambda x: round(x, 6)) AS v FROM embeddings)
 SELECT vec_id, CASE WHEN vec_id % 7 IN (0, 1) THEN len(v) WHEN vec_id % 7 IN (4, 5) THEN len(v) + 2 END::int AS dims,
   CASE WHEN vec_id % 7 IN (0, 1, 4, 5) THEN {r6('list_sum(v) + CASE WHEN vec_id % 7 = 4 THEN 1 ELSE 0 END')} END AS total FROM t
 """)
