@@ -24,16 +24,19 @@ def ngrams(words: Column, n: int = 3) -> Column:
     return F.array_distinct(let(words, runs))
 
 
-def bit_positions(grams: Column, n_bits: int = 2048) -> Column:
-    """Distinct md5-based bit positions of the n-grams."""
-    return F.array_distinct(
-        F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint") % n_bits)
-    )
+def bit_positions(grams: Column, n_bits: int = 2048, hasher: str = "xxhash64") -> Column:
+    """Distinct bit positions of the n-grams. ``md5`` gives the same bits in any engine, ``xxhash64`` is the fast choice."""
+    def spot(g: Column) -> Column:
+        if hasher == "md5":
+            return F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint") % n_bits
+        return F.pmod(F.xxhash64(g), F.lit(n_bits).cast("bigint"))
 
+    return F.array_distinct(F.transform(grams, spot))
 
-def hashed_fingerprint(text: Column, n_bits: int = 2048, n: int = 3) -> Column:
+
+def hashed_fingerprint(text: Column, n_bits: int = 2048, n: int = 3, hasher: str = "xxhash64") -> Column:
     """Packed words. Row-local: no explode and no shuffle."""
-    return pack_bits(bit_positions(ngrams(tokens(text), n), n_bits), n_bits)
+    return pack_bits(bit_positions(ngrams(tokens(text), n), n_bits, hasher), n_bits)
 
 
 def key_fingerprint(text: Column, patterns: list[str]) -> Column:

@@ -75,18 +75,24 @@ def slice_vec(v: Column, start: int, length: int) -> Column:
 
 
 def pack_bits(bits: Column, n_bits: int) -> Column:
-    """Array of bit positions to an array of ``n_bits / 64`` words."""
-    words = F.sequence(F.lit(0), F.lit(n_bits // WORD_BITS - 1))
-
-    def word(spots: Column, w: Column) -> Column:
-        here = F.filter(spots, lambda b: F.shiftright(b, 6) == w)
-        return F.aggregate(
-            here,
-            F.lit(0).cast("bigint"),
-            lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b.bitwiseAND(F.lit(WORD_BITS - 1).cast("bigint")).cast("int"))),
-        )
-
-    return let(bits, lambda spots: F.transform(words, lambda w: word(spots, w)))
+    """Array of distinct bit positions to an array of ``n_bits / 64`` words, in one pass over the sorted positions."""
+    zero = F.lit(0).cast("bigint")
+
+    def state(done: Column, at: Column, word: Column) -> Column:
+        return F.struct(done.alias("done"), at.alias("at"), word.alias("word"))
+
+    def step(acc: Column, b: Column) -> Column:
+        at = F.shiftright(b, 6).cast("int")
+        mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), b.bitwiseAND(F.lit(WORD_BITS - 1).cast("bigint")).cast("int"))
+        gap = F.array_repeat(zero, at - acc["at"] - 1)
+        return F.when(at == acc["at"], state(acc["done"], acc["at"], acc["word"].bitwiseOR(mask))).otherwise(
+            state(F.concat(acc["done"], F.array(acc["word"]), gap), at, mask))
+
+    def finish(acc: Column) -> Column:
+        return F.concat(acc["done"], F.array(acc["word"]), F.array_repeat(zero, F.lit(n_bits // WORD_BITS - 1) - acc["at"]))
+
+    start = F.expr("struct(cast(array() as array<bigint>) as done, 0 as at, 0L as word)")
+    return F.aggregate(F.sort_array(bits.cast("array<bigint>")), start, step, finish)
 
 
 def unpack_bits(words: Column) -> Column:

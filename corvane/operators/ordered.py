@@ -28,11 +28,12 @@ def with_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataFr
     cuts = [i / n for i in range(1, n)]
     value = F.col(order).cast("double")
     points = df.select(F.percentile_approx(value, cuts, max(1000, 10 * n))).scalar()
-    return (
-        df.withColumn("_cuts", F.coalesce(points, F.expr("cast(array() as array<double>)")))
-        .withColumn(BUCKET, F.size(F.filter("_cuts", lambda cut: cut < value)))
-        .drop("_cuts")
+    # how many cuts lie below the value: binary search with halving strides, log2(n) steps per row
+    strides = F.array(*[F.lit(1 << b) for b in reversed(range((n - 1).bit_length()))])
+    below = F.aggregate(
+        strides, F.lit(0), lambda at, step: F.when(F.try_element_at("_cuts", at + step) < value, at + step).otherwise(at)
     )
+    return df.withColumn("_cuts", points).withColumn(BUCKET, below).drop("_cuts")
 
 
 def _join_back(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from corvane.functions import numeric as N, vectors as V
 from corvane.functions.numeric import rounded
 from corvane.operators import cleaning as C, splits
 from corvane.plans import inputs
-from corvane.plans.registry import plan, r6, table
+from corvane.plans.registry import plan, r6, table, text_table
 
 
 def split_of(col):
@@ -24,7 +24,7 @@ DOC_SQL = f"docs AS (SELECT d.*, nullif({KEY_SQL}, '') AS key, l.quality, l.toxi
 
 
 def docs(spark, sf):
-    return (table(spark, sf, "documents").withColumn("key", C.normalise_key("text"))
+    return (text_table(spark, sf, "documents").withColumn("key", C.normalise_key("text"))
             .join(table(spark, sf, "labels"), "doc_id", "left"))
 
 
@@ -35,7 +35,7 @@ def p1(spark, sf):
 
 @plan("P2_normalise_key", f"SELECT doc_id, md5({KEY_SQL}) AS key_md5 FROM documents WHERE {KEY_SQL} <> ''")
 def p2(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", C.normalise_key("text").alias("key")).dropna()
+    d = text_table(spark, sf, "documents").select("doc_id", C.normalise_key("text").alias("key")).dropna()
     return d.select("doc_id", F.md5("key").alias("key_md5"))
 
 
@@ -56,13 +56,13 @@ SELECT md5(key) AS key_md5, count(DISTINCT source) AS n_labels, count(*) AS n_ro
 FROM docs WHERE key IS NOT NULL GROUP BY key HAVING count(DISTINCT source) > 1
 """)
 def p4(spark, sf):
-    d = table(spark, sf, "documents").select(F.md5(C.normalise_key("text")).alias("key_md5"), "source").dropna()
+    d = text_table(spark, sf, "documents").select(F.md5(C.normalise_key("text")).alias("key_md5"), "source").dropna()
     return C.label_conflicts(d, "key_md5", "source")
 
 
 @plan("P5_dedup_key", f"WITH {DOC_SQL} SELECT md5(key) AS key_md5, min(doc_id) AS doc_id FROM docs WHERE key IS NOT NULL GROUP BY key")
 def p5(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.md5(C.normalise_key("text")).alias("key_md5")).dropna()
+    d = text_table(spark, sf, "documents").select("doc_id", F.md5(C.normalise_key("text")).alias("key_md5")).dropna()
     return C.dedup_key(d, "key_md5", "doc_id")
 
 
@@ -262,7 +262,7 @@ c AS (SELECT split, count(*) AS n_raw, (SELECT count(*) FROM valid v WHERE v.spl
 SELECT split, n_raw, n_valid, n_dedup, n_raw - n_valid AS removed_valid, n_valid - n_dedup AS removed_dedup FROM c
 """)
 def a3(spark, sf):
-    raw = table(spark, sf, "documents").withColumn("split", split_of("doc_id"))
+    raw = text_table(spark, sf, "documents").withColumn("split", split_of("doc_id"))
     valid = C.valid_key(raw, "text", "[A-Za-z]{3}")
     dedup = C.dedup_first(valid.select("doc_id", "split", F.md5(C.normalise_key("text")).alias("k")), ["split", "k"], "doc_id")
     return C.audit({"raw": raw, "valid": valid, "dedup": dedup}, ["split"])

@@ -9,7 +9,7 @@ from corvane.functions.numeric import rounded
 from corvane.plans import inputs
 from corvane.plans.inputs import bits_sql
 from corvane.plans.metrics import show
-from corvane.plans.registry import plan, r6, table
+from corvane.plans.registry import plan, r6, table, text_table
 
 total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
@@ -180,7 +180,7 @@ SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?]+\s*'), lambda
 """)
 def f17(spark, sf):
     counts = T.lint_counts(F.col("text"), ["the", "and"])
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in counts.items()])
+    return text_table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in counts.items()])
 
 
 @plan("G1_hashed_fingerprint", f"""
@@ -188,8 +188,8 @@ WITH {bits_sql('documents', 'doc_id', 'b2048')}, {bits_sql('documents', 'doc_id'
 SELECT b2048 AS doc_id, len(x.b)::int AS n_2048, len(y.b)::int AS n_128, list_sum(x.b)::bigint AS sum_2048 FROM bits_b2048 x JOIN bits_b128 y ON b2048 = b128
 """)
 def g1(spark, sf):
-    d = table(spark, sf, "documents")
-    long = d.select("doc_id", FP.hashed_fingerprint(F.col("text"), 2048).alias("a"), FP.hashed_fingerprint(F.col("text"), 128).alias("b"))
+    d = text_table(spark, sf, "documents")
+    long = d.select("doc_id", FP.hashed_fingerprint(F.col("text"), 2048, hasher="md5").alias("a"), FP.hashed_fingerprint(F.col("text"), 128, hasher="md5").alias("b"))
     spots = F.aggregate(V.unpack_bits(F.col("a")), F.lit(0).cast("bigint"), lambda s, x: s + x)
     some = F.when(V.popcount(F.col("a")) > 0, spots)
     return long.select("doc_id", V.popcount(F.col("a")).alias("n_2048"), V.popcount(F.col("b")).alias("n_128"), some.alias("sum_2048"))
@@ -212,7 +212,7 @@ def g3(spark, sf):
     def flags(words):  # packed words as 0/1 entries
         return V.let(V.unpack_bits(words), lambda on: F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.array_contains(on, i).cast("int")))
 
-    d = table(spark, sf, "documents").select("doc_id", flags(FP.hashed_fingerprint(F.col("text"), 128)).alias("hashed"), FP.key_fingerprint(F.col("text"), KEYS).alias("keys"))
+    d = text_table(spark, sf, "documents").select("doc_id", flags(FP.hashed_fingerprint(F.col("text"), 128, hasher="md5")).alias("hashed"), FP.key_fingerprint(F.col("text"), KEYS).alias("keys"))
     arms = d.withColumn("both", F.concat("hashed", "keys"))
     ones = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
     return arms.select("doc_id", F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), F.size(a).alias("width"), ones(F.col(a)).alias("n_set")) for a in ("hashed", "keys", "both")])))

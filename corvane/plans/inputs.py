@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions.fingerprints import hashed_fingerprint
-from corvane.plans.registry import table
+from corvane.plans.registry import table, text_table
 
 # ---- vectors -------------------------------------------------------------------
 
@@ -72,7 +72,7 @@ def neighbours(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, sf: str, name: str, key: str, out: str, n_bits: int = 2048) -> DataFrame:
-    return table(spark, sf, name).select(F.col(key).alias(out), hashed_fingerprint(F.col("text"), n_bits).alias("fp"))
+    return text_table(spark, sf, name).select(F.col(key).alias(out), hashed_fingerprint(F.col("text"), n_bits, hasher="md5").alias("fp"))
 
 
 def bits_sql(source: str, key: str, out: str, n_bits: int = 2048) -> str:

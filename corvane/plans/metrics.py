@@ -9,7 +9,7 @@ from corvane.functions.text import first_label
 from corvane.operators import cleaning as C, metrics as M
 from corvane.plans import inputs
 from corvane.plans.inputs import BINARY_SQL, MULTI_SQL, REG_SQL
-from corvane.plans.registry import plan, r6, table
+from corvane.plans.registry import plan, r6, table, text_table
 
 
 def show(df, keys, ints=()):
@@ -175,7 +175,7 @@ lang_pred AS (SELECT source, y, CASE w WHEN 'the' THEN 'en' WHEN 'der' THEN 'de'
 def lang_pred(spark, sf):
     word = first_label(F.col("text"), [" the ", " der ", " les "])
     named = F.when(word == " the ", "en").when(word == " der ", "de").when(word == " les ", "fr").otherwise(word)
-    return table(spark, sf, "documents").select("source", F.col("lang").alias("y"), named.alias("pred"))
+    return text_table(spark, sf, "documents").select("source", F.col("lang").alias("y"), named.alias("pred"))
 
 
 @plan("A17_metrics_valid", f"""

@@ -49,6 +49,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose per-row work is heavy.
+
+    A table of many files already has more input partitions than cores and is
+    read as it is; only one with fewer partitions than cores is spread out.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def r6(expr: str, digits: int = 6) -> str:
     """SQL counterpart of ``functions.numeric.rounded``."""
     return f"(round(({expr})::double, {digits}) + 0.0)"
