@@ -149,13 +149,14 @@ def scalar_columns(df: DataFrame, one_row: DataFrame, names: list[str]) -> DataF
     return reduce(lambda d, n: d.withColumn(n, one_row.select(n).scalar()), names, df)
 
 
-def carry_forward(df: DataFrame, by: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
-    """Last non-null ``value`` at or before each row by ``order`` inside ``by``."""
+def carry_forward(df: DataFrame, by: list[str], bucket: str, order: list[str], values: dict[str, str]) -> DataFrame:
+    """Last non-null value at or before each row by ``order`` inside ``by``, for each ``{value column: new name}``."""
     keys = [*by, bucket]
-    lasts = df.groupBy(*keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    lasts = df.groupBy(*keys).agg(*[
+        F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_last_{n}") for v, n in values.items()])
     earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select(*keys, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    carried = lasts.select(*keys, *[F.last(f"_last_{n}", ignorenulls=True).over(earlier).alias(f"_carried_{n}") for n in values.values()])
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn("_here", F.last(value, ignorenulls=True).over(inside))
+    local = df.select("*", *[F.last(v, ignorenulls=True).over(inside).alias(f"_here_{n}") for v, n in values.items()])
     out = _join_back(local, carried, keys)
-    return out.select(*df.columns, F.coalesce("_here", "_carried").alias(name))
+    return out.select(*df.columns, *[F.coalesce(f"_here_{n}", f"_carried_{n}").alias(n) for n in values.values()])

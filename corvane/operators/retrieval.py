@@ -29,6 +29,7 @@ from corvane.operators.ordered import dense_index
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 TILE_ROWS = 32_768
+TILE_BYTES = 128 * 1024 * 1024  # one side of one tile
 SCORE_CELLS = 4_000_000  # scores held at once inside a task
 
 
@@ -163,12 +164,21 @@ def _read(table, id_col: str, cols: list[str]):
     return ids, out
 
 
-def _small_enough(df: DataFrame, cols: list[str], limit_bytes: int) -> bool:
-    """Measures a side without reading more of it than the bound allows."""
+def _measure(df: DataFrame, cols: list[str], limit_bytes: int) -> tuple[bool, int]:
+    """Whether a side is known to be within ``limit_bytes``, and the bytes of one row.
+
+    ``take`` stops as soon as it has seen one row too many, so a huge side costs
+    a few input partitions, and only row widths travel, never vectors.
+    """
     width = sum((F.size(c) for c in cols[1:]), F.size(cols[0]))
-    # one row carries at least one 8-byte number, so this many rows settle the question
-    probe = df.limit(limit_bytes // 64 + 1).agg(F.count("*").alias("n"), F.sum(width * 8).alias("b")).first()
-    return probe["n"] <= limit_bytes // 64 and (probe["b"] or 0) <= limit_bytes
+    widths = df.select((width * 8).alias("w"))
+    first = widths.take(1)
+    if not first:
+        return True, 8
+    row = max(8, first[0]["w"])
+    most = limit_bytes // row + 1
+    seen = widths.take(most)
+    return len(seen) < most and sum(r["w"] for r in seen) <= limit_bytes, row
 
 
 def _meet(queries: DataFrame, library: DataFrame, q_cols, l_cols, make, limit_bytes: int, tile_rows: int) -> DataFrame:
@@ -178,7 +188,8 @@ def _meet(queries: DataFrame, library: DataFrame, q_cols, l_cols, make, limit_by
     lib = library.select("lib_id", *l_cols)
     schema = make().schema
 
-    if _small_enough(lib, l_cols, limit_bytes):
+    small, row_bytes = _measure(lib, l_cols, limit_bytes)
+    if small:
         held = spark.sparkContext.broadcast(_read(lib.toArrow(), "lib_id", l_cols))
 
         def past_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +203,8 @@ def _meet(queries: DataFrame, library: DataFrame, q_cols, l_cols, make, limit_by
 
         return q.mapInArrow(past_library, schema)
 
-    if _small_enough(q, q_cols, limit_bytes):
+    small, _ = _measure(q, q_cols, limit_bytes)
+    if small:
         held = spark.sparkContext.broadcast(_read(q.toArrow(), "query_id", q_cols))
 
         def past_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +217,7 @@ def _meet(queries: DataFrame, library: DataFrame, q_cols, l_cols, make, limit_by
 
         return lib.mapInArrow(past_queries, schema)
 
+    tile_rows = max(1, min(tile_rows, TILE_BYTES // row_bytes))
     q_tiles = max(1, math.ceil(q.count() / tile_rows))
     l_tiles = max(1, math.ceil(lib.count() / tile_rows))
 

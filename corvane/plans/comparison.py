@@ -206,7 +206,7 @@ SELECT user_id, event_id, last_value(CASE WHEN event_type = 'signup' THEN event_
 """)
 def w10(spark, sf):
     e = table(spark, sf, "events").withColumns({"day": F.to_date("ts"), "mark": F.when(F.col("event_type") == "signup", F.col("event_id"))})
-    return O.carry_forward(e, ["user_id"], "day", ["ts", "event_id"], "mark", "section").select("user_id", "event_id", "section")
+    return O.carry_forward(e, ["user_id"], "day", ["ts", "event_id"], {"mark": "section"}).select("user_id", "event_id", "section")
 
 
 @plan("W11_digitize", """

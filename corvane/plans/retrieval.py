@@ -10,6 +10,7 @@ from corvane.operators import context, retrieval
 from corvane.plans import inputs
 from corvane.plans.inputs import PROPS, VEC_SQL, bits_sql
 from corvane.plans.registry import plan, r6, table
+from corvane.session import cut_lineage
 
 
 def _round_all(df, keys):
@@ -280,8 +281,9 @@ SELECT e.lang, e.n, {r6('e.median')} AS median, {r6('e.mean')} AS mean, {r6('e.g
 FROM everything e LEFT JOIN test_only t USING (lang)
 """)
 def n10(spark, sf):
-    cov = retrieval.coverage(*_doc_bench(spark, sf)).join(
-        table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "lang"), "query_id")
+    # the per-row coverage is read several times below, so it is written once
+    cov = cut_lineage(retrieval.coverage(*_doc_bench(spark, sf)).join(
+        table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "lang"), "query_id"))
     everything = context.coverage_table(cov, "lang")
     test = context.coverage_table(cov.where(F.col("query_id") % 10 == 9), "lang")  # the test split of the table
     t = test.select("lang", F.col("n").alias("n_test"), F.col("median").alias("median_test"), F.col("mean").alias("mean_test"))

@@ -22,8 +22,7 @@ def extract_text_tables(lines: DataFrame, label_re: str, header_re: str, row_re:
         .withColumn("_label", F.when(F.col("line").rlike(label_re), F.regexp_extract("line", label_re, 1)))
         .withColumn("_header", F.when(F.col("line").rlike(header_re), F.col("line")))
     )
-    tagged = carry_forward(tagged, ["doc"], "_bucket_no", ["line_no"], "_label", "label")
-    tagged = carry_forward(tagged, ["doc"], "_bucket_no", ["line_no"], "_header", "header")
+    tagged = carry_forward(tagged, ["doc"], "_bucket_no", ["line_no"], {"_label": "label", "_header": "header"})
     rows = tagged.where(F.col("_label").isNull() & F.col("_header").isNull() & F.col("line").rlike(row_re)
                         & F.col("header").isNotNull() & F.col("label").isNotNull())
 

@@ -88,6 +88,10 @@ def main() -> int:
             print(f"{'FAIL' if problems else 'ok  '} {name:32s} rows={n:<8d} spark={ts:.2f}s sql={td:.2f}s {'' if name in sqls else '(rows only)'}")
             for p in problems:
                 print("      ", p[:900])
+            text = df._jdf.queryExecution().executedPlan().toString()
+            for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+                if bad in text:
+                    print("       note: plan has", bad)
         except Exception as e:  # noqa: BLE001
             problems = [str(e)]
             print(f"FAIL {name:32s} {type(e).__name__}: {str(e)[:900]}")

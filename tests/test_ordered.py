@@ -58,5 +58,5 @@ def test_event_order_operators_cross_bucket_edges(spark):
     assert [r["n"] for r in nxt] == [2, 3, 4, 5, 6, None]
     prior = O.with_prior_max(df, ["u"], "day", ["i"], "v", "p").orderBy("i").collect()
     assert [r["p"] for r in prior] == [None, 5, 5, 9, 9, 9]
-    carried = O.carry_forward(df, ["u"], "day", ["i"], "m", "c").orderBy("i").collect()
+    carried = O.carry_forward(df, ["u"], "day", ["i"], {"m": "c"}).orderBy("i").collect()
     assert [r["c"] for r in carried] == [None, 7, 7, 7, 8, 8]
