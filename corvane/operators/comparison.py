@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.operators import ordered as O
 from corvane.operators.joins import pair_arms
+from corvane.session import cut_lineage
 
 
 # ---- summaries -----------------------------------------------------------------------
@@ -108,7 +109,7 @@ def gain_by_bin(df: DataFrame, coverage: str, row_id: str, n_draws: int = 2_000,
     """Mean gain with a bootstrap interval per coverage tercile."""
     from corvane.operators.resampling import bootstrap_mean
 
-    binned = digitize(df, coverage, [1 / 3, 2 / 3])
+    binned = cut_lineage(digitize(df, coverage, [1 / 3, 2 / 3]))
     spans = binned.groupBy("bin").agg(F.min(coverage).alias("lo"), F.max(coverage).alias("hi"))
     return bootstrap_mean(binned, "gain", row_id, "bin", n_draws, seed).join(spans, "bin")
 
@@ -196,8 +197,8 @@ def new_best(df: DataFrame, by: list[str], bucket: str, order: list[str], value:
 def block_durations(log: DataFrame, by: list[str], ts: str, order: str, label: str) -> DataFrame:
     """Seconds from each marker to the next one; the last block of a log runs to the log's last timestamp."""
     stamped = log.where(F.col(ts).isNotNull())
-    marks = stamped.where("is_marker").withColumn("_day", F.to_date(ts))
-    nxt = O.with_next(marks, by, "_day", [ts, order], ts, "_next")
+    marks = O.time_bucket(stamped.where("is_marker"), ts)
+    nxt = O.with_next(marks, by, "_bucket", [ts, order], ts, "_next")
     ends = stamped.groupBy(*by).agg(F.max(ts).alias("_end"))
     seconds = (F.unix_micros(F.coalesce("_next", "_end").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6
     return nxt.join(ends, by).select(*by, order, label, ts, seconds.alias("seconds"))

@@ -112,11 +112,10 @@ def overlap_counts(ci: DataFrame, by: list[str], lo: str = "ci_lo", hi: str = "c
     ends = ci.select(*by, F.col(lo).alias("_v"), F.lit(1).alias("is_lo"), F.lit(0).alias("is_hi")).unionByName(
         ci.select(*by, F.col(hi).alias("_v"), F.lit(0).alias("is_lo"), F.lit(1).alias("is_hi")))
     at = ends.groupBy(*by, "_v").agg(F.sum("is_lo").alias("n_lo"), F.sum("is_hi").alias("n_hi"))
-    cum = prefix_sums(at, by, "_v", {"c_lo": F.col("n_lo"), "c_hi": F.col("n_hi")})
-    below = cum.select(*by, F.col("_v").alias(lo), (F.col("c_hi") - F.col("n_hi")).alias("n_below"))
+    cum = prefix_sums(at, by, "_v", {"c_lo": F.col("n_lo"), "c_hi": F.col("n_hi")}, {"_n": "c_lo"})
+    below = cum.select(*by, F.col("_v").alias(lo), (F.col("c_hi") - F.col("n_hi")).alias("n_below"), "_n")
     not_above = cum.select(*by, F.col("_v").alias(hi), F.col("c_lo").alias("_le"))
-    size = ci.groupBy(*by).agg(F.count("*").alias("_n"))
-    out = ci.join(below, [*by, lo]).join(not_above, [*by, hi]).join(size, by)
+    out = ci.join(below, [*by, lo]).join(not_above, [*by, hi])
     above = F.col("_n") - F.col("_le")
     return out.select(*ci.columns, "n_below", above.alias("n_above"),
                       (F.col("_n") - 1 - F.col("n_below") - above).alias("n_overlap"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions.numeric import log_softmax
 from corvane.operators.ordered import average_ranks, exact_quantiles, prefix_sums, with_bucket, with_next  # noqa: F401
+from corvane.session import cut_lineage
 
 
 # ---- classification ---------------------------------------------------------------
@@ -39,18 +40,18 @@ def class_metrics_from(conf: DataFrame, by: list[str]) -> DataFrame:
     tp, t, p = F.col("tp"), F.col("t"), F.col("p")
     agg = per.groupBy(*by).agg(
         F.sum("tp").alias("c_"), F.sum("t").alias("s_"),
-        F.sum(p * t).alias("pt"), F.sum(p * p).alias("pp"), F.sum(t * t).alias("tt"),
+        F.count_if(t > 0).alias("n_classes"), F.sum(p * t).alias("pt"), F.sum(p * p).alias("pp"), F.sum(t * t).alias("tt"),
         F.avg(ratio(tp, p)).alias("precision"), F.avg(ratio(tp, t)).alias("recall"), F.avg(ratio(2 * tp, t + p)).alias("f1_macro"))
     s = F.col("s_")
     root = F.sqrt((s * s - F.col("pp")) * (s * s - F.col("tt")))
     mcc = F.when(root > 0, (F.col("c_") * s - F.col("pt")) / root).otherwise(0.0)
     acc = F.col("c_") / s
     return agg.select(*by, s.cast("bigint").alias("n"), acc.alias("accuracy"), "precision", "recall", "f1_macro",
-                      acc.alias("f1_micro"), mcc.alias("mcc"))
+                      acc.alias("f1_micro"), mcc.alias("mcc"), "n_classes")
 
 
 def class_metrics(pred: DataFrame, by: list[str]) -> DataFrame:
-    return class_metrics_from(confusion(pred, by), by)
+    return class_metrics_from(confusion(pred, by), by).drop("n_classes")
 
 
 def mcc(pred: DataFrame, by: list[str]) -> DataFrame:
@@ -100,20 +101,10 @@ def auc_ovr(pred: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _falling(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Cumulative true and false positives when the threshold falls through the distinct scores."""
+    """Cumulative true and false positives when the threshold falls through the distinct scores, with class totals."""
     down = counts.withColumn("_down", -F.col("score"))
-    return prefix_sums(down, by, "_down", {"tp": F.col("n_pos"), "fp": F.col("n_neg")}).drop("_down")
-
-
-def _class_totals(counts: DataFrame, by: list[str]) -> DataFrame:
-    return counts.groupBy(*by).agg(F.sum("n_pos").cast("double").alias("_p"), F.sum("n_neg").cast("double").alias("_n"))
-
-
-def _with_totals(frame: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
-    totals = _class_totals(counts, by)
-    if by:
-        return frame.join(totals, by)
-    return frame.withColumns({c: totals.select(c).scalar() for c in ("_p", "_n")})
+    cum = prefix_sums(down, by, "_down", {"tp": F.col("n_pos"), "fp": F.col("n_neg")}, {"_p": "tp", "_n": "fp"})
+    return cum.drop("_down").withColumns({c: F.col(c).cast("double") for c in ("_p", "_n")})
 
 
 def average_precision(pred: DataFrame, by: list[str]) -> DataFrame:
@@ -127,14 +118,14 @@ def average_precision(pred: DataFrame, by: list[str]) -> DataFrame:
 
 def roc_points(pred: DataFrame, by: list[str]) -> DataFrame:
     counts = score_counts(pred, by)
-    return _with_totals(_falling(counts, by), counts, by).select(
+    return _falling(counts, by).select(
         *by, F.col("score").alias("threshold"), (F.col("fp") / F.col("_n")).alias("fpr"), (F.col("tp") / F.col("_p")).alias("tpr"))
 
 
 def pr_points(pred: DataFrame, by: list[str]) -> DataFrame:
     """Precision and recall per threshold, with the share of positives as the no-skill baseline."""
     counts = score_counts(pred, by)
-    return _with_totals(_falling(counts, by), counts, by).select(
+    return _falling(counts, by).select(
         *by, F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         (F.col("tp") / F.col("_p")).alias("recall"), (F.col("_p") / (F.col("_p") + F.col("_n"))).alias("baseline"))
 
@@ -181,6 +172,7 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str], weight: str | None =
     """Rank correlation with average ranks. Equal (a, b) pairs are added up before anything is ranked or joined."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).agg(
         (F.sum(weight) if weight else F.count("*")).alias("_w"))
+    pairs = cut_lineage(pairs)  # read by both rankings and by the final join: written once, not derived seven times
     ra = average_ranks(pairs, by, "_a", name="_ra")
     rb = average_ranks(pairs, by, "_b", name="_rb")
     j = pairs.join(ra, [*by, "_a"]).join(rb, [*by, "_b"])

@@ -45,39 +45,51 @@ def prefix_sums(
     by: list[str],
     order: str,
     values: dict[str, Column],
+    totals: dict[str, str] | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """Inclusive prefix sums of ``values`` inside each ``by`` group, in rising ``order``.
 
-    ``order`` must be unique inside a group (aggregate ties first).
+    ``order`` must be unique inside a group (aggregate ties first). ``totals``
+    maps a new column to one of the values and adds that value's group total; it
+    comes with the per-bucket table, so no join on the bare group key is needed.
     """
     keyed = with_bucket(df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()]), order, buckets)
-    keys = [*by, BUCKET]
-    totals = keyed.groupBy(*keys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
-    before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_c_{k}") for k in values])
+    keys, totals = [*by, BUCKET], totals or {}
+    sums = keyed.groupBy(*keys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(
+        *keys,
+        *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_c_{k}") for k in values],
+        *[F.sum(f"_t_{k}").over(whole).alias(name) for name, k in totals.items()],
+    )
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = keyed.select("*", *[F.sum(f"_v_{k}").over(inside).alias(f"_l_{k}") for k in values])
     out = _join_back(local, carried, keys)
-    return out.select(*df.columns, *[(F.col(f"_l_{k}") + F.col(f"_c_{k}")).alias(k) for k in values])
+    return out.select(*df.columns, *[(F.col(f"_l_{k}") + F.col(f"_c_{k}")).alias(k) for k in values], *totals)
 
 
 def dense_index(
-    df: DataFrame, by: list[str], order: str, tie: str | None = None, name: str = "idx", buckets: int | None = None
+    df: DataFrame, by: list[str], order: str, tie: str | None = None, name: str = "idx", total: str | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """0-based position of each row inside its ``by`` group, in rising ``(order, tie)``.
 
     Equals ``row_number() - 1`` but without one task per group. ``order`` is
-    numeric and drives the buckets; ``tie`` settles equal values.
+    numeric and drives the buckets; ``tie`` settles equal values; ``total`` names
+    an extra column with the group's size.
     """
     keyed = with_bucket(df, order, buckets)
     keys = [*by, BUCKET]
-    totals = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"))
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"), F.sum("_n").over(whole).alias("_all"))
     inside = Window.partitionBy(*keys).orderBy(*[c for c in (order, tie) if c])
     local = keyed.withColumn("_r", F.row_number().over(inside))
-    return _join_back(local, carried, keys).select(*df.columns, (F.col("_r") - 1 + F.col("_c")).alias(name))
+    extra = [F.col("_all").alias(total)] if total else []
+    return _join_back(local, carried, keys).select(*df.columns, (F.col("_r") - 1 + F.col("_c")).alias(name), *extra)
 
 
 def exact_quantiles(
@@ -94,11 +106,7 @@ def exact_quantiles(
         .groupBy(*by, value.alias("_v"))
         .agg(F.count("*").alias("_c"))
     )
-    ranked = prefix_sums(counts, by, "_v", {"_cum": F.col("_c")}, buckets)
-    if by:
-        ranked = ranked.join(counts.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
-    else:
-        ranked = ranked.withColumn("_n", counts.select(F.sum("_c")).scalar())
+    ranked = prefix_sums(counts, by, "_v", {"_cum": F.col("_c")}, {"_n": "_cum"}, buckets)
     picks = []
     for name, q in qs.items():
         spot = (F.col("_n") - 1) * F.lit(float(q))
@@ -122,8 +130,14 @@ def average_ranks(df: DataFrame, by: list[str], col: str, weight: str = "_w", na
     return ranked.select(*by, col, (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(name))
 
 
+def time_bucket(df: DataFrame, ts: str, name: str = "_bucket", buckets: int | None = None) -> DataFrame:
+    """Adds an equi-depth bucket of a timestamp, so a busy hour is cut as finely as a quiet month."""
+    cut = with_bucket(df.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))), "_micros", buckets)
+    return cut.drop("_micros").withColumnRenamed(BUCKET, name)
+
+
 def with_next(df: DataFrame, by: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
-    """``lead(value)`` by ``order`` inside ``by``; ``bucket`` is a coarse monotone part of the order (a day)."""
+    """``lead(value)`` by ``order`` inside ``by``; ``bucket`` is a coarse monotone part of the order (see ``time_bucket``)."""
     keys = [*by, bucket]
     heads = df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias("_head"))
     after = heads.select(*keys, F.lead("_head").over(Window.partitionBy(*by).orderBy(bucket)).alias("_after"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corvane.functions.hashing import md5_mod
 from corvane.operators import metrics as M
 from corvane.operators.ordered import average_ranks, dense_index
+from corvane.session import cut_lineage
 
 Z_95 = 1.959963984540054  # fixed value: 97.5 % point of the normal distribution
 
@@ -22,12 +23,11 @@ def draws(rows: DataFrame, row_id: str, n_draws: int, seed: int = 42, strata: st
     """``(draw, row_id, times)``: each draw has as many rows as the table, per stratum, with replacement."""
     s = F.col(strata).cast("string") if strata else F.lit("all")
     base = rows.select(F.col(row_id).alias(row_id), s.alias("stratum"))
-    placed = dense_index(base, ["stratum"], row_id, name="idx")
-    sizes = base.groupBy("stratum").agg(F.count("*").alias("_n"))
-    slots = placed.join(sizes, "stratum").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    placed = dense_index(base, ["stratum"], row_id, name="idx", total="_n")
+    slots = placed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     drawn = slots.select("draw", "stratum", md5_mod(F.col("_n"), F.lit(seed), F.col("draw"), F.col("stratum"), F.col("idx")).alias("idx"))
     counted = drawn.groupBy("stratum", "idx", "draw").agg(F.count("*").alias("times"))
-    return counted.join(placed, ["stratum", "idx"]).select("draw", row_id, "times")
+    return counted.join(placed.drop("_n"), ["stratum", "idx"]).select("draw", row_id, "times")
 
 
 def _one_per_row(pred: DataFrame, row_id: str, y: str = "y") -> DataFrame:
@@ -43,10 +43,9 @@ def class_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int, stratif
     ids = _one_per_row(pred, row_id)
     d = draws(ids, row_id, n_draws, seed, "y" if stratified else None)
     conf = M.confusion(pred.join(d, row_id), [*by, "draw"], weight="times")
-    classes = conf.groupBy(*by, "draw").agg(F.count_distinct("y").alias("_k"))
     all_classes = ids.select(F.count_distinct("y")).scalar()
-    full = classes.withColumn("_all", all_classes).where("_k = _all").select(*by, "draw")
-    return M.class_metrics_from(conf, [*by, "draw"]).join(full, [*by, "draw"])
+    per = M.class_metrics_from(conf, [*by, "draw"]).withColumn("_all", all_classes)
+    return per.where("n_classes = _all").drop("n_classes", "_all")
 
 
 def _long(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -142,6 +141,7 @@ def ci_flags(df: DataFrame, lo: str = "ci_lo", hi: str = "ci_hi") -> DataFrame:
 
 def bootstrap_corr(df: DataFrame, a: str, b: str, row_id: str, n_draws: int = 2_000, seed: int = 0) -> DataFrame:
     """Interval of the rank correlation of two columns; draws without spread are skipped."""
+    df = cut_lineage(df.select(row_id, a, b))
     d = df.join(draws(df, row_id, n_draws, seed), row_id)
     per = M.spearman(d, a, b, ["draw"], weight="times")
     out = per.agg(F.percentile("rho", F.lit(0.025)).alias("ci_lo"), F.percentile("rho", F.lit(0.975)).alias("ci_hi"), F.count("rho").alias("n_draws"))
@@ -151,6 +151,7 @@ def bootstrap_corr(df: DataFrame, a: str, b: str, row_id: str, n_draws: int = 2_
 def bootstrap_mean(df: DataFrame, value: str, row_id: str, by: str | None = None, n_draws: int = 2_000, seed: int = 0) -> DataFrame:
     """Interval of a mean, per group when ``by`` is given (each group is resampled by itself)."""
     keys = [by] if by else []
+    df = cut_lineage(df.select(row_id, *keys, value))
     d = df.join(draws(df, row_id, n_draws, seed, by), row_id)
     per = d.groupBy(*keys, "draw").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
     ci = per.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_lo"), F.percentile("m", F.lit(0.975)).alias("ci_hi"))

@@ -187,8 +187,8 @@ SELECT event_type, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY
 WHERE prior IS NULL OR value > prior
 """)
 def w8(spark, sf):
-    e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    return X.new_best(e, ["event_type"], "day", ["ts", "event_id"], "value").select("event_type", "event_id", "value")
+    e = O.time_bucket(table(spark, sf, "events"), "ts")
+    return X.new_best(e, ["event_type"], "_bucket", ["ts", "event_id"], "value").select("event_type", "event_id", "value")
 
 
 @plan("W9_block_durations", f"""
@@ -205,8 +205,8 @@ def w9(spark, sf):
 SELECT user_id, event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM events
 """)
 def w10(spark, sf):
-    e = table(spark, sf, "events").withColumns({"day": F.to_date("ts"), "mark": F.when(F.col("event_type") == "signup", F.col("event_id"))})
-    return O.carry_forward(e, ["user_id"], "day", ["ts", "event_id"], {"mark": "section"}).select("user_id", "event_id", "section")
+    e = O.time_bucket(table(spark, sf, "events"), "ts").withColumn("mark", F.when(F.col("event_type") == "signup", F.col("event_id")))
+    return O.carry_forward(e, ["user_id"], "_bucket", ["ts", "event_id"], {"mark": "section"}).select("user_id", "event_id", "section")
 
 
 @plan("W11_digitize", """
