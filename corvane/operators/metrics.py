@@ -142,9 +142,11 @@ def macro_roc(pred: DataFrame, grid: int = 200) -> DataFrame:
     A curve point covers the grid values up to the next point, so each one emits
     its own grid values; the grid never joins the curve.
     """
-    points = roc_points(one_vs_rest(pred, []), ["cls"]).select("cls", "fpr", "tpr")
-    start = points.select("cls").distinct().select("cls", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    rows = one_vs_rest(pred, [])
+    points = roc_points(rows, ["cls"]).select("cls", "fpr", "tpr")
+    start = rows.select("cls").distinct().select("cls", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     steps = points.unionByName(start).groupBy("cls", "fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi"))
+    steps = cut_lineage(steps)  # read for bucket bounds, bucket heads and segments
     cut = with_bucket(steps, "fpr").withColumn("_pt", F.struct("fpr", "lo"))
     nxt = with_next(cut, ["cls"], "_bucket", ["fpr"], "_pt", "nxt")
     last = float(grid - 1)

@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.functions import vectors as V
 from corvane.functions.hashing import md5_mod
 from corvane.operators.ordered import dense_index
 
@@ -31,25 +30,36 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 TILE_ROWS = 32_768
 TILE_BYTES = 128 * 1024 * 1024  # one side of one tile
 SCORE_CELLS = 4_000_000  # scores held at once inside a task
+LIBRARY_STEP = 8_192  # library rows scored at once inside a task
 
 
 # ---- scoring of two blocks --------------------------------------------------
 
 
-def _cosine_block(q: dict, lib: dict) -> np.ndarray:
-    return q["vec"] @ lib["vec"].T
+def _ready(block: dict) -> dict:
+    """Unit vectors and unpacked bits of a block of rows."""
+    out = dict(block)
+    if "vec" in block:
+        v = block["vec"].astype(np.float64)
+        out["vec"] = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
+    if "fp" in block:
+        raw = np.ascontiguousarray(block["fp"].astype(np.int64)).view(np.uint8)
+        out["fp"] = np.unpackbits(raw, axis=1).astype(np.float32)
+        out["on"] = out["fp"].sum(1, dtype=np.float64)
+    return out
+
+
+def _rows(block: dict, part) -> dict:
+    return {c: m[part] for c, m in block.items()}
 
 
-def _bits(words: np.ndarray) -> np.ndarray:
-    raw = np.ascontiguousarray(words.astype(np.int64)).view(np.uint8)
-    return np.unpackbits(raw, axis=1).astype(np.float32)
+def _cosine_block(q: dict, lib: dict) -> np.ndarray:
+    return q["vec"] @ lib["vec"].T
 
 
 def _tanimoto_block(q: dict, lib: dict) -> np.ndarray:
-    a, b = _bits(q["fp"]), _bits(lib["fp"])
-    both = (a @ b.T).astype(np.float64)
-    either = a.sum(1, dtype=np.float64)[:, None] + b.sum(1, dtype=np.float64)[None, :] - both
-    return both / np.maximum(either, 1.0)
+    both = (q["fp"] @ lib["fp"].T).astype(np.float64)
+    return both / np.maximum(q["on"][:, None] + lib["on"][None, :] - both, 1.0)
 
 
 def _hybrid_block(q: dict, lib: dict) -> np.ndarray:
@@ -59,6 +69,18 @@ def _hybrid_block(q: dict, lib: dict) -> np.ndarray:
     return z_cos + z_tan
 
 
+def _pieces(q_ids: np.ndarray, q: dict, l_ids: np.ndarray, lib: dict):
+    """Both sides in pieces small enough to score: the library by id, then the queries."""
+    by_id = np.argsort(l_ids, kind="stable")
+    for b in range(0, len(l_ids), LIBRARY_STEP):
+        here = by_id[b:b + LIBRARY_STEP]
+        ids, ready = l_ids[here], _ready(_rows(lib, here))
+        step = max(1, SCORE_CELLS // len(ids))
+        for a in range(0, len(q_ids), step):
+            part = slice(a, a + step)
+            yield part, _ready(_rows(q, part)), ids, ready
+
+
 # ---- per-task accumulators --------------------------------------------------
 
 
@@ -74,15 +96,11 @@ class _Best:
         if self.scores is None:
             self.scores = np.full((len(q_ids), self.k), -np.inf)
             self.ids = np.full((len(q_ids), self.k), np.iinfo(np.int64).max)
-        by_id = np.argsort(l_ids, kind="stable")
-        l_ids, lib = l_ids[by_id], {c: m[by_id] for c, m in lib.items()}
-        step = max(1, SCORE_CELLS // max(1, len(l_ids)))
-        for a in range(0, len(q_ids), step):
-            part = slice(a, a + step)
-            s = self.score({c: m[part] for c, m in q.items()}, lib)
+        for part, q_part, ids, lib_part in _pieces(q_ids, q, l_ids, lib):
+            s = self.score(q_part, lib_part)
             if self.exclude_self:
-                s = np.where(q_ids[part][:, None] == l_ids[None, :], -np.inf, s)
-            new_s, new_i = self._top(s, l_ids)
+                s = np.where(q_ids[part][:, None] == ids[None, :], -np.inf, s)
+            new_s, new_i = self._top(s, ids)
             all_s = np.hstack([self.scores[part], new_s])
             all_i = np.hstack([self.ids[part], new_i])
             order = np.lexsort((all_i, -all_s), axis=1)[:, : self.k]
@@ -126,14 +144,11 @@ class _Moments:
     def absorb(self, q_ids, q, l_ids, lib) -> None:
         if self.acc is None:
             self.acc = np.zeros((len(q_ids), 5))
-        step = max(1, SCORE_CELLS // max(1, len(l_ids)))
-        for a in range(0, len(q_ids), step):
-            part = slice(a, a + step)
-            block = {c: m[part] for c, m in q.items()}
-            use = np.ones((len(q_ids[part]), len(l_ids)))
+        for part, q_part, ids, lib_part in _pieces(q_ids, q, l_ids, lib):
+            use = np.ones((len(q_ids[part]), len(ids)))
             if self.exclude_self:
-                use[q_ids[part][:, None] == l_ids[None, :]] = 0.0
-            c, t = _cosine_block(block, lib), _tanimoto_block(block, lib)
+                use[q_ids[part][:, None] == ids[None, :]] = 0.0
+            c, t = _cosine_block(q_part, lib_part), _tanimoto_block(q_part, lib_part)
             self.acc[part] += np.stack(
                 [use.sum(1), (c * use).sum(1), (c * c * use).sum(1), (t * use).sum(1), (t * t * use).sum(1)], 1
             )
@@ -244,10 +259,6 @@ def _merge(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _unit(df: DataFrame, vec: str) -> DataFrame:
-    return df.withColumn("vec", V.l2_normalise(V.as_doubles(vec)))
-
-
 # ---- public operators -------------------------------------------------------
 
 
@@ -257,7 +268,7 @@ def topk_cosine(queries: DataFrame, library: DataFrame, k: int = 20, exclude_sel
 
     ``queries(query_id, vec)``, ``library(lib_id, vec)``; ids are unique bigints.
     """
-    hits = _meet(_unit(queries, "vec"), _unit(library, "vec"), ["vec"], ["vec"],
+    hits = _meet(queries, library, ["vec"], ["vec"],
                  lambda: _Best(_cosine_block, k, exclude_self), limit_bytes, tile_rows)
     return _merge(hits, k).select("query_id", "rank", "lib_id", F.col("score").alias("sim"))
 
@@ -273,9 +284,8 @@ def topk_tanimoto(queries: DataFrame, library: DataFrame, k: int = 20, exclude_s
 def topk_hybrid(queries: DataFrame, library: DataFrame, k: int = 20, exclude_self: bool = False,
                 limit_bytes: int = BROADCAST_BYTES, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Top-k by z-scored cosine plus z-scored Tanimoto, z-scores over the whole library per query (sample std)."""
-    q, lib = _unit(queries, "vec"), _unit(library, "vec")
     cols = ["vec", "fp"]
-    sums = _meet(q, lib, cols, cols, lambda: _Moments(exclude_self), limit_bytes, tile_rows)
+    sums = _meet(queries, library, cols, cols, lambda: _Moments(exclude_self), limit_bytes, tile_rows)
     total = sums.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in _Moments.names])
 
     def mean_std(s: str, sq: str) -> list[Column]:
@@ -284,7 +294,7 @@ def topk_hybrid(queries: DataFrame, library: DataFrame, k: int = 20, exclude_sel
         return [mean, F.sqrt(F.greatest(var, F.lit(0.0)))]
 
     stats = total.select("query_id", F.array(*mean_std("sum_c", "sq_c"), *mean_std("sum_t", "sq_t")).alias("stats"))
-    hits = _meet(q.join(stats, "query_id"), lib, [*cols, "stats"], cols,
+    hits = _meet(queries.join(stats, "query_id"), library, [*cols, "stats"], cols,
                  lambda: _Best(_hybrid_block, k, exclude_self), limit_bytes, tile_rows)
     return _merge(hits, k).select("query_id", "rank", "lib_id", F.col("score").alias("sim"))
 

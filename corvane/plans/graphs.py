@@ -85,8 +85,7 @@ SELECT graph_id, CASE WHEN pairs = n * (n - 1) AND n > 1 THEN far ELSE 0 END AS
 """)
 def g7(spark, sf):
     nodes, edges = word_graph(spark, sf)
-    p = GR.path_features(nodes, GR.shortest_paths(edges))
-    return show(p.drop("wiener"), ["graph_id"], ["diameter"]).join(p.select("graph_id", "wiener"), "graph_id")
+    return show(GR.path_features(nodes, GR.shortest_paths(edges)), ["graph_id"], ["diameter", "wiener"])
 
 
 @plan("G8_betweenness")
