@@ -23,9 +23,14 @@ KEY_SQL = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 DOC_SQL = f"docs AS (SELECT d.*, nullif({KEY_SQL}, '') AS key, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
 
 
-def docs(spark, sf):
-    return (text_table(spark, sf, "documents").withColumn("key", C.normalise_key("text"))
-            .join(table(spark, sf, "labels"), "doc_id", "left"))
+def keyed(spark, sf):
+    """Documents with the md5 of their normalised text as key.
+
+    Blank texts go by a cheap pattern first: a null test on the key itself would
+    be pushed below the projection and normalise every text twice.
+    """
+    d = C.valid_key(text_table(spark, sf, "documents"), "text")
+    return d.select("doc_id", "source", F.md5(C.normalise_key("text")).alias("key_md5"))
 
 
 @plan("P1_valid_key", "SELECT doc_id FROM documents WHERE trim(text) <> '' AND regexp_matches(text, '[A-Za-z]{3}')")
@@ -35,8 +40,7 @@ def p1(spark, sf):
 
 @plan("P2_normalise_key", f"SELECT doc_id, md5({KEY_SQL}) AS key_md5 FROM documents WHERE {KEY_SQL} <> ''")
 def p2(spark, sf):
-    d = text_table(spark, sf, "documents").select("doc_id", C.normalise_key("text").alias("key")).dropna()
-    return d.select("doc_id", F.md5("key").alias("key_md5"))
+    return keyed(spark, sf).drop("source")
 
 
 @plan("P3_dedup_first", f"""
@@ -46,7 +50,7 @@ SELECT doc_id, md5(key) AS key_md5, quality, source FROM
 """)
 def p3(spark, sf):
     # the hash stands for the whole text as grouping key, so the shuffle moves 16 bytes, not documents
-    d = docs(spark, sf).dropna(subset=["key"]).select("doc_id", F.md5("key").alias("key_md5"), "quality", "toxic", "source")
+    d = keyed(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
     return C.dedup_first(d, ["key_md5", "quality", "toxic"], "doc_id").drop("toxic")
 
 
@@ -56,14 +60,12 @@ SELECT md5(key) AS key_md5, count(DISTINCT source) AS n_labels, count(*) AS n_ro
 FROM docs WHERE key IS NOT NULL GROUP BY key HAVING count(DISTINCT source) > 1
 """)
 def p4(spark, sf):
-    d = text_table(spark, sf, "documents").select(F.md5(C.normalise_key("text")).alias("key_md5"), "source").dropna()
-    return C.label_conflicts(d, "key_md5", "source")
+    return C.label_conflicts(keyed(spark, sf), "key_md5", "source")
 
 
 @plan("P5_dedup_key", f"WITH {DOC_SQL} SELECT md5(key) AS key_md5, min(doc_id) AS doc_id FROM docs WHERE key IS NOT NULL GROUP BY key")
 def p5(spark, sf):
-    d = text_table(spark, sf, "documents").select("doc_id", F.md5(C.normalise_key("text")).alias("key_md5")).dropna()
-    return C.dedup_key(d, "key_md5", "doc_id")
+    return C.dedup_key(keyed(spark, sf).drop("source"), "key_md5", "doc_id")
 
 
 @plan("P6_drop_missing", "SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
