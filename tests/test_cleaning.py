@@ -117,7 +117,7 @@ def test_aliased_header_and_missing_split(spark, tmp_path):
 
 
 def test_text_tables_carry_label_and_header(spark):
-    text = [r"\label{tab:s2_x}", "Modality & MCC \\\\", r"\midrule", r"\textbf{RAFE} & $0.51^{*}$ \\", r"FT & 0.4 & extra \\", r"\label{tab:s3_y}", r"PC & 0.3 \\"]
+    text = [r"\label{tab:s2_x}", "Modality & MCC \\\\", r"\midrule", r"\textbf{Full} & $0.51^{*}$ \\", r"FT & 0.4 & extra \\", r"\label{tab:s3_y}", r"PC & 0.3 \\"]
     lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(text)], "doc string, line_no bigint, line string")
     got = logs.extract_text_tables(lines, r"\\label\{tab:(\w+)\}", r"^Modality &", r"&.*\\\\$").where("`column` = 'MCC'")
     assert [(r["label"], r["line_no"], r["number"]) for r in got.orderBy("line_no").collect()] == [("s2_x", 3, 0.51), ("s3_y", 6, 0.3)]
