@@ -139,7 +139,7 @@ def s9(spark, sf):
 WITH m AS (SELECT event_type AS dataset, count(*) FILTER (WHERE s = 'train') AS n_train, count(*) FILTER (WHERE s = 'valid') AS n_valid, count(*) FILTER (WHERE s = 'test') AS n_test
            FROM (SELECT event_type, {split_sql('event_id')} AS s FROM events) GROUP BY 1),
 old AS (SELECT lang AS dataset, count(*) AS n_train, 0::bigint AS n_valid, 0::bigint AS n_test FROM documents GROUP BY 1
-        UNION ALL SELECT 'click', 1, 1, 1)
+        UNION ALL SELECT DISTINCT event_type, 1, 1, 1 FROM events)
 SELECT * FROM m UNION ALL SELECT * FROM old WHERE dataset NOT IN (SELECT dataset FROM m)
 """)
 def s10(spark, sf):
@@ -147,7 +147,8 @@ def s10(spark, sf):
     new = sinks.manifest(e, "dataset", "split", SPLITS)
     old = table(spark, sf, "documents").groupBy(F.col("lang").alias("dataset")).agg(F.count("*").alias("n_train")).select(
         "dataset", "n_train", F.lit(0).cast("bigint").alias("n_valid"), F.lit(0).cast("bigint").alias("n_test"))
-    stale = old.limit(1).select(F.lit("click").alias("dataset"), *[F.lit(1).cast("bigint").alias(f"n_{s}") for s in SPLITS])
+    # entries of an earlier run for the same datasets, to be replaced
+    stale = e.select("dataset").distinct().select("dataset", *[F.lit(1).cast("bigint").alias(f"n_{s}") for s in SPLITS])
     return sinks.upsert_by_key(old.unionByName(stale), new, ["dataset"])
 
 
