@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvane.llm import mixing, packing, quality, secret_scan, url_filters
+from corvane.llm import language_model, mixing, neighbours, packing, quality, secret_scan, url_filters
 from corvane.llm.common import documents
 from corvane.plans.registry import table
 
@@ -43,7 +43,16 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_url_filters, op6_best_fit_packing, op7_mix_sources)}
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(documents(spark, sf_dir))
+
+
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_quality_rules, op3_url_filters, op6_best_fit_packing, op7_mix_sources, op9_language_model, op10_nearest_vectors)}
 
 _HOST = r"""regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)"""
 ORACLES = {
