@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvane.llm import language_model, mixing, neighbours, packing, quality, secret_scan, url_filters
+from corvane.llm import jaccard_join, language_model, mixing, neighbours, packing, quality, secret_scan, substring_dedup, url_filters
 from corvane.llm.common import documents
 from corvane.plans.registry import table
 
@@ -34,6 +34,13 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages, url_filters.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER, payload="crc32")
 
@@ -43,6 +50,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir), size=4, percent=85)
+
+
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(documents(spark, sf_dir))
 
@@ -52,7 +63,8 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_quality_rules, op3_url_filters, op6_best_fit_packing, op7_mix_sources, op9_language_model, op10_nearest_vectors)}
+    op1_secret_scan, op2_quality_rules, op3_url_filters, op5_substring_dedup, op6_best_fit_packing, op7_mix_sources, op8_jaccard_join,
+    op9_language_model, op10_nearest_vectors)}
 
 _HOST = r"""regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)"""
 ORACLES = {

@@ -20,6 +20,8 @@ import bisect
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from corvane.llm.common import without
 
 #: Urls in one range, about; ranges are held by one task at a time.
@@ -94,9 +96,12 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
 
     out_schema = T.StructType([*[f for f in rows.schema.fields if f.name != "_key"], T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
     names = [f.name for f in out_schema]
+    empty = to_arrow_schema(out_schema).empty_table()
 
     def sweep(left: pa.Table, right: pa.Table) -> pa.Table:
-        starts = sorted(zip(*[right.column(c).to_pylist() for c in ("_low", "_path", "_action", "_host")]))
+        if not left.num_rows:
+            return empty
+        starts = [] if not right.num_rows else sorted(zip(*[right.column(c).to_pylist() for c in ("_low", "_path", "_action", "_host")]))
         keys, paths = left.column("_key").to_pylist(), left.column("path").to_pylist()
         chosen: list[str | None] = [None] * len(keys)
         verdicts = [default] * len(keys)
