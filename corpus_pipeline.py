@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import mixing, packing, quality, secret_scan
+from corvane.llm import jaccard_join, mixing, packing, quality, secret_scan
 from corvane.llm.common import documents
 from corvane.llm.queries import TOKENIZER
-from corvane.session import new_path
+from corvane.session import cut_lineage, new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,6 +17,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_rules(docs).where("kept").select(*COLUMNS)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group linked by five-word shingles at 0.8; a row without an id stays."""
+    groups = cut_lineage(jaccard_join.jaccard_components(docs, size=5, percent=80).where("doc_id is not null"))
+    stays = groups.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    found = docs.join(stays.select("doc_id"), "doc_id", "left_semi")
+    if stays.where("rows > 1").limit(1).count():
+        found = found.dropDuplicates(["doc_id"])
+    return found.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in the text and ``n_chars`` counted anew where a text changed."""
     clean = secret_scan.scan_secrets(docs, redact=True)
@@ -34,7 +44,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs, TOKENIZER, payload="crc32")
 
 
-STAGES = [("quality", quality_stage), ("secrets", secret_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("near duplicates", near_duplicate_stage), ("secrets", secret_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
 #: Compression and tokenization have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -42,8 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        path = new_path(spark, f"stage-{k}-{name}")
+    for k, (_, stage) in enumerate(STAGES):
+        path = new_path(spark, f"stage-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
