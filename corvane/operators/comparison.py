@@ -75,13 +75,17 @@ def drift(vecs: DataFrame, base: DataFrame, row_id: str, vec: str, by: list[str]
 def row_gain(pred: DataFrame, arm: str, a, b, row_id: str, seed: str, regression: bool = False) -> DataFrame:
     """Per row, averaged over seeds: correctness of a and of b and the gain of a over b.
 
-    For regression the gain is the drop in absolute error in units of the target's population sd.
+    For regression ``a`` and ``b`` are the absolute errors of the two arms in units of the target's population sd, and the gain
+    is the drop from b to a; the mean signed errors in the target's own units come as ``raw_a`` and ``raw_b``.
     """
     two = pair_arms(pred, arm, a, b, [row_id, seed])
     if regression:
         sd = pred.where(F.col(arm) == a).select(F.stddev_pop("y")).scalar()
         two = two.withColumn("_sd", sd)
-        left, right = F.abs(F.col("y") - F.col("pred_b")) / F.col("_sd"), F.abs(F.col("y") - F.col("pred_a")) / F.col("_sd")
+        error = lambda x: F.col(f"pred_{x}") - F.col("y")
+        left, right = F.abs(error("a")) / F.col("_sd"), F.abs(error("b")) / F.col("_sd")
+        return two.groupBy(row_id).agg(F.avg(left).alias("a"), F.avg(right).alias("b"), F.avg(right - left).alias("gain"),
+                                       F.avg(error("a")).alias("raw_a"), F.avg(error("b")).alias("raw_b"))
     else:
         left, right = (F.col("pred_a") == F.col("y")).cast("double"), (F.col("pred_b") == F.col("y")).cast("double")
     return two.groupBy(row_id).agg(F.avg(left).alias("a"), F.avg(right).alias("b"), F.avg(left - right).alias("gain"))
@@ -96,6 +100,13 @@ def flip_counts(gains: DataFrame) -> DataFrame:
         F.corr(1 - F.col("a"), 1 - F.col("b")).alias("error_corr"))
 
 
+def regression_flips(gains: DataFrame, margin: float = 0.05) -> DataFrame:
+    """Rows whose absolute error a lowers or raises by more than ``margin``, the others, and the correlation of raw errors."""
+    return gains.agg(
+        F.count_if(F.col("gain") > margin).alias("corrected"), F.count_if(F.col("gain") < -margin).alias("broken"),
+        F.count_if(F.abs("gain") <= margin).alias("unchanged"), F.corr("raw_a", "raw_b").alias("error_corr"))
+
+
 def digitize(df: DataFrame, col: str, qs: list[float], out: str = "bin") -> DataFrame:
     """Bin number by exact quantiles of the column; a value on an edge belongs to the upper bin."""
     edges = O.exact_quantiles(df, [], col, {f"_q{i}": q for i, q in enumerate(qs)})

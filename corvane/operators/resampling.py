@@ -1,15 +1,19 @@
 """Bootstrap intervals and paired tests over prediction tables.
 
-Which rows a draw takes is fixed by md5 of (seed, draw, stratum, slot), so runs
-agree on any cluster layout. Every row is one slot and is exploded into its
-``B`` draws where it lies; the drawn position is then an equi-join on
-``(stratum, position)``, which is uniform and cannot skew. Draws are counted
-per row before they meet the predictions.
+Metrics that are functions of counts never see rows: rows with the same truth and the same predictions of all arms are one
+*cell*. A draw picks as many positions as its stratum has rows; positions are numbered cell by cell, so a pick is a search in
+the running cell sizes, inside the task that owns the draw. Only confusion counts per draw leave a task.
+
+``draws`` gives the drawn rows themselves. There a draw is fixed by md5 of (seed, draw, stratum, slot), every row is one slot, and
+the drawn position is an equi-join on ``(stratum, position)``, which is uniform and cannot skew. Both recipes agree on any
+cluster layout.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corvane.functions.hashing import md5_mod
 from corvane.operators import metrics as M
@@ -35,17 +39,78 @@ def _one_per_row(pred: DataFrame, row_id: str, y: str = "y") -> DataFrame:
     return pred.groupBy(row_id).agg(F.first(y).alias("y"))
 
 
-def class_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int, stratified: bool, row_id: str = "row_id") -> DataFrame:
-    """Classification metrics of every arm in every draw; arms share the draws.
+#: Distinct cells up to which their table is sent to every task (their keys are a few bytes per arm).
+MOST_CELLS = 2_000_000
+#: Positions picked in one go inside a task.
+SLOTS_AT_ONCE = 1_000_000
+_PRIME = 2_147_483_647
+
+
+def picks(draw: int, slots: np.ndarray, seed: int, stratum: int, n: int) -> np.ndarray:
+    """Positions in ``[0, n)``: four squaring steps modulo a prime, in integers that SQL has too."""
+    x = (draw * 7919 + slots * 104729 + seed * 1299709 + stratum * 15485863 + 1) % _PRIME
+    for c in (11, 101, 1009, 10007):
+        x = (x * x + c) % _PRIME
+    return x % n
+
+
+def _cells(pred: DataFrame, by: list[str], row_id: str) -> DataFrame:
+    """``y``, ``arms`` (sorted structs of the ``by`` values and the prediction), ``key``, ``n`` rows."""
+    arms = F.sort_array(F.collect_list(F.struct(*by, "pred")))
+    rows = pred.groupBy(row_id).agg(F.first("y").alias("y"), arms.alias("arms"))
+    name = lambda a: F.concat_ws("=", F.concat_ws(":", *[a[c].cast("string") for c in by]), a["pred"].cast("string"))
+    key = F.concat_ws("|", F.col("y").cast("string"), F.array_join(F.transform("arms", name), ","))
+    return rows.withColumn("key", key).groupBy("key").agg(F.first("y").alias("y"), F.first("arms").alias("arms"), F.count("*").alias("n"))
+
+
+def drawn_confusion(pred: DataFrame, by: list[str], n_draws: int, seed: int, stratified: bool, row_id: str = "row_id") -> DataFrame:
+    """``by``, ``draw``, ``y``, ``pred``, ``n``: confusion counts of every arm in every draw; arms share the draws."""
+    spark = pred.sparkSession
+    cells = cut_lineage(_cells(pred, by, row_id))
+    if cells.count() > MOST_CELLS:  # nearly every row is its own cell: the drawn rows are joined instead
+        d = draws(_one_per_row(pred, row_id), row_id, n_draws, seed, "y" if stratified else None)
+        return M.confusion(pred.join(d, row_id), [*by, "draw"], weight="times")
+    table = cells.orderBy("key").collect()
+    strata = sorted({str(r["y"]) for r in table}) if stratified else ["all"]
+    of = np.array([strata.index(str(r["y"])) if stratified else 0 for r in table])
+    size = np.array([r["n"] for r in table], np.int64)
+    # one column of the indicator per (arm, truth, prediction)
+    columns: dict[tuple, int] = {}
+    pairs = [(i, columns.setdefault((*[a[c] for c in by], r["y"], a["pred"]), len(columns))) for i, r in enumerate(table) for a in r["arms"]]
+    cell, column = np.array(pairs, np.int64).T if pairs else np.zeros((2, 0), np.int64)
+    names = list(columns)
+    schema = T.StructType([*[pred.schema[c] for c in by], T.StructField("draw", T.IntegerType()), T.StructField("y", pred.schema["y"].dataType),
+                           T.StructField("pred", pred.schema["pred"].dataType), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for draw in batch.column(0).to_pylist():
+                times = np.zeros(len(table_size), np.int64)
+                for k in range(len(strata)):
+                    mine = np.flatnonzero(of == k)
+                    ends = np.cumsum(table_size[mine])
+                    n = int(ends[-1])
+                    for at in range(0, n, SLOTS_AT_ONCE):
+                        drawn = picks(draw, np.arange(at, min(n, at + SLOTS_AT_ONCE)), seed, k, n)
+                        times[mine] += np.bincount(np.searchsorted(ends, drawn, "right"), minlength=len(mine))
+                counts = np.bincount(column, times[cell], len(names)).astype(np.int64)
+                keep = np.flatnonzero(counts)
+                values = [[names[i][j] for i in keep] for j in range(len(by))]
+                values += [[draw] * len(keep), [names[i][-2] for i in keep], [names[i][-1] for i in keep], counts[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    table_size = size
+    parts = max(1, min(n_draws, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, n_draws if len(table) else 0, 1, parts).mapInArrow(run, schema)
 
-    A draw that misses a class of the full table is left out.
-    """
-    ids = _one_per_row(pred, row_id)
-    d = draws(ids, row_id, n_draws, seed, "y" if stratified else None)
-    conf = M.confusion(pred.join(d, row_id), [*by, "draw"], weight="times")
-    all_classes = ids.select(F.count_distinct("y")).scalar()
-    per = M.class_metrics_from(conf, [*by, "draw"]).withColumn("_all", all_classes)
-    return per.where("n_classes = _all").drop("n_classes", "_all")
+
+def class_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int, stratified: bool, row_id: str = "row_id") -> DataFrame:
+    """Classification metrics of every arm in every draw; arms share the draws. Draws of a single class are left out."""
+    conf = drawn_confusion(pred, by, n_draws, seed, stratified, row_id)
+    return M.class_metrics_from(conf, [*by, "draw"]).where("n_classes > 1").drop("n_classes")
 
 
 def _long(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

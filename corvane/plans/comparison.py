@@ -12,7 +12,7 @@ from corvane.plans.inputs import BINARY_SQL, CELL_SQL, CONFIG_SQL
 from corvane.plans.ingest import LOG_SQL, log_lines
 from corvane.plans.metrics import show
 from corvane.plans.registry import plan, r6, table
-from corvane.plans.resampling import GAIN_SQL, draw_sql, gains
+from corvane.plans.resampling import GAIN_SQL, ROWS, draw_sql, gains
 from corvane.sources.logs import parse_log
 
 CFG = ["dataset", "emb", "tree"]
@@ -75,7 +75,7 @@ ci AS (SELECT bin, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS
 SELECT bin, count(*) AS n, min(coverage) AS lo, max(coverage) AS hi, {r6('avg(gain)')} AS mean, {r6('any_value(ci_lo)')} AS ci_lo, {r6('any_value(ci_hi)')} AS ci_hi FROM bn JOIN ci USING (bin) GROUP BY bin
 """)
 def a25(spark, sf):
-    return show(X.gain_by_bin(gains(spark, sf), "coverage", "row_id", 40), ["bin"], ["n", "lo", "hi"])
+    return show(X.gain_by_bin(gains(spark, sf), "coverage", "row_id", ROWS), ["bin"], ["n", "lo", "hi"])
 
 
 @plan("A26_flip_counts", f"""
@@ -275,12 +275,15 @@ def w17(spark, sf):
     return show(X.comparison_matrix(inputs.cells(spark, sf), ["dataset", "emb"], "tree", ["F", "O", "P"], "test"), ["dataset", "emb"], ["best_arms"])
 
 
+FEATURE_SETS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 @plan("W18_best_tree_means", f"""
 WITH {CELL_SQL}, m AS (SELECT dataset, emb, tree, avg(test) AS m FROM cells GROUP BY 1, 2, 3)
-SELECT dataset, {r6("max(m) FILTER (WHERE emb = 'BUILDING')")} AS "BUILDING", {r6("max(m) FILTER (WHERE emb = 'MACHINERY')")} AS "MACHINERY", {r6("max(m) FILTER (WHERE emb = 'FURNITURE')")} AS "FURNITURE" FROM m GROUP BY 1
+SELECT dataset, {', '.join(f"""{r6(f"max(m) FILTER (WHERE emb = '{e}')")} AS "{e}" """ for e in FEATURE_SETS)} FROM m GROUP BY 1
 """)
 def w18(spark, sf):
-    return show(X.best_tree_means(inputs.cells(spark, sf), "dataset", "emb", "tree", "test", ["BUILDING", "MACHINERY", "FURNITURE"]), ["dataset"])
+    return show(X.best_tree_means(inputs.cells(spark, sf), "dataset", "emb", "tree", "test", FEATURE_SETS), ["dataset"])
 
 
 @plan("P22_feature_groups", f"WITH {inputs.VEC_SQL} SELECT query_id, {r6('max(sim) FILTER (WHERE rank = 1)')} AS nearest_sim, {r6('avg(sim) FILTER (WHERE rank <= 10)')} AS k10_sim_mean, {r6('stddev_pop(sim) FILTER (WHERE rank <= 10)')} AS k10_sim_std, {r6('avg(sim)')} AS k20_sim_mean, {r6('stddev_pop(sim)')} AS k20_sim_std FROM nb GROUP BY 1")

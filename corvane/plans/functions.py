@@ -93,14 +93,13 @@ def f7(spark, sf):
 
 
 @plan("F8_clean_cell", """
-SELECT o_orderkey, o_orderpriority AS cell, round(o_totalprice, 2) AS number FROM orders
+SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ' 5%' ELSE '' END AS cell, round(o_totalprice, 2) AS number FROM orders
 """)
 def f8(spark, sf):
     o = table(spark, sf, "orders")
-    marked = F.concat(F.lit(r" \textbf{"), "o_orderpriority", F.lit(r"}\textsuperscript{a}$^*$ "))
-    priced = F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("^{*} "))
-    return o.select("o_orderkey", F.rtrim(F.regexp_replace(T.clean_cell(marked), r"\*$", "")).alias("cell"),
-                    F.round(T.to_number(F.regexp_replace(priced, r"\*", "")), 2).alias("number"))
+    marked = F.concat(F.lit(r" \textbf{"), "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, r" 5\%").otherwise(""), F.lit(r"}\textsuperscript{a}$^*$ "))
+    priced = F.concat(F.lit(r"\text{$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("$}$^{*}$ "))
+    return o.select("o_orderkey", T.clean_cell(marked).alias("cell"), F.round(T.to_number(T.clean_cell(priced)), 2).alias("number"))
 
 
 @plan("F9_tag_tokens", r"""

@@ -1,4 +1,4 @@
-"""Queries for bootstrap intervals and tests. The number of draws is kept small so that SQL can follow."""
+"""Queries for bootstrap intervals and tests, with the usual numbers of draws."""
 
 from __future__ import annotations
 
@@ -11,10 +11,10 @@ from corvane.plans.inputs import BINARY_SQL
 from corvane.plans.metrics import conf_sql, rank_sql, show
 from corvane.plans.registry import plan, r6, table
 
-N = 40
+INTERVAL, POOLED, ROWS = 10_000, 3_000, 2_000  # draws of intervals and tests, of seed-pooled tests, and where rows themselves are drawn
 
 
-def draw_sql(ids, seed, stratum="'all'", name="dw", n=N):
+def draw_sql(ids, seed, stratum="'all'", name="dw", n=ROWS):
     """``(draw, row_id)`` picks of the md5 recipe over ``ids``."""
     return f"""{name}_i AS (SELECT row_id, {stratum} AS stratum, row_number() OVER (PARTITION BY {stratum} ORDER BY row_id) - 1 AS idx,
    count(*) OVER (PARTITION BY {stratum}) AS n FROM {ids}),
@@ -29,43 +29,52 @@ IDS = "ids AS (SELECT doc_id AS row_id, quality AS y FROM labels)"
 @plan("B1_stratified_draws", f"WITH {IDS}, {draw_sql('ids', 42, 'y::varchar')} SELECT draw, row_id, count(*) AS times FROM dw GROUP BY 1, 2")
 def b1(spark, sf):
     ids = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("y"))
-    return B.draws(ids, "row_id", N, 42, "y")
+    return B.draws(ids, "row_id", ROWS, 42, "y")
 
 
 @plan("B2_plain_draws", f"WITH {IDS}, {draw_sql('ids', 42)} SELECT draw, row_id, count(*) AS times FROM dw GROUP BY 1, 2")
 def b2(spark, sf):
-    return B.draws(table(spark, sf, "labels").select(F.col("doc_id").alias("row_id")), "row_id", N, 42)
-
-
-def boot_sql(by, seed, stratum, source="binary_rows"):
-    b = ", ".join(by)
-    return f"""{IDS}, {draw_sql('ids', seed, stratum)},
-drawn AS (SELECT {', '.join('p.' + c for c in by)}, dw.draw, p.y, p.pred FROM dw JOIN {source} p USING (row_id)),
-{conf_sql('drawn', [*by, 'draw'], 'bm')}, ok AS (SELECT {b}, draw FROM drawn GROUP BY ALL HAVING count(DISTINCT y) = 2),
-bt AS (SELECT bm.* FROM bm JOIN ok USING ({b}, draw))"""
+    return B.draws(table(spark, sf, "labels").select(F.col("doc_id").alias("row_id")), "row_id", ROWS, 42)
+
+
+def boot_sql(by, seed, stratified, n, source="binary_rows"):
+    """Metrics ``bt`` per draw: positions numbered cell by cell, picked by the integer recipe of the operator."""
+    b, arm = ", ".join(by), " || ':' || ".join(f"{c}::varchar" for c in by)
+    stratum = "y::varchar" if stratified else "'all'"
+    x = f"(d * 7919 + idx * 104729 + {seed} * 1299709 + k * 15485863 + 1) % 2147483647"
+    steps = "".join(f",\ns{i} AS (SELECT d, stratum, n, (x * x + {c}) % 2147483647 AS x FROM s{i - 1})" for i, c in enumerate((11, 101, 1009, 10007), 1))
+    return f"""cell_rows AS MATERIALIZED (SELECT row_id, any_value(y) AS y, any_value(y)::varchar || '|' || string_agg({arm} || '=' || pred::varchar, ',' ORDER BY {b}) AS cell FROM {source} GROUP BY row_id),
+placed AS MATERIALIZED (SELECT cell, {stratum} AS stratum, row_number() OVER (PARTITION BY {stratum} ORDER BY cell, row_id) - 1 AS idx, count(*) OVER (PARTITION BY {stratum}) AS n,
+  dense_rank() OVER (ORDER BY {stratum}) - 1 AS k FROM cell_rows),
+s0 AS (SELECT d, stratum, n, {x} AS x FROM placed, (SELECT unnest(range({n})) AS d)){steps},
+drawn AS MATERIALIZED (SELECT s4.d::int AS draw, cell, count(*) AS times FROM s4 JOIN placed p ON p.stratum = s4.stratum AND p.idx = s4.x % s4.n GROUP BY 1, 2),
+arms AS MATERIALIZED (SELECT DISTINCT cell, {', '.join('p.' + c for c in by)}, p.y, p.pred FROM {source} p JOIN cell_rows USING (row_id)),
+met AS (SELECT {b}, draw, y, pred, sum(times) AS times FROM drawn JOIN arms USING (cell) GROUP BY ALL),
+{conf_sql('met', [*by, 'draw'], 'bm', 'sum(times)')}, ok AS (SELECT {b}, draw FROM met GROUP BY ALL HAVING count(DISTINCT y) > 1),
+bt AS MATERIALIZED (SELECT bm.* FROM bm JOIN ok USING ({b}, draw))"""
 
 
 @plan("B3_bootstrap_normal", f"""
-WITH {BINARY_SQL}, {boot_sql(['model', 'seed'], 42, 'y::varchar')}, {conf_sql('binary_rows', ['model', 'seed'])},
+WITH {BINARY_SQL}, {boot_sql(['model', 'seed'], 42, True, INTERVAL)}, {conf_sql('binary_rows', ['model', 'seed'])},
 o AS (SELECT model, seed, 'mcc' AS metric, mcc AS v FROM m UNION ALL SELECT model, seed, 'accuracy', accuracy FROM m),
 d AS (SELECT model, seed, 'mcc' AS metric, stddev_pop(mcc) AS se FROM bt GROUP BY 1, 2 UNION ALL SELECT model, seed, 'accuracy', stddev_pop(accuracy) FROM bt GROUP BY 1, 2)
 SELECT model, seed, metric, {r6('v', 4)} AS point, {r6('se', 4)} AS se, {r6('v - 1.959963984540054::double * se', 4)} AS ci_lo, {r6('v + 1.959963984540054::double * se', 4)} AS ci_hi FROM o JOIN d USING (model, seed, metric)
 """)
 def b3(spark, sf):
-    return B.bootstrap_normal(inputs.binary_rows(spark, sf), ["model", "seed"], ["mcc", "accuracy"], N)
+    return B.bootstrap_normal(inputs.binary_rows(spark, sf), ["model", "seed"], ["mcc", "accuracy"], INTERVAL)
 
 
 @plan("B4_bootstrap_percentile", f"""
-WITH {BINARY_SQL}, {boot_sql(['model', 'seed'], 42, 'y::varchar')}, {conf_sql('binary_rows', ['model', 'seed'])}
+WITH {BINARY_SQL}, {boot_sql(['model', 'seed'], 42, True, INTERVAL)}, {conf_sql('binary_rows', ['model', 'seed'])}
 SELECT model, seed, 'f1_macro' AS metric, {r6('any_value(m.f1_macro)')} AS observed, {r6('avg(bt.f1_macro)')} AS mean, {r6('stddev_samp(bt.f1_macro)')} AS se,
   {r6('quantile_cont(bt.f1_macro, 0.025)')} AS ci_lo, {r6('quantile_cont(bt.f1_macro, 0.975)')} AS ci_hi, count(*) AS n_valid FROM bt JOIN m USING (model, seed) GROUP BY 1, 2
 """)
 def b4(spark, sf):
-    return show(B.bootstrap_percentile(inputs.binary_rows(spark, sf), ["model", "seed"], ["f1_macro"], N), ["model", "seed", "metric"], ["n_valid"])
+    return show(B.bootstrap_percentile(inputs.binary_rows(spark, sf), ["model", "seed"], ["f1_macro"], INTERVAL), ["model", "seed", "metric"], ["n_valid"])
 
 
-def delta_sql(seed, stratum):
-    return f"""{boot_sql(['model', 'seed'], seed, stratum)}, {conf_sql('binary_rows', ['model', 'seed'])},
+def delta_sql(seed, stratified, n):
+    return f"""two AS (SELECT * FROM binary_rows WHERE model IN (1, 2)), {boot_sql(['model', 'seed'], seed, stratified, n, 'two')}, {conf_sql('two', ['model', 'seed'])},
 obs AS (SELECT a.seed, a.mcc - b.mcc AS obs FROM m a JOIN m b ON a.seed = b.seed AND a.model = 1 AND b.model = 2),
 dl AS (SELECT a.seed, a.draw, a.mcc - b.mcc AS delta FROM bt a JOIN bt b ON a.seed = b.seed AND a.draw = b.draw AND a.model = 1 AND b.model = 2)"""
 
@@ -75,32 +84,53 @@ SUMMARY = f"""{r6('any_value(obs)')} AS obs, {r6('avg(delta)')} AS mean, {r6('st
 
 
 @plan("B5_paired_test", f"""
-WITH {BINARY_SQL}, {delta_sql(42, 'y::varchar')}, j AS (SELECT *, avg(delta) OVER (PARTITION BY seed) AS mn FROM dl JOIN obs USING (seed))
+WITH {BINARY_SQL}, {delta_sql(42, True, INTERVAL)}, j AS (SELECT *, avg(delta) OVER (PARTITION BY seed) AS mn FROM dl JOIN obs USING (seed))
 SELECT seed, {SUMMARY}, {r6('avg((abs(delta - mn) >= abs(obs))::int)')} AS p_value, avg((abs(delta - mn) >= abs(obs))::int) < 0.05 AS significant FROM j GROUP BY seed
 """)
 def b5(spark, sf):
-    return show(B.paired_test(inputs.binary_rows(spark, sf), "model", 1, 2, ["seed"], "mcc", N), ["seed"], ["n_draws", "significant"])
+    return show(B.paired_test(inputs.binary_rows(spark, sf), "model", 1, 2, ["seed"], "mcc", INTERVAL), ["seed"], ["n_draws", "significant"])
 
 
 @plan("B6_paired_sign", f"""
-WITH {BINARY_SQL}, {delta_sql(0, "'all'")}, j AS (SELECT * FROM dl JOIN obs USING (seed))
+WITH {BINARY_SQL}, {delta_sql(0, False, POOLED)}, j AS (SELECT * FROM dl JOIN obs USING (seed))
 SELECT seed, {SUMMARY}, {r6('avg(CASE WHEN obs > 0 THEN delta <= 0 ELSE delta >= 0 END::int)')} AS p_one_sided FROM j GROUP BY seed
 """)
 def b6(spark, sf):
-    return show(B.paired_sign(inputs.binary_rows(spark, sf), "model", 1, 2, ["seed"], "mcc", N), ["seed"], ["n_draws"])
+    return show(B.paired_sign(inputs.binary_rows(spark, sf), "model", 1, 2, ["seed"], "mcc", POOLED), ["seed"], ["n_draws"])
 
 
 @plan("B7_paired_pooled", f"""
-WITH {BINARY_SQL}, {delta_sql(0, "'all'")}, po AS (SELECT avg(obs) AS obs, count(*) AS n_seeds FROM obs),
+WITH {BINARY_SQL}, {delta_sql(0, False, POOLED)}, po AS (SELECT avg(obs) AS obs, count(*) AS n_seeds FROM obs),
 j AS (SELECT * FROM (SELECT draw, avg(delta) AS delta FROM dl GROUP BY draw), po)
 SELECT {SUMMARY}, any_value(n_seeds) AS n_seeds, quantile_cont(delta, 0.025) > 0 OR quantile_cont(delta, 0.975) < 0 AS excludes_0,
   quantile_cont(delta, 0.025) > 0 AS better, quantile_cont(delta, 0.975) < 0 AS worse FROM j
 """)
 def b7(spark, sf):
-    out = B.paired_pooled(inputs.binary_rows(spark, sf), "model", 1, 2, "seed", [], "mcc", N)
+    out = B.paired_pooled(inputs.binary_rows(spark, sf), "model", 1, 2, "seed", [], "mcc", POOLED)
     return show(out, [], ["n_draws", "n_seeds", "excludes_0", "better", "worse"])
 
 
+MULTI_ARMS_SQL = f"""{inputs.MULTI_SQL},
+multi_arms AS (SELECT row_id, y, arm, list_position(p, list_max(p)) - 1 AS pred FROM (
+  SELECT row_id, y, 1 AS arm, proba AS p FROM multi_rows UNION ALL SELECT row_id, y, 2, list_transform(proba, lambda x, i: round(x, 2) + (i % 3) / 1000.0::double) FROM multi_rows)),
+two AS (SELECT arm AS model, 0 AS seed, row_id, y, pred FROM multi_arms)"""
+
+
+@plan("B6_paired_sign_multiclass", f"""
+WITH {MULTI_ARMS_SQL}, {boot_sql(['model'], 0, False, POOLED, 'two')}, {conf_sql('two', ['model'])},
+obs AS (SELECT a.mcc - b.mcc AS obs FROM m a, m b WHERE a.model = 1 AND b.model = 2),
+j AS (SELECT a.draw, a.mcc - b.mcc AS delta, obs FROM bt a JOIN bt b ON a.draw = b.draw AND a.model = 1 AND b.model = 2, obs)
+SELECT {SUMMARY}, {r6('avg(CASE WHEN obs > 0 THEN delta <= 0 ELSE delta >= 0 END::int)')} AS p_one_sided FROM j
+""")
+def b6_multi(spark, sf):
+    m = inputs.multi_rows(spark, sf)
+    best = lambda p: (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    coarse = F.transform("proba", lambda x, i: F.round(x, 2) + ((i + 1) % 3) / 1000.0)
+    arms = m.select("row_id", "y", F.lit(1).alias("model"), best(F.col("proba")).alias("pred")).unionByName(
+        m.select("row_id", "y", F.lit(2).alias("model"), best(coarse).alias("pred")))
+    return show(B.paired_sign(arms, "model", 1, 2, [], "mcc", POOLED), [], ["n_draws"])
+
+
 @plan("B8_approx_ci", f"""
 WITH {BINARY_SQL}, {conf_sql('binary_rows', ['model', 'lang'])}, s AS (SELECT model, lang, n, accuracy, sqrt(greatest(accuracy * (1 - accuracy), 1e-6::double) / n) AS se FROM m)
 SELECT model, lang, n, {r6('accuracy')} AS accuracy, {r6('se')} AS se, {r6('greatest(0, accuracy - 1.96::double * se)')} AS ci_lo, {r6('least(1, accuracy + 1.96::double * se)')} AS ci_hi FROM s
@@ -143,7 +173,7 @@ o AS (SELECT 1 AS g, gain, coverage FROM gc), ro AS (SELECT {rank_sql('gain', 'g
 SELECT {r6('quantile_cont(rho, 0.025)')} AS ci_lo, {r6('quantile_cont(rho, 0.975)')} AS ci_hi, count(rho) AS n_draws, {r6('(SELECT corr(a, b) FROM ro)')} AS rho FROM c
 """)
 def b10(spark, sf):
-    return show(B.bootstrap_corr(gains(spark, sf), "gain", "coverage", "row_id", N), [], ["n_draws"])
+    return show(B.bootstrap_corr(gains(spark, sf), "gain", "coverage", "row_id", ROWS), [], ["n_draws"])
 
 
 @plan("B11_bootstrap_mean", f"""
@@ -156,7 +186,7 @@ def b11(spark, sf):
     d = X.delta_vs_base(inputs.configs(spark, sf).where("tree IN ('F', 'O')"), ["dataset", "emb"], "tree", "O", "point")
     # one row per (dataset, emb) configuration pair: a table as small as the grid
     ids = d.withColumn("row_id", F.row_number().over(Window.orderBy("dataset", "emb")).cast("bigint")).select("row_id", F.col("delta").alias("diff"))
-    return show(B.bootstrap_mean(ids, "diff", "row_id", None, N), [], ["n"])
+    return show(B.bootstrap_mean(ids, "diff", "row_id", None, ROWS), [], ["n"])
 
 
 PHI = "(exp(-z*z/2.0::double) * 0.3989422804014327::double * t * (0.319381530::double + t * (-0.356563782::double + t * (1.781477937::double + t * (-1.821255978::double + t * 1.330274429::double)))))"

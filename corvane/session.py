@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,12 +32,16 @@ def local_session(cores: str = "8", name: str = "corvane") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the session names none, which is
-    the case for local tests.
+    A folder of our own is made only where the session names none and driver and executors are one process, which is the
+    case for local tests. It goes when that process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         base = tempfile.mkdtemp(prefix="corvane-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -55,4 +61,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def default_buckets(spark: SparkSession) -> int:
     """Bucket count for two-level ordered operators, tied to the cluster's parallelism."""
-    return max(8, min(2000, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
