@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions.numeric import clip, finite
-from corvane.operators.ordered import exact_quantiles
+from corvane.operators.ordered import dense_index, exact_quantiles, scalar_columns
+from corvane.session import cut_lineage, join_small
 
 
 @dataclass(frozen=True)
@@ -81,22 +82,9 @@ def select_role(df: DataFrame, roles: Roles) -> DataFrame:
     return df.select(*keep, *role_columns(df, roles))
 
 
-def feature_group(name: str) -> str | None:
-    """Group letter of a neighbourhood feature, from its name."""
-    if name.startswith("centroid") or name == "sim_to_centroid":
-        return "C"
-    if name.startswith(("fp_sim", "same_group")):
-        return "D"
-    if name == "nearest_sim" or "_sim_" in name:
-        return "B"
-    if any(tag in name for tag in ("_mean_k", "_std_k", "_wmean_k")):
-        return "A"
-    return None
-
-
-def feature_groups(df: DataFrame, keep: list[str], groups: str) -> DataFrame:
-    """Columns of the chosen groups: ``"AB"`` keeps A and B."""
-    return df.select(*keep, *[c for c in df.columns if c not in keep and (feature_group(c) or "-") in groups])
+def feature_groups(df: DataFrame, keep: list[str], groups: str, group_of: dict[str, str]) -> DataFrame:
+    """Columns of the chosen groups: ``"AB"`` keeps A and B. ``group_of`` names each feature's group (see ``context``)."""
+    return df.select(*keep, *[c for c in df.columns if c not in keep and group_of.get(c, "-") in groups])
 
 
 def to_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -113,9 +101,15 @@ def sanitize(df: DataFrame, cols: list[str], impute: str | float = "median", by:
     out = df.withColumns({c: finite(F.col(c).try_cast("double")) for c in cols})
     if impute == "median":
         source = out if fit_on is None else fit_on.withColumns({c: finite(F.col(c).try_cast("double")) for c in cols})
-        for c in cols:
-            med = exact_quantiles(source, by, c, {f"_m_{c}": 0.5})
-            out = out.join(med, by, "left") if by else out.withColumn(f"_m_{c}", med.scalar())
+        # all columns at once: one (column, value) table, one quantile pass, one row per group
+        pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
+        long = source.selectExpr(*[f"`{b}`" for b in by], f"stack({len(cols)}, {pairs}) as (_column, _value)")
+        found = exact_quantiles(long, [*by, "_column"], "_value", {"_median": 0.5})
+        medians = found.groupBy(*by).agg(*[F.max(F.when(F.col("_column") == c, F.col("_median"))).alias(f"_m_{c}") for c in cols])
+        if by:
+            out = join_small(out, medians, by, "left")
+        else:  # one row
+            out = scalar_columns(out, cut_lineage(medians), [f"_m_{c}" for c in cols])
         fill = {c: F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit(0.0)) for c in cols}
     else:
         fill = {c: F.coalesce(F.col(c), F.lit(float(impute))) for c in cols}
@@ -143,15 +137,14 @@ def iqr_bounds(df: DataFrame, by: list[str], col: str, whisker: float = 1.5) ->
 
 
 def apply_bounds(df: DataFrame, bounds: DataFrame, by: list[str], col: str) -> DataFrame:
-    return df.join(bounds, by).where(F.col(col).between(F.col("lo"), F.col("hi")))
+    return join_small(df, bounds, by).where(F.col(col).between(F.col("lo"), F.col("hi")))
 
 
 def encode_labels(df: DataFrame, col: str, out: str, fit_on: DataFrame | None = None) -> DataFrame:
     """Ordinal code by sorted class of ``fit_on`` (default: the frame itself); an unseen class is null."""
     classes = (fit_on if fit_on is not None else df).select(col).dropna().distinct()
-    # one row per class, the class list of a label column is small by nature
-    codes = classes.withColumn(out, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
-    return df.join(codes, col, "left")
+    codes = dense_index(classes, [], col, name=out).withColumn(out, F.col(out).cast("int"))
+    return join_small(df, codes, [col], "left")
 
 
 def one_hot(col: str, choices: list[str]) -> Column:

@@ -13,6 +13,14 @@ from corvane.functions import vectors as V
 GROUPS = {"A": "profile", "B": "density", "C": "centroid", "D": "structure"}
 
 
+def group_map(props: list[str], ks: list[int] = [10, 20], k: int = 10, first: int = 5) -> dict[str, str]:
+    """Feature name to group letter, for the names that the operators of this module give."""
+    out = {f"{p}_{stat}_k{n}": "A" for p in props for stat in ("mean", "std", "wmean") for n in ks}
+    out |= {"nearest_sim": "B"} | {f"k{n}_sim_{stat}": "B" for n in ks for stat in ("mean", "std")}
+    out |= dict.fromkeys(("centroid", "sim_to_centroid", "centroid_spread"), "C")
+    return out | dict.fromkeys(("fp_sim_k1", f"fp_sim_k{first}_mean", f"same_group_frac_k{k}"), "D")
+
+
 def _within(value: Column, k: int) -> Column:
     return F.when(F.col("rank") <= k, value)
 

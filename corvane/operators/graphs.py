@@ -1,6 +1,6 @@
 """Per-graph features over a node table ``(graph_id, node)`` and an undirected edge table ``(graph_id, src, dst)``.
 
-Edges are stored once. Iterative operators run a bounded number of rounds as
+Edges are stored once. Iterative operators run until nothing changes, as
 joins on ``(graph_id, node)`` and write each round to the checkpoint folder, so
 a lost executor never replays the whole iteration.
 """
@@ -48,11 +48,11 @@ def sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select(G, "n_nodes", (F.col("_d") / 2).cast("bigint").alias("n_edges"), "max_degree", mean.alias("avg_degree_centrality"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(graph_id, node, component)`` by alternating large-star and small-star steps, which end after few rounds."""
     pairs = cut_lineage(both_ways(edges))
     last = None
-    for _ in range(max_rounds):
+    while True:
         low = pairs.groupBy(G, "src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
         large = pairs.join(low, [G, "src"]).where("dst > src").select(G, F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
         down = large.select(G, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
@@ -64,8 +64,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
         if mark == last:
             break
         last, pairs = mark, both_ways(small)
-    else:
-        raise RuntimeError("components did not settle")
     found = small.select(G, F.col("src").alias("node"), F.col("dst").alias("component"))
     return nodes.join(found, [G, "node"], "left").select(G, "node", F.coalesce("component", "node").alias("component"))
 
@@ -100,7 +98,7 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return deg.join(per, [G, "node"], "left").groupBy(G).agg(F.avg(c).alias("clustering"))
 
 
-def shortest_paths(edges: DataFrame, max_doublings: int = 20) -> DataFrame:
+def shortest_paths(edges: DataFrame) -> DataFrame:
     """``(graph_id, s, t, d, paths)`` for all connected ordered pairs ``s <> t``.
 
     Distances double per round. Once everything up to ``h`` is known, a pair at
@@ -112,7 +110,7 @@ def shortest_paths(edges: DataFrame, max_doublings: int = 20) -> DataFrame:
     known = cut_lineage(both_ways(edges).distinct().select(
         G, F.col("src").alias("s"), F.col("dst").alias("t"), F.lit(1).alias("d"), F.lit(1.0).alias("paths")))
     h = 1
-    for _ in range(max_doublings):
+    while True:
         left = known.where(F.col("d") == h).select(G, "s", F.col("t").alias("m"), F.col("paths").alias("_p"))
         right = known.select(G, F.col("s").alias("m"), "t", F.col("d").alias("_r"), F.col("paths").alias("_q"))
         by_length = left.join(right, [G, "m"]).where("s <> t").groupBy(G, "s", "t", "_r").agg(F.sum(F.col("_p") * F.col("_q")).alias("paths"))
@@ -123,7 +121,6 @@ def shortest_paths(edges: DataFrame, max_doublings: int = 20) -> DataFrame:
         if new.isEmpty():
             return known
         known, h = known.unionByName(new), 2 * h
-    raise RuntimeError("paths longer than the allowed number of doublings")
 
 
 def path_features(nodes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -220,55 +217,49 @@ def _small_spectral(alpha: float, beta: float, tol: float, rounds: int):
 
 
 def spectral(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, alpha: float = 0.1, beta: float = 1.0,
-             tol: float = 1e-6, small: int = SMALL_GRAPH, per_checkpoint: int = 12) -> DataFrame:
+             tol: float = 1e-6, small: int = SMALL_GRAPH) -> DataFrame:
     """Mean eigenvector centrality (power iteration on I + A) and population std of Katz centrality.
 
-    Graphs of at most ``small`` nodes are one bounded co-group each. Larger
-    graphs are never brought together: they iterate as joins on
-    ``(graph_id, node)`` until their vectors settle.
+    A vector is taken from the first round whose change, summed over the nodes, is below ``tol`` per node, and is 0 if ``rounds``
+    pass without one. Graphs of at most ``small`` nodes are one bounded co-group each; larger ones are never brought together and
+    iterate as joins on ``(graph_id, node)``. Both follow the same rounds and the same rule.
     """
     size = nodes.groupBy(G).agg(F.count("*").alias("_n"))
-    few, many = size.where(F.col("_n") <= small).select(G), size.where(F.col("_n") > small).select(G)
+    few, many = size.where(F.col("_n") <= small).select(G), size.where(F.col("_n") > small).select(G, "_n")
     t = nodes.schema[G].dataType.simpleString()
     local = nodes.join(few, G, "left_semi").select(G, "node").groupBy(G).cogroup(
         edges.join(few, G, "left_semi").select(F.col(G).alias("_g"), "src", "dst").groupBy("_g")).applyInPandas(
         _small_spectral(alpha, beta, tol, rounds), f"{G} {t}, eigenvector_mean double, katz_std double")
     if many.isEmpty():
         return local
-    return local.unionByName(_joined_spectral(nodes.join(many, G, "left_semi"), edges.join(many, G, "left_semi"), rounds, alpha, beta, tol, per_checkpoint))
+    return local.unionByName(_joined_spectral(nodes.join(many, G).select(G, "node", "_n"), edges.join(many, G, "left_semi"), rounds, alpha, beta, tol))
 
 
-def _joined_spectral(nodes, edges, rounds, alpha, beta, tol, per_checkpoint) -> DataFrame:
-    # a loop row per node carries its own value over, so each round reads the vector once
+def _joined_spectral(nodes: DataFrame, edges: DataFrame, rounds: int, alpha: float, beta: float, tol: float) -> DataFrame:
+    # a loop row per node carries its own value over, so each round reads the vectors once
     loops = nodes.select(G, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("own"))
     adj = cut_lineage(both_ways(edges).withColumn("own", F.lit(False)).unionByName(loops))
-    x = nodes.select(G, F.col("node").alias("dst"), F.lit(1.0).alias("ev"), F.lit(0.0).alias("kz"))
     own = F.col("own")
-
-    def scaled(v: DataFrame) -> DataFrame:
-        unit = v.groupBy(G).agg(F.sqrt(F.sum(F.col("ev") * F.col("ev"))).alias("_e"))
-        return cut_lineage(v.join(unit, G).withColumn("ev", F.col("ev") / F.col("_e")).drop("_e"))
-
-    def advance(v: DataFrame) -> DataFrame:
-        return adj.join(v, [G, "dst"]).groupBy(G, F.col("src").alias("node")).agg(
-            F.sum("ev").alias("ev"), F.sum(F.when(own, beta).otherwise(F.col("kz") * alpha)).alias("kz")).withColumnRenamed("node", "dst")
-
-    gap = None
-    for done in range(per_checkpoint, rounds + per_checkpoint, per_checkpoint):
-        for _ in range(per_checkpoint - 1):
-            x = advance(x)
-        before = scaled(x)
-        x = scaled(advance(before))
-        pair = x.join(before.select(G, "dst", F.col("ev").alias("_ev"), F.col("kz").alias("_kz")), [G, "dst"])
-        gap = pair.groupBy(G).agg(F.sum(F.abs(F.col("ev") - F.col("_ev"))).alias("_ge"), F.sum(F.abs(F.col("kz") - F.col("_kz"))).alias("_gk"), F.count("*").alias("_n"))
-        still = gap.where(F.col("_ge") >= tol * F.col("_n")).limit(1).count() + gap.where((F.col("_gk") >= tol * F.col("_n")) & (F.col("_gk") < 1e100)).limit(1).count()
-        if not still:
+    x = nodes.select(G, "node", "_n", (1.0 / F.col("_n")).alias("ev"), F.lit(0.0).alias("kz"), F.lit(False).alias("ev_done"), F.lit(False).alias("kz_done"))
+    for done in range(1, rounds + 1):
+        v = x.select(G, F.col("node").alias("dst"), "ev", "kz")
+        y = adj.join(v, [G, "dst"]).groupBy(G, F.col("src").alias("node")).agg(
+            F.sum("ev").alias("ev2"), F.sum(F.when(own, beta).otherwise(F.col("kz") * alpha)).alias("kz2"))
+        both = x.join(y, [G, "node"])
+        unit = both.groupBy(G).agg(F.sqrt(F.sum(F.col("ev2") * F.col("ev2"))).alias("_e"))
+        both = both.join(unit, G).withColumn("ev2", F.col("ev2") / F.col("_e"))
+        gap = both.groupBy(G).agg(F.sum(F.abs(F.col("ev2") - F.col("ev"))).alias("_ge"), F.sum(F.abs(F.col("kz2") - F.col("kz"))).alias("_gk"))
+        keep = lambda name: F.when(F.col(f"{name}_done"), F.col(name)).otherwise(F.col(f"{name}2")).alias(name)
+        # a settled vector stays as it is; the other one goes on
+        x = cut_lineage(both.join(gap, G).select(
+            G, "node", "_n", keep("ev"), keep("kz"), (F.col("ev_done") | (F.col("_ge") < F.col("_n") * tol)).alias("ev_done"),
+            (F.col("kz_done") | (F.col("_gk") < F.col("_n") * tol)).alias("kz_done")))
+        if not x.where("not (ev_done and kz_done)").limit(1).count():
             break
     k = x.groupBy(G).agg(F.sqrt(F.sum(F.col("kz") * F.col("kz"))).alias("_k"))
-    unit = x.join(k, G).join(gap, G)
-    return unit.groupBy(G).agg(
-        F.when(F.first("_ge") < tol * F.first("_n"), F.avg("ev")).otherwise(0.0).alias("eigenvector_mean"),
-        F.when(F.first("_gk") < tol * F.first("_n"), F.stddev_pop(F.col("kz") / F.col("_k"))).otherwise(0.0).alias("katz_std"))
+    return x.join(k, G).groupBy(G).agg(
+        F.when(F.every("ev_done"), F.avg("ev")).otherwise(0.0).alias("eigenvector_mean"),
+        F.when(F.every("kz_done"), F.stddev_pop(F.col("kz") / F.col("_k"))).otherwise(0.0).alias("katz_std"))
 
 
 def kind_fractions(nodes: DataFrame, edges: DataFrame, node_kinds: list[str], edge_kinds: list[str], common: str) -> DataFrame:

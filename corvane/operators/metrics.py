@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions.numeric import log_softmax
 from corvane.operators.ordered import average_ranks, exact_quantiles, prefix_sums, with_bucket, with_next  # noqa: F401
-from corvane.session import cut_lineage
+from corvane.session import cut_lineage, join_small
 
 
 # ---- classification ---------------------------------------------------------------
@@ -212,7 +212,7 @@ def focal_loss(df: DataFrame, by: list[str], gamma: float = 2.0, alpha: list[flo
 
 def weighted_ce(df: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
     """Weighted mean of the cross-entropy; ``weights(y, weight)`` has one row per class."""
-    j = df.join(weights, "y")
+    j = join_small(df, weights, ["y"])
     return j.groupBy(*by).agg((F.sum(-F.col("weight") * _log_p("logits", "y")) / F.sum("weight")).alias("weighted_ce"))
 
 

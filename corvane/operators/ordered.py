@@ -18,15 +18,24 @@ from corvane.session import default_buckets
 BUCKET = "_bucket"
 
 
+def _as_number(df: DataFrame, order: str) -> Column:
+    """A double that never falls while ``order`` rises; values that share one only share a bucket."""
+    if df.schema[order].dataType.typeName() in ("string", "char", "varchar"):
+        # the first six bytes, padded, as a number
+        head = F.rpad(F.hex(F.substring(F.col(order).cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return F.col(order).cast("double")
+
+
 def with_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
-    """Adds an equi-depth bucket id that is monotone in the numeric column ``order``.
+    """Adds an equi-depth bucket id that is monotone in the numeric or text column ``order``.
 
     The split points come from one approximate-quantile aggregate over all rows.
     They only decide balance; every result built on top is exact.
     """
     n = buckets or default_buckets(df.sparkSession)
     cuts = [i / n for i in range(1, n)]
-    value = F.col(order).cast("double")
+    value = _as_number(df, order)
     points = df.select(F.percentile_approx(value, cuts, max(1000, 10 * n))).scalar()
     # how many cuts lie below the value: binary search with halving strides, log2(n) steps per row
     strides = F.array(*[F.lit(1 << b) for b in reversed(range((n - 1).bit_length()))])
@@ -76,8 +85,8 @@ def dense_index(
 ) -> DataFrame:
     """0-based position of each row inside its ``by`` group, in rising ``(order, tie)``.
 
-    Equals ``row_number() - 1`` but without one task per group. ``order`` is
-    numeric and drives the buckets; ``tie`` settles equal values; ``total`` names
+    Equals ``row_number() - 1`` but without one task per group. ``order`` (numbers
+    or text) drives the buckets; ``tie`` settles equal values; ``total`` names
     an extra column with the group's size.
     """
     keyed = with_bucket(df, order, buckets)

@@ -233,8 +233,25 @@ def normal_tail(z: Column) -> Column:
     return F.exp(-z * z / 2.0) * 0.3989422804014327 * poly
 
 
+EXACT_PAIRS = 50
+
+
+def exact_tail(n: Column, w: Column) -> Column:
+    """P(W <= w) for ``n`` untied differences: subsets of 1..n by their sum, each sum's count from those without the last rank."""
+    def add(ways: Column, rank: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(ways) + rank - 1),
+                           lambda s: F.coalesce(F.get(ways, s), F.lit(0.0)) + F.coalesce(F.get(ways, s - rank), F.lit(0.0)))
+
+    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), add)
+    below = F.aggregate(F.slice(ways, 1, F.floor(w).cast("int") + 1), F.lit(0.0), lambda a, b: a + b)
+    return below / F.pow(F.lit(2.0), n)
+
+
 def wilcoxon(df: DataFrame, diff: str, by: list[str]) -> DataFrame:
-    """Signed-rank test on differences: zeros dropped, average ranks, normal approximation with tie correction."""
+    """Signed-rank test on differences: zeros dropped, average ranks.
+
+    p is exact for up to ``EXACT_PAIRS`` differences without ties or zeros, else the normal approximation with tie correction.
+    """
     d = df.where(F.col(diff) != 0).withColumn("_abs", F.abs(diff))
     counts = d.groupBy(*by, "_abs").agg(F.count_if(F.col(diff) > 0).alias("_up"), F.count("*").alias("_w"))
     ranked = counts.join(average_ranks(counts, by, "_abs", name="_r"), [*by, "_abs"])
@@ -244,8 +261,11 @@ def wilcoxon(df: DataFrame, diff: str, by: list[str]) -> DataFrame:
     n = F.col("_n")
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0
     z = F.abs(F.least("w_plus", "w_minus") - n * (n + 1) / 4.0) / F.sqrt(var)
-    tests = s.select(*by, F.least("w_plus", "w_minus").alias("w"), F.least(F.lit(1.0), 2.0 * normal_tail(z)).alias("p"))
     about = df.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg(diff).alias("mean_diff"),
                                 F.avg((F.col(diff) > 0).cast("double")).alias("share_better"))
+    w = F.least("w_plus", "w_minus")
+    untied = (n <= EXACT_PAIRS) & (F.col("_ties") == 0) & (F.col("n_pairs") == n)
+    tail = F.when(untied, exact_tail(F.when(untied, n).otherwise(1.0), w)).otherwise(normal_tail(z))
+    tests = s.join(about.select(*by, "n_pairs"), by).select(*by, w.alias("w"), F.least(F.lit(1.0), 2.0 * tail).alias("p"))
     medians = M.exact_quantiles(df, by, diff, {"median_diff": 0.5})
     return about.join(medians, by).join(tests, by, "left")

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 TILE_ROWS = 32_768
 TILE_BYTES = 128 * 1024 * 1024  # one side of one tile
 SCORE_CELLS = 4_000_000  # scores held at once inside a task
+SCORE_DIGITS = 12  # blocks of other shapes add up in another order; beyond these digits scores count as equal
 LIBRARY_STEP = 8_192  # library rows scored at once inside a task
 
 
@@ -97,7 +99,7 @@ class _Best:
             self.scores = np.full((len(q_ids), self.k), -np.inf)
             self.ids = np.full((len(q_ids), self.k), np.iinfo(np.int64).max)
         for part, q_part, ids, lib_part in _pieces(q_ids, q, l_ids, lib):
-            s = self.score(q_part, lib_part)
+            s = np.round(self.score(q_part, lib_part), SCORE_DIGITS)
             if self.exclude_self:
                 s = np.where(q_ids[part][:, None] == ids[None, :], -np.inf, s)
             new_s, new_i = self._top(s, ids)
@@ -179,6 +181,21 @@ def _read(table, id_col: str, cols: list[str]):
     return ids, out
 
 
+def usable(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows whose arrays are all there and hold only finite numbers; the others have no neighbours and are none.
+
+    Repair vectors first (``vectors.repair``) to keep such rows.
+    """
+    def fine(c: str) -> Column:
+        if df.schema[c].dataType.elementType.typeName() in ("float", "double"):
+            whole = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+        else:
+            whole = F.forall(c, lambda x: x.isNotNull())
+        return F.coalesce(whole & (F.size(c) > 0), F.lit(False))
+
+    return df.where(reduce(lambda a, b: a & b, [fine(c) for c in cols]))
+
+
 def _measure(df: DataFrame, cols: list[str], limit_bytes: int) -> tuple[bool, int]:
     """Whether a side is known to be within ``limit_bytes``, and the bytes of one row.
 
@@ -199,8 +216,7 @@ def _measure(df: DataFrame, cols: list[str], limit_bytes: int) -> tuple[bool, in
 def _meet(queries: DataFrame, library: DataFrame, q_cols, l_cols, make, limit_bytes: int, tile_rows: int) -> DataFrame:
     """Runs ``make()`` accumulators over all query and library blocks."""
     spark = queries.sparkSession
-    q = queries.select("query_id", *q_cols)
-    lib = library.select("lib_id", *l_cols)
+    q, lib = usable(queries.select("query_id", *q_cols), q_cols), usable(library.select("lib_id", *l_cols), l_cols)
     schema = make().schema
 
     small, row_bytes = _measure(lib, l_cols, limit_bytes)

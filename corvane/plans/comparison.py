@@ -86,6 +86,20 @@ def a26(spark, sf):
     return show(X.flip_counts(X.row_gain(inputs.binary_rows(spark, sf), "model", 2, 1, "row_id", "seed")), [], ["corrected", "broken", "both_wrong", "both_right"])
 
 
+@plan("A26_flip_counts_regression", f"""
+WITH {inputs.REG_SQL}, p AS (SELECT row_id, s AS seed, y, pred + (s - 42) * 900.0::double AS pb, pred * 0.9::double + y * 0.1::double + (row_id % 7 - 3) * 2500.0::double AS pa FROM reg_rows, (SELECT unnest([42, 43]) AS s)),
+sd AS (SELECT stddev_pop(y) AS sd FROM p),
+g AS (SELECT row_id, avg(abs(pb - y) / sd) - avg(abs(pa - y) / sd) AS gain, avg(pa - y) AS ra, avg(pb - y) AS rb FROM p, sd GROUP BY 1)
+SELECT count(*) FILTER (WHERE gain > 0.05) AS corrected, count(*) FILTER (WHERE gain < -0.05) AS broken, count(*) FILTER (WHERE abs(gain) <= 0.05) AS unchanged, {r6('corr(ra, rb)')} AS error_corr FROM g
+""")
+def a26_regression(spark, sf):
+    rows = inputs.regression_rows(spark, sf).select("row_id", "y", "pred", F.explode(F.array(F.lit(42), F.lit(43))).alias("seed"))
+    b = rows.select("row_id", "seed", "y", F.lit("b").alias("arm"), (F.col("pred") + (F.col("seed") - 42) * 900.0).alias("pred"))
+    a = rows.select("row_id", "seed", "y", F.lit("a").alias("arm"), (F.col("pred") * 0.9 + F.col("y") * 0.1 + (F.col("row_id") % 7 - 3) * 2500.0).alias("pred"))
+    gains_of = X.row_gain(a.unionByName(b), "arm", "a", "b", "row_id", "seed", regression=True)
+    return show(X.regression_flips(gains_of), [], ["corrected", "broken", "unchanged"])
+
+
 @plan("A28_drift", f"""
 WITH p AS (SELECT vec_id, label, embedding::double[] AS b, list_transform(embedding::double[], lambda x, i: x + ((vec_id * 7 + i * 13) % 11) / 100.0::double) AS a FROM embeddings),
 c AS (SELECT label, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS cos FROM p)
@@ -290,4 +304,4 @@ def w18(spark, sf):
 def p22(spark, sf):
     from corvane.operators import cleaning, context
     full = context.profile_and_density(inputs.neighbours(spark, sf), inputs.PROPS)
-    return show(cleaning.feature_groups(full, ["query_id"], "B"), ["query_id"])
+    return show(cleaning.feature_groups(full, ["query_id"], "B", context.group_map(inputs.PROPS)), ["query_id"])

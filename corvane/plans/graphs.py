@@ -88,7 +88,19 @@ def g7(spark, sf):
     return show(GR.path_features(nodes, GR.shortest_paths(edges)), ["graph_id"], ["diameter", "wiener"])
 
 
-@plan("G8_betweenness")
+@plan("G8_betweenness", f"""
+WITH RECURSIVE {GRAPH_SQL},
+bfs AS (SELECT graph_id, node AS s, [{{'v': node, 'p': 1.0::double}}] AS front, [node] AS seen, 0 AS d FROM nodes
+  UNION ALL SELECT b.graph_id, b.s, n.nxt, list_concat(b.seen, list_transform(n.nxt, lambda x: x.v)), b.d + 1 FROM bfs b,
+   LATERAL (SELECT list({{'v': dst, 'p': p}}) AS nxt FROM (SELECT adj.dst, sum(f.f.p) AS p FROM (SELECT unnest(b.front) AS f) f JOIN adj ON adj.graph_id = b.graph_id AND adj.src = f.f.v
+     WHERE NOT list_contains(b.seen, adj.dst) GROUP BY adj.dst)) n WHERE n.nxt IS NOT NULL AND len(n.nxt) > 0),
+path AS MATERIALIZED (SELECT graph_id, s, x.v AS t, x.p AS p, d FROM (SELECT graph_id, s, unnest(front) AS x, d FROM bfs)),
+mid AS (SELECT a.graph_id, a.t AS node, sum(a.p * b.p / c.p) AS b FROM path a JOIN path b ON a.graph_id = b.graph_id AND a.t = b.s
+  JOIN path c ON c.graph_id = a.graph_id AND c.s = a.s AND c.t = b.t WHERE a.d > 0 AND b.d > 0 AND c.d = a.d + b.d GROUP BY 1, 2),
+n AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1),
+per AS (SELECT graph_id, CASE WHEN n > 2 THEN coalesce(b, 0) / ((n - 1) * (n - 2)) ELSE 0 END AS b FROM nodes JOIN n USING (graph_id) LEFT JOIN mid USING (graph_id, node))
+SELECT graph_id, {r6('avg(b)')} AS betweenness_mean, {r6('stddev_pop(b)')} AS betweenness_std FROM per GROUP BY 1
+""")
 def g8(spark, sf):
     nodes, edges = word_graph(spark, sf)
     return show(GR.betweenness(nodes, edges, GR.shortest_paths(edges)), ["graph_id"])

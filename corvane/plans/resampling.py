@@ -193,13 +193,15 @@ PHI = "(exp(-z*z/2.0::double) * 0.3989422804014327::double * t * (0.319381530::d
 
 
 @plan("B12_wilcoxon", f"""
-WITH {inputs.CELL_SQL}, d AS (SELECT a.dataset, a.test - b.test AS diff FROM cells a JOIN cells b USING (dataset, emb, seed) WHERE a.tree = 'F' AND b.tree = 'O' AND a.test IS NOT NULL AND b.test IS NOT NULL),
+WITH RECURSIVE {inputs.CELL_SQL},
+ways AS (SELECT 0 AS k, [1.0::double] AS l UNION ALL SELECT k + 1, list_transform(range(0, len(l) + k + 1), lambda s: coalesce(l[s + 1], 0) + CASE WHEN s > k THEN coalesce(l[s - k], 0) ELSE 0 END) FROM ways WHERE k < 50), d AS (SELECT a.dataset, a.test - b.test AS diff FROM cells a JOIN cells b USING (dataset, emb, seed) WHERE a.tree = 'F' AND b.tree = 'O' AND a.test IS NOT NULL AND b.test IS NOT NULL),
+tied AS (SELECT dataset, count(*) > count(DISTINCT abs(diff)) OR count(*) FILTER (WHERE diff = 0) > 0 AS tied FROM d GROUP BY 1),
 nz AS (SELECT dataset, diff, abs(diff) AS ab FROM d WHERE diff <> 0), r AS (SELECT dataset, diff, ab, {rank_sql('ab', 'dataset', 'r')} FROM nz),
 w AS (SELECT dataset, coalesce(sum(r) FILTER (WHERE diff > 0), 0) AS up, coalesce(sum(r) FILTER (WHERE diff < 0), 0) AS dn, count(*)::double AS n FROM r GROUP BY 1),
 z AS (SELECT dataset, least(up, dn) AS w, abs(least(up, dn) - n * (n + 1) / 4.0::double) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::double) AS z FROM w),
-p AS (SELECT dataset, w, z, 1 / (1 + 0.2316419::double * z) AS t FROM z),
+p AS (SELECT z.dataset, w.n, z.w, z, 1 / (1 + 0.2316419::double * z) AS t FROM z JOIN w USING (dataset)),
 s AS (SELECT dataset, count(*) AS n_pairs, avg(diff) AS mean_diff, avg((diff > 0)::int) AS share_better, quantile_cont(diff, 0.5) AS median_diff FROM d GROUP BY 1)
-SELECT dataset, n_pairs, {r6('mean_diff')} AS mean_diff, {r6('share_better')} AS share_better, {r6('median_diff')} AS median_diff, {r6('w')} AS w, {r6(f'least(1, 2 * {PHI})')} AS p FROM s JOIN p USING (dataset)
+SELECT dataset, n_pairs, {r6('mean_diff')} AS mean_diff, {r6('share_better')} AS share_better, {r6('median_diff')} AS median_diff, {r6('w')} AS w, {r6(f'least(1, 2 * CASE WHEN NOT tied AND n <= 50 THEN list_sum(l[1:floor(w)::int + 1]) / 2.0::double ** n ELSE {PHI} END)')} AS p FROM s JOIN p USING (dataset) JOIN tied USING (dataset) LEFT JOIN ways ON k = n
 """)
 def b12(spark, sf):
     c = inputs.cells(spark, sf).where("tree IN ('F', 'O') AND test IS NOT NULL").drop("cv", "n")

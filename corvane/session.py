@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str = "8", name: str = "corvane") -> SparkSession:
@@ -59,6 +59,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which the small side of ``join_small`` is broadcast.
+SMALL_ROWS = 1_000_000
+
+
+def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins a huge table with a table that has one row per key.
+
+    The small side is written and counted first. Up to ``SMALL_ROWS`` rows it is broadcast, so the huge side stays where it is,
+    however few keys it has; beyond that there are many keys and an ordinary join spreads them.
+    """
+    small = cut_lineage(small)
+    return df.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, on, how)
+
+
 def default_buckets(spark: SparkSession) -> int:
     """Bucket count for two-level ordered operators, tied to the cluster's parallelism."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

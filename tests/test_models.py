@@ -25,9 +25,9 @@ def test_search_space_and_arms():
     space = ML.search_space(7, 20, "binary")
     assert space == ML.search_space(7, 20, "binary") and len(space) == 20
     assert all(3 <= s["max_depth"] <= 10 and 100 <= s["n_trees"] <= 600 and 1e-3 <= s["learning_rate"] <= 1e-1 for s in space)
-    arms = ML.ablation_arms("ft", "pc", {"A": "a", "B": "b"})
-    assert list(arms) == ["PC_only", "FT_only", "base_FT+PC", "+A", "+B", "full", "full-A", "full-B"]
-    assert arms["full-A"] == ["ft", "pc", "b"] and arms["+B"] == ["ft", "pc", "b"]
+    arms = ML.ablation_arms({"one": ["pc"], "two": ["ft", "pc"]}, ["ft", "pc"], {"A": "a", "B": "b"})
+    assert list(arms) == ["one", "two", "plus A", "plus B", "all", "all but A", "all but B"]
+    assert arms["all but A"] == ["ft", "pc", "b"] and arms["plus B"] == ["ft", "pc", "b"] and arms["one"] == ["pc"]
 
 
 def test_balanced_weights_and_pooling(spark):
