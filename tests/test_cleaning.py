@@ -148,3 +148,25 @@ def test_missing_artifact_promotes_the_next(spark):
     df = spark.createDataFrame([("d", f"m{i}", 1.0 - i / 10, i != 0) for i in range(7)], "d string, m string, v double, ok boolean")
     got = X.top_available(df, ["d"], "m", "v", "ok", 5).orderBy("rank").collect()
     assert [(r["m"], r["original_rank"], r["rank"]) for r in got] == [(f"m{i}", i + 1, i) for i in range(1, 6)]
+
+
+def test_cell_rules_one_by_one(spark):
+    from corvane.functions.text import clean_cell
+
+    cases = {
+        r" \textbf{X}\textsuperscript{a}$^*$ ": "X", r"\textsuperscript{ab}Y": "Y", r"\emph{a b}": "a b", r"1.5$^{*}$": "1.5", r"$0.42$": "0.42",
+        r"50\% \& more": "50% & more", r"model\_name": "model_name", r"{grouped}": "grouped", "plain": "plain",
+    }
+    df = spark.createDataFrame(list(cases.items()), "raw string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", clean_cell(F.col("raw")).alias("got")).collect())
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+
+    from corvane.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))

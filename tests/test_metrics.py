@@ -174,3 +174,42 @@ def test_flip_counts(spark):
     g = spark.createDataFrame([(1.0, 0.0), (0.0, 1.0), (0.0, 0.0), (1.0, 1.0), (0.5, 0.0)], "a double, b double")
     r = X.flip_counts(g).first()
     assert (r["corrected"], r["broken"], r["both_wrong"], r["both_right"]) == (1, 1, 1, 1)
+
+
+def test_cell_draws_are_fair_and_repeat(spark):
+    rng = np.random.default_rng(5)
+    y, p = rng.integers(0, 2, 300), rng.integers(0, 2, 300)
+    d = pred(spark, y.tolist(), p.tolist())
+    per = B.class_draws(d, ["g"], 600, 3, False)
+    got = np.array([r["accuracy"] for r in per.collect()])
+    hit = (y == p).mean()
+    assert len(got) == 600 and abs(got.mean() - hit) < 0.01
+    assert abs(got.std() / np.sqrt(hit * (1 - hit) / 300) - 1) < 0.1
+    assert rows(per, "draw") == rows(B.class_draws(d.repartition(5), ["g"], 600, 3, False), "draw")
+    strata = B.drawn_confusion(d, ["g"], 20, 1, True).groupBy("draw", "y").agg(F.sum("n").alias("n")).collect()
+    assert {(r["y"], r["n"]) for r in strata} == {(1, int(y.sum())), (0, 300 - int(y.sum()))}
+
+
+def test_plain_draws_skip_only_single_class_draws(spark):
+    d = pred(spark, [0] * 20 + [1] * 20 + [2], [0] * 20 + [1] * 21)
+    assert B.class_draws(d, ["g"], 200, 7, False).count() == 200
+
+
+def test_exact_signed_rank_tail(spark):
+    from itertools import product
+
+    for n in (1, 5, 9):
+        sums = [sum(r for r, s in zip(range(1, n + 1), signs) if s) for signs in product((0, 1), repeat=n)]
+        for w in range(0, n * (n + 1) // 2 + 1, 3):
+            got = spark.range(1).select(B.exact_tail(F.lit(float(n)), F.lit(float(w))).alias("p")).first()["p"]
+            assert abs(got - sum(x <= w for x in sums) / 2**n) < 1e-12
+
+
+def test_regression_gain_and_flips(spark):
+    data = [("a", 1, i, float(i), i + e) for i, e in enumerate([0.0, 4.0, 1.0])] + [("b", 1, i, float(i), i + e) for i, e in enumerate([3.0, 0.0, -1.0])]
+    g = X.row_gain(spark.createDataFrame(data, "arm string, seed int, row_id int, y double, pred double"), "arm", "a", "b", "row_id", "seed", True)
+    sd = np.std([0, 1, 2])
+    got = {r["row_id"]: r for r in g.collect()}
+    assert abs(got[0]["a"]) < 1e-12 and abs(got[0]["b"] - 3 / sd) < 1e-9 and abs(got[0]["gain"] - 3 / sd) < 1e-9 and got[2]["raw_b"] == -1.0
+    r = X.regression_flips(g).first()
+    assert (r["corrected"], r["broken"], r["unchanged"]) == (1, 1, 1)

@@ -60,3 +60,13 @@ def test_event_order_operators_cross_bucket_edges(spark):
     assert [r["p"] for r in prior] == [None, 5, 5, 9, 9, 9]
     carried = O.carry_forward(df, ["u"], "day", ["i"], {"m": "c"}).orderBy("i").collect()
     assert [r["c"] for r in carried] == [None, 7, 7, 7, 8, 8]
+
+
+def test_text_order(spark):
+    import random
+
+    rnd = random.Random(0)
+    ids = list({"".join(rnd.choice("abéZ ") for _ in range(rnd.randint(0, 9))) for _ in range(120)})
+    df = spark.createDataFrame([(x,) for x in ids], "id string")
+    got = {r["id"]: r["idx"] for r in O.dense_index(df, [], "id", buckets=7).collect()}
+    assert got == {x: i for i, x in enumerate(sorted(ids, key=lambda s: s.encode()))}

@@ -115,3 +115,11 @@ def test_bits_round_trip(spark, n_bits):
 def test_short_text_has_an_empty_fingerprint(spark):
     df = spark.createDataFrame([("two words",), ("",)], "t string")
     assert [r[0] for r in df.select(V.popcount(FP.hashed_fingerprint(F.col("t")))).collect()] == [0, 0]
+
+
+def test_unusable_vectors_are_left_out(spark):
+    lib = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [0.0, 1.0]), (5, [None, 1.0])], "lib_id bigint, vec array<double>")
+    q = spark.createDataFrame([(7, [1.0, 1.0]), (8, None), (9, [float("inf"), 0.0])], "query_id bigint, vec array<double>")
+    for way in WAYS.values():
+        got = [(r["query_id"], r["rank"], r["lib_id"]) for r in R.topk_cosine(q, lib, 3, **way).orderBy("rank").collect()]
+        assert got == [(7, 1, 1), (7, 2, 4)]
