@@ -12,9 +12,11 @@ are cut; repeated rows are packed each; an empty table gives an empty table; oth
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,21 @@ SHARD_PIECES, HANDED_ON = 20_000, 64
 CACHED_WORDS, CACHED_LENGTH = 500_000, 64
 
 
+def _cut(text: bytes) -> list[bytes]:
+    """Words, lower-cased in A-Z, with closing punctuation after a letter on its own: the tokenizer does both as well, and fewer
+    different words are left. A text that may spell a special token keeps its case, since those are matched as written."""
+    return _CLOSING.sub(b" ", text if b"<|" in text else text.lower()).split()
+
+
+#: Where closing punctuation follows a letter, at the end of a word.
+_CLOSING = re.compile(rb"(?<=[a-z])(?=[.,;:!?]+(?:\s|$))")
+
+
+#: The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
 class WordEncoder:
     """Token ids of whole texts, word by word.
 
@@ -43,17 +60,25 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list) -> list[np.ndarray]:
-        words = [(t or "").encode().split() for t in texts]
+        words = [_cut((t or "").encode()) for t in texts]
         fresh = set().union(*words).difference(self.known)
         if len(self.known) + len(fresh) > CACHED_WORDS:
             self.known = {}
             fresh = set().union(*words)
-        fresh = list(fresh)
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
-            self.known[w] = array("I", e.ids).tobytes()
+        whole = []
+        for w in fresh:
+            word = w.decode()
+            if word.isalpha() and word == word.lower() and is_normalized("NFC", word):
+                # one run of letters that normalisation leaves alone goes straight to the tokenizer's model
+                self.known[w] = array("I", [t.id for t in self.model.tokenize(word if word.isascii() else w.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+            else:
+                whole.append(word)
+        for word, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            self.known[word.encode()] = array("I", e.ids).tobytes()
         known, closing = self.known.__getitem__, np.array([END], "<u4").tobytes()
         out = [np.frombuffer(b"".join(map(known, ws)) + closing, "<u4") for ws in words]
         for w in fresh:
