@@ -54,15 +54,40 @@ def picks(draw: int, slots: np.ndarray, seed: int, stratum: int, n: int) -> np.n
     return x % n
 
 
-def _cells(pred: DataFrame, by: list[str], row_id: str) -> DataFrame:
+def _cells(pred: DataFrame, by: list[str], row_id: str, value: str = "pred") -> DataFrame:
     """``y``, ``arms`` (sorted structs of the ``by`` values and the prediction), ``key``, ``n`` rows."""
-    arms = F.sort_array(F.collect_list(F.struct(*by, "pred")))
+    arms = F.sort_array(F.collect_list(F.struct(*by, F.col(value).alias("pred"))))
     rows = pred.groupBy(row_id).agg(F.first("y").alias("y"), arms.alias("arms"))
     name = lambda a: F.concat_ws("=", F.concat_ws(":", *[a[c].cast("string") for c in by]), a["pred"].cast("string"))
     key = F.concat_ws("|", F.col("y").cast("string"), F.array_join(F.transform("arms", name), ","))
     return rows.withColumn("key", key).groupBy("key").agg(F.first("y").alias("y"), F.first("arms").alias("arms"), F.count("*").alias("n"))
 
 
+def _drawer(table: list, seed: int, stratified: bool):
+    """A function of the draw: how often each cell of ``table`` (in the order of its keys) is drawn."""
+    strata = sorted({str(r["y"]) for r in table}) if stratified else ["all"]
+    of = np.array([strata.index(str(r["y"])) if stratified else 0 for r in table])
+    size = np.array([r["n"] for r in table], np.int64)
+
+    def times_of(draw: int) -> np.ndarray:
+        times = np.zeros(len(size), np.int64)
+        for k in range(len(strata)):
+            mine = np.flatnonzero(of == k)
+            ends = np.cumsum(size[mine])
+            n = int(ends[-1])
+            for at in range(0, n, SLOTS_AT_ONCE):
+                drawn = picks(draw, np.arange(at, min(n, at + SLOTS_AT_ONCE)), seed, k, n)
+                times[mine] += np.bincount(np.searchsorted(ends, drawn, "right"), minlength=len(mine))
+        return times
+
+    return times_of
+
+
+def _over_draws(spark, n_draws: int, run, schema) -> DataFrame:
+    parts = max(1, min(n_draws, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, n_draws, 1, parts).mapInArrow(run, schema)
+
+
 def drawn_confusion(pred: DataFrame, by: list[str], n_draws: int, seed: int, stratified: bool, row_id: str = "row_id") -> DataFrame:
     """``by``, ``draw``, ``y``, ``pred``, ``n``: confusion counts of every arm in every draw; arms share the draws."""
     spark = pred.sparkSession
@@ -71,9 +96,7 @@ def drawn_confusion(pred: DataFrame, by: list[str], n_draws: int, seed: int, str
         d = draws(_one_per_row(pred, row_id), row_id, n_draws, seed, "y" if stratified else None)
         return M.confusion(pred.join(d, row_id), [*by, "draw"], weight="times")
     table = cells.orderBy("key").collect()
-    strata = sorted({str(r["y"]) for r in table}) if stratified else ["all"]
-    of = np.array([strata.index(str(r["y"])) if stratified else 0 for r in table])
-    size = np.array([r["n"] for r in table], np.int64)
+    times_of = _drawer(table, seed, stratified)
     # one column of the indicator per (arm, truth, prediction)
     columns: dict[tuple, int] = {}
     pairs = [(i, columns.setdefault((*[a[c] for c in by], r["y"], a["pred"]), len(columns))) for i, r in enumerate(table) for a in r["arms"]]
@@ -88,23 +111,13 @@ def drawn_confusion(pred: DataFrame, by: list[str], n_draws: int, seed: int, str
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for draw in batch.column(0).to_pylist():
-                times = np.zeros(len(table_size), np.int64)
-                for k in range(len(strata)):
-                    mine = np.flatnonzero(of == k)
-                    ends = np.cumsum(table_size[mine])
-                    n = int(ends[-1])
-                    for at in range(0, n, SLOTS_AT_ONCE):
-                        drawn = picks(draw, np.arange(at, min(n, at + SLOTS_AT_ONCE)), seed, k, n)
-                        times[mine] += np.bincount(np.searchsorted(ends, drawn, "right"), minlength=len(mine))
-                counts = np.bincount(column, times[cell], len(names)).astype(np.int64)
+                counts = np.bincount(column, times_of(draw)[cell], len(names)).astype(np.int64)
                 keep = np.flatnonzero(counts)
                 values = [[names[i][j] for i in keep] for j in range(len(by))]
                 values += [[draw] * len(keep), [names[i][-2] for i in keep], [names[i][-1] for i in keep], counts[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
 
-    table_size = size
-    parts = max(1, min(n_draws, 4 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, n_draws if len(table) else 0, 1, parts).mapInArrow(run, schema)
+    return _over_draws(spark, n_draws if table else 0, run, schema)
 
 
 def class_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int, stratified: bool, row_id: str = "row_id") -> DataFrame:
@@ -142,11 +155,53 @@ def bootstrap_percentile(pred: DataFrame, by: list[str], names: list[str], n_dra
     return observed.join(agg, [*by, "metric"])
 
 
-def bootstrap_auc(pred: DataFrame, by: list[str], n_draws: int, seed: int = 42, row_id: str = "row_id") -> DataFrame:
-    """AUC per draw, stratified; one-class draws give null."""
-    d = draws(_one_per_row(pred, row_id), row_id, n_draws, seed, "y")
-    counts = M.score_counts(pred.join(d, row_id), [*by, "draw"], weight="times")
-    return M.auc_from(counts, [*by, "draw"])
+def auc_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int = 42, stratified: bool = True, row_id: str = "row_id", score: str = "score") -> DataFrame:
+    """``by``, ``draw``, ``auc``: tie-aware AUC of every arm in every draw; null in draws of one class. Cells are rows with equal scores."""
+    spark = pred.sparkSession
+    cells = cut_lineage(_cells(pred, by, row_id, score))
+    if cells.count() > MOST_CELLS:
+        d = draws(_one_per_row(pred, row_id), row_id, n_draws, seed, "y" if stratified else None)
+        return M.auc_from(M.score_counts(pred.join(d, row_id), [*by, "draw"], weight="times"), [*by, "draw"])
+    table = cells.orderBy("key").collect()
+    times_of = _drawer(table, seed, stratified)
+    truth = np.array([r["y"] for r in table])
+    # per arm: the place of each cell among the arm's distinct scores
+    scores: dict[tuple, dict[int, float]] = {}
+    for i, r in enumerate(table):
+        for a in r["arms"]:
+            scores.setdefault(tuple(a[c] for c in by), {})[i] = a["pred"]
+    arms = []
+    for name, of in scores.items():
+        held = np.array(list(of), np.int64)
+        arms.append((name, held, np.unique(np.array([of[i] for i in held.tolist()], float), return_inverse=True)[1]))
+    schema = T.StructType([*[pred.schema[c] for c in by], T.StructField("draw", T.IntegerType()), T.StructField("auc", T.DoubleType())])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for draw in batch.column(0).to_pylist():
+                times, found = times_of(draw), []
+                for _, held, place in arms:
+                    up = np.bincount(place, times[held] * (truth[held] == 1))
+                    down = np.bincount(place, times[held] * (truth[held] == 0), len(up))
+                    pairs = up.sum() * down.sum()
+                    found.append(float((up * (np.cumsum(down) - down / 2)).sum() / pairs) if pairs else None)
+                values = [[name[j] for name, *_ in arms] for j in range(len(by))] + [[draw] * len(arms), found]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    return _over_draws(spark, n_draws if table else 0, run, schema)
+
+
+def bootstrap_auc(pred: DataFrame, by: list[str], n_draws: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Observed AUC, mean, sample sd and percentile interval of its draws, with the number of usable draws."""
+    per = auc_draws(pred, by, n_draws, seed)
+    agg = per.groupBy(*by).agg(
+        F.avg("auc").alias("mean"), F.stddev_samp("auc").alias("se"), F.percentile("auc", F.lit(alpha / 2)).alias("ci_lo"),
+        F.percentile("auc", F.lit(1 - alpha / 2)).alias("ci_hi"), F.count("auc").alias("n_valid"))
+    observed = M.auc(pred, by).select(*by, F.col("auc").alias("observed"))
+    return observed.join(agg, by).withColumn("metric", F.lit("auc"))
 
 
 def _arm_deltas(pred: DataFrame, arm: str, a, b, by: list[str], metric: str, n_draws: int, seed: int, stratified: bool):

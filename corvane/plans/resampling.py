@@ -37,18 +37,24 @@ def b2(spark, sf):
     return B.draws(table(spark, sf, "labels").select(F.col("doc_id").alias("row_id")), "row_id", ROWS, 42)
 
 
-def boot_sql(by, seed, stratified, n, source="binary_rows"):
-    """Metrics ``bt`` per draw: positions numbered cell by cell, picked by the integer recipe of the operator."""
+def cell_draw_sql(by, seed, stratified, n, source, value):
+    """Cells and how often each is drawn, by the integer recipe of the operator: ``drawn(draw, cell, times)``, ``arms(cell, ...)``."""
     b, arm = ", ".join(by), " || ':' || ".join(f"{c}::varchar" for c in by)
     stratum = "y::varchar" if stratified else "'all'"
     x = f"(d * 7919 + idx * 104729 + {seed} * 1299709 + k * 15485863 + 1) % 2147483647"
     steps = "".join(f",\ns{i} AS (SELECT d, stratum, n, (x * x + {c}) % 2147483647 AS x FROM s{i - 1})" for i, c in enumerate((11, 101, 1009, 10007), 1))
-    return f"""cell_rows AS MATERIALIZED (SELECT row_id, any_value(y) AS y, any_value(y)::varchar || '|' || string_agg({arm} || '=' || pred::varchar, ',' ORDER BY {b}) AS cell FROM {source} GROUP BY row_id),
+    return f"""cell_rows AS MATERIALIZED (SELECT row_id, any_value(y) AS y, any_value(y)::varchar || '|' || string_agg({arm} || '=' || {value}::varchar, ',' ORDER BY {b}) AS cell FROM {source} GROUP BY row_id),
 placed AS MATERIALIZED (SELECT cell, {stratum} AS stratum, row_number() OVER (PARTITION BY {stratum} ORDER BY cell, row_id) - 1 AS idx, count(*) OVER (PARTITION BY {stratum}) AS n,
   dense_rank() OVER (ORDER BY {stratum}) - 1 AS k FROM cell_rows),
 s0 AS (SELECT d, stratum, n, {x} AS x FROM placed, (SELECT unnest(range({n})) AS d)){steps},
 drawn AS MATERIALIZED (SELECT s4.d::int AS draw, cell, count(*) AS times FROM s4 JOIN placed p ON p.stratum = s4.stratum AND p.idx = s4.x % s4.n GROUP BY 1, 2),
-arms AS MATERIALIZED (SELECT DISTINCT cell, {', '.join('p.' + c for c in by)}, p.y, p.pred FROM {source} p JOIN cell_rows USING (row_id)),
+arms AS MATERIALIZED (SELECT DISTINCT cell, {', '.join('p.' + c for c in by)}, p.y, p.{value} FROM {source} p JOIN cell_rows USING (row_id))"""
+
+
+def boot_sql(by, seed, stratified, n, source="binary_rows"):
+    """Metrics ``bt`` per draw of more than one class."""
+    b = ", ".join(by)
+    return f"""{cell_draw_sql(by, seed, stratified, n, source, 'pred')},
 met AS (SELECT {b}, draw, y, pred, sum(times) AS times FROM drawn JOIN arms USING (cell) GROUP BY ALL),
 {conf_sql('met', [*by, 'draw'], 'bm', 'sum(times)')}, ok AS (SELECT {b}, draw FROM met GROUP BY ALL HAVING count(DISTINCT y) > 1),
 bt AS MATERIALIZED (SELECT bm.* FROM bm JOIN ok USING ({b}, draw))"""
@@ -73,6 +79,26 @@ def b4(spark, sf):
     return show(B.bootstrap_percentile(inputs.binary_rows(spark, sf), ["model", "seed"], ["f1_macro"], INTERVAL), ["model", "seed", "metric"], ["n_valid"])
 
 
+AUC_ROWS_SQL = f"""{BINARY_SQL}, scored AS (SELECT model, row_id, y, (score * 1e6)::bigint AS score FROM binary_rows WHERE seed = 42)"""
+
+
+@plan("B4_bootstrap_auc", f"""
+WITH {AUC_ROWS_SQL}, {cell_draw_sql(['model'], 42, True, INTERVAL, 'scored', 'score')},
+w AS (SELECT model, draw, score, sum(times) FILTER (WHERE y = 1) AS up, sum(times) FILTER (WHERE y = 0) AS down FROM drawn JOIN arms USING (cell) GROUP BY ALL),
+c AS (SELECT *, sum(coalesce(down, 0)) OVER (PARTITION BY model, draw ORDER BY score) AS upto FROM w),
+a AS (SELECT model, draw, sum(coalesce(up, 0) * (upto - coalesce(down, 0) / 2.0::double)) / (sum(up) * sum(down)) AS auc FROM c GROUP BY 1, 2),
+ow AS (SELECT model, score, count(*) FILTER (WHERE y = 1) AS up, count(*) FILTER (WHERE y = 0) AS down FROM scored GROUP BY ALL),
+oc AS (SELECT *, sum(down) OVER (PARTITION BY model ORDER BY score) AS upto FROM ow),
+o AS (SELECT model, sum(up * (upto - down / 2.0::double)) / (sum(up) * sum(down)) AS observed FROM oc GROUP BY 1)
+SELECT model, 'auc' AS metric, {r6('any_value(observed)')} AS observed, {r6('avg(auc)')} AS mean, {r6('stddev_samp(auc)')} AS se,
+  {r6('quantile_cont(auc, 0.025)')} AS ci_lo, {r6('quantile_cont(auc, 0.975)')} AS ci_hi, count(auc) AS n_valid FROM a JOIN o USING (model) GROUP BY 1
+""")
+def b4_auc(spark, sf):
+    # the models of one seed; scores as whole millionths, so that both engines write them alike
+    rows = inputs.binary_rows(spark, sf).where("seed = 42").select("model", "row_id", "y", F.round(F.col("score") * 1e6).cast("bigint").alias("score"))
+    return show(B.bootstrap_auc(rows, ["model"], INTERVAL), ["model", "metric"], ["n_valid"])
+
+
 def delta_sql(seed, stratified, n):
     return f"""two AS (SELECT * FROM binary_rows WHERE model IN (1, 2)), {boot_sql(['model', 'seed'], seed, stratified, n, 'two')}, {conf_sql('two', ['model', 'seed'])},
 obs AS (SELECT a.seed, a.mcc - b.mcc AS obs FROM m a JOIN m b ON a.seed = b.seed AND a.model = 1 AND b.model = 2),

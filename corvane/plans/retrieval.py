@@ -205,7 +205,7 @@ def n6(spark, sf):
 
 
 def _single_sql(k):
-    return f"SELECT {k} AS k, query_id, " + (profile_sql(["price"], [k]) + ", " + density_sql([k])).replace(
+    return f"SELECT {k} AS k, query_id, " + (profile_sql(inputs.PROPS, [k]) + ", " + density_sql([k])).replace(
         f"_k{k}", "").replace(f"AS k{k}_", "AS ") + " FROM nbk GROUP BY query_id"
 
 
@@ -217,13 +217,14 @@ WITH {VEC_SQL.replace('rank <= 20', 'rank <= 100').replace('nb AS', 'nbk AS')}
 {' UNION ALL '.join(_single_sql(k) for k in KS)}
 """)
 def n7(spark, sf):
-    nb = inputs.neighbours(spark, sf, k=max(KS)).select("query_id", "rank", "sim", "price")
+    nb = inputs.neighbours(spark, sf, k=max(KS)).select("query_id", "rank", "sim", *inputs.PROPS)
     # one retrieval at the largest k serves the whole sweep: each neighbour feeds every k it belongs to
     long = nb.withColumn("k", F.explode(F.array(*[F.lit(k) for k in KS]))).where(F.col("rank") <= F.col("k"))
     w = F.greatest(F.col("sim"), F.lit(0.0))
+    per = [c for p in inputs.PROPS for c in (
+        F.avg(p).alias(f"{p}_mean"), F.stddev_pop(p).alias(f"{p}_std"), (F.sum(F.col(p) * w) / (F.sum(w) + 1e-9)).alias(f"{p}_wmean"))]
     out = long.groupBy("k", "query_id").agg(
-        F.avg("price").alias("price_mean"), F.stddev_pop("price").alias("price_std"),
-        (F.sum(F.col("price") * w) / (F.sum(w) + 1e-9)).alias("price_wmean"),
+        *per,
         F.max(F.when(F.col("rank") == 1, F.col("sim"))).alias("nearest_sim"),
         F.avg("sim").alias("sim_mean"), F.stddev_pop("sim").alias("sim_std"))
     return _round_all(out, ["k", "query_id"])
