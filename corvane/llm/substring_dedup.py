@@ -43,9 +43,9 @@ LENGTH, GRAM = 50, 18
 #: Grams in a window; a token's windows start at most SPREAD - 1 bytes before it.
 SPREAD = LENGTH - GRAM + 1
 #: Documents of a chunk, sampled documents per range and at most, and sampled sightings from which a gram is spread by windows.
-CHUNK_DOCS, SAMPLE_DOCS, MOST_SAMPLED, HEAVY = 4096, 3, 40_000, 24
-#: Bytes, about, whose windows are sorted in one go.
-SORT_BYTES = 64_000_000
+CHUNK_DOCS, SAMPLE_DOCS, MOST_SAMPLED, HEAVY = 2048, 3, 40_000, 24
+#: Bytes, about, whose tokens are chosen, and whose windows are sorted, in one go (a single longer text or gram is taken whole).
+TOKEN_BYTES, SORT_BYTES = 2_000_000, 16_000_000
 LEVEL = 3
 
 
@@ -86,6 +86,20 @@ def tokens(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return place[cut], windows[cut], last, h[place[cut]]
 
 
+def tokens_in_parts(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """``tokens`` of a few texts at a time, so that working space does not grow with the chunk."""
+    parts, at = [], 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + TOKEN_BYTES)))
+        begin, end = starts[at], starts[stop - 1] + sizes[stop - 1]
+        place, low, high, gram = tokens(data[begin:end], starts[at:stop] - begin, sizes[at:stop])
+        parts.append((place + begin, low + begin, high + begin, gram))
+        at = stop
+    if not parts:
+        return list(tokens(data, starts, sizes))
+    return [np.concatenate(c) for c in zip(*parts)]
+
+
 def multikey_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of ``keys`` (big-endian words as columns) and, in that order, the column in which each row first differs
     from the one before; rows equal to it have the number of columns. Later columns are read only where rows still tie."""
@@ -168,7 +182,7 @@ class _Chunk:
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
         self.data = np.frombuffer(b"".join(parts), np.uint8)
-        self.place, self.low, self.high, hashes = tokens(self.data, self.starts, self.sizes)
+        self.place, self.low, self.high, hashes = tokens_in_parts(self.data, self.starts, self.sizes)
         self.text = np.searchsorted(self.starts, self.place, "right") - 1
         # texts without bytes share a start with the next one; the last of them is the one that holds the place
         self.grams, self.gram = np.unique(hashes >> np.uint64(16), return_inverse=True)
