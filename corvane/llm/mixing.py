@@ -112,13 +112,13 @@ def mix_sources(df: DataFrame, text: str = "text", source: str = "source", key:
     ``taken`` is a multiple of ``size`` and at most ``most`` times it, rounded up to whole passes; per source the sum of
     ``taken`` is below its target by less than the size of the document at the threshold (of all documents that share its hash).
     """
-    rows = without(df, ["size", "source_size", "target", "taken"])
+    rows = without(df, ["size", "source_size", "target", "taken", "_mix_source", "_mix_passes", "_mix_bound"])
     sized = rows.withColumn("size", word_count(F.col(text)))
     thin = cut_lineage(sized.select(F.col(source).alias("source"), "size", uniform_hash(F.col(key)).alias("hash")))
     targets = cut_lineage(source_targets(thin, weights, share, most))
     few = targets.count() <= BROADCAST_SOURCES
     found = thresholds(thin, targets, few)
-    side = found.select(F.col("source").alias("_source"), "source_size", "target", "passes", "bound")
-    out = sized.join(F.broadcast(side) if few else side, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
-    times = F.col("passes") + (uniform_hash(F.col(key)) < F.col("bound")).cast("long")
-    return out.withColumn("taken", (F.col("size") * times).cast("long")).drop("passes", "bound")
+    side = found.select(F.col("source").alias("_mix_source"), "source_size", "target", F.col("passes").alias("_mix_passes"), F.col("bound").alias("_mix_bound"))
+    out = sized.join(F.broadcast(side) if few else side, F.col(source).eqNullSafe(F.col("_mix_source")), "left")
+    times = F.col("_mix_passes") + (uniform_hash(F.col(key)) < F.col("_mix_bound")).cast("long")
+    return out.withColumn("taken", (F.col("size") * times).cast("long")).drop("_mix_source", "_mix_passes", "_mix_bound")

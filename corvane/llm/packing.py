@@ -148,7 +148,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces. Columns of the input with these names are replaced."""
-    names = ["sequence_id", "offset", "_shard", "_level"]
+    names = ["sequence_id", "offset", "_shard", "_open"]
     base = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in names])
     schema = T.StructType([*base.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_open", T.BooleanType())])
     level, done = 0, None

@@ -26,8 +26,8 @@ from corvane.llm.common import without
 
 #: Urls in one range, about; ranges are held by one task at a time.
 RANGE_ROWS = 50_000
-#: Ranges at least, and rows sampled per range to choose the splitters.
-LEAST_RANGES, SAMPLE = 16, 40
+#: Ranges at least, and rows sampled per range and at most to choose the splitters.
+LEAST_RANGES, SAMPLE, MOST_SAMPLED = 16, 16, 2_000_000
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
@@ -60,14 +60,14 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     ``rules`` has ``action``, ``rule_host``, ``rule_path``. The rule with the longest host that fits wins, then the longest path.
     """
     spark = df.sparkSession
-    rows = without(df, ["host", "path", "rule", "verdict", "_range", "_key"])
+    rows = without(df, ["host", "path", "rule", "verdict", "_range", "_key", "_spread"])
     host, path = host_path(F.col(url))
     rows = rows.withColumns({"host": host, "path": path}).withColumn("_key", host_key(F.col("host")))
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.select(url, *[c for c, t in df.dtypes if t in ("bigint", "int")]).dtypes])
     spread = _spread_key(F.col("_key"), F.col("path"), hashed)
 
     total = rows.count()
-    ranges = max(LEAST_RANGES, -(-total // range_rows))
+    ranges = min(max(LEAST_RANGES, -(-total // range_rows)), MOST_SAMPLED // SAMPLE)
     # a bounded sample chooses the splitters; they only decide balance
     sample = rows.select(spread.alias("k")).sample(min(1.0, 1.0 * SAMPLE * ranges / max(total, 1)), seed=7)
     points = sorted(r[0] for r in sample.collect())

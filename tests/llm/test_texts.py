@@ -190,7 +190,7 @@ def test_packing_in_levels(spark, monkeypatch):
 def test_mixing(spark, nothing):
     rng = np.random.default_rng(2)
     rows = [(i, "w " * int(rng.integers(0, 60)), [None, "b", "a", "c"][min(3, int(rng.exponential(1.0)))]) for i in range(800)] + [(900, None, "a"), (7, "w w", "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, passes int, bound int")
     out = mixing.mix_sources(df).collect()
     assert len(out) == len(rows)
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix_sources(df.repartition(3)).collect()), key=str)
