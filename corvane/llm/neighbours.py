@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corvane.session import cut_lineage
 
 #: Directions, rows of a block and of a query chunk.
-DIRECTIONS, BLOCK_ROWS, CHUNK_ROWS = 128, 8192, 1024
+DIRECTIONS, BLOCK_ROWS, CHUNK_ROWS = 64, 8192, 1024
 #: Share of the directions in which a vector must collide, and share of a block that must do so before windows stop widening.
-COLLIDE, ENOUGH = 0.6, 0.12
+COLLIDE, ENOUGH = 0.6, 0.15
 #: Half width of the first window in standard deviations of the projections, and the factor of each widening.
 FIRST, WIDEN = 0.7, 1.12
 SEED = 20240501
@@ -68,29 +68,36 @@ def _packed(df: DataFrame, rows: int, total: int, width: int, name: str) -> Data
     return df.sparkSession.createDataFrame(numbered, f"{name} long, {name}_ids binary, {name}_matrix binary")
 
 
-def collisions(order: np.ndarray, values: np.ndarray, centre: np.ndarray, first: float, need: int, least: int) -> np.ndarray:
-    """Numbers of the vectors that collide with one query in at least ``least`` directions.
+def collisions(order: np.ndarray, values: np.ndarray, centres: np.ndarray, first: float, need: int, least: int) -> list[np.ndarray]:
+    """For each query the numbers of the vectors that collide with it in at least ``least`` directions.
 
     ``values[j]`` is the sorted array of direction j and ``order[j]`` the vectors in that order. Windows widen from the query's
     projection outwards until ``need`` vectors collide often enough or all arrays are used up; a step counts only what it adds.
     """
     m, n = values.shape
-    counts = np.zeros(n, np.int16)
-    low = high = np.array([np.searchsorted(values[j], centre[j]) for j in range(m)])
-    half = first
-    while True:
-        new_low = np.array([np.searchsorted(values[j], centre[j] - half, "left") for j in range(m)])
-        new_high = np.array([np.searchsorted(values[j], centre[j] + half, "right") for j in range(m)])
-        for j in range(m):
-            if new_low[j] < low[j]:
-                counts[order[j, new_low[j]:low[j]]] += 1
-            if new_high[j] > high[j]:
-                counts[order[j, high[j]:new_high[j]]] += 1
-        low, high = np.minimum(new_low, low), np.maximum(new_high, high)
-        found = np.flatnonzero(counts >= least)
-        if len(found) >= need or ((low == 0).all() and (high == n).all()):
-            return found
-        half *= WIDEN
+    counts = np.zeros((len(centres), n), np.int16)
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(centres)
+    pending, half = np.arange(len(centres)), first
+    low = np.column_stack([np.searchsorted(values[j], centres[:, j]) for j in range(m)])
+    high = low
+    rows = list(order)
+    while len(pending):
+        at = centres[pending]
+        wide_low = np.column_stack([np.searchsorted(values[j], at[:, j] - half, "left") for j in range(m)])
+        wide_high = np.column_stack([np.searchsorted(values[j], at[:, j] + half, "right") for j in range(m)])
+        more = []
+        for i, q in enumerate(pending.tolist()):
+            a, b, c, d = (x.tolist() for x in (wide_low[i], low[i], high[i], wide_high[i]))
+            added = [r[s:e] for r, s, e in zip(rows, a, b) if s < e] + [r[s:e] for r, s, e in zip(rows, c, d) if s < e]
+            if added:
+                counts[q] += np.bincount(np.concatenate(added), minlength=n).astype(np.int16)
+            hits = np.flatnonzero(counts[q] >= least)
+            if len(hits) >= need or (max(a) == 0 and min(d) == n):
+                found[q] = hits
+            else:
+                more.append(i)
+        pending, low, high, half = pending[more], np.minimum(wide_low, low)[more], np.maximum(wide_high, high)[more], half * WIDEN
+    return found
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -117,14 +124,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
                 x, q = (np.frombuffer(batch.column(c)[row].as_buffer(), np.float64).reshape(-1, width) for c in ("block_matrix", "chunk_matrix"))
                 lift = np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0.0))
                 values = (np.column_stack([x, lift]) @ axes).T
-                order = np.argsort(values, axis=1).astype(np.int32)
+                order = np.argsort(values, axis=1)
                 values = np.take_along_axis(values, order, axis=1)
                 first = FIRST * float(values.std(axis=1).mean()) or 1.0
                 centres = (q / np.sqrt((q * q).sum(axis=1))[:, None] * top) @ axes[:width]
                 need = min(len(x), max(10 * k, int(np.ceil(ENOUGH * len(x)))))
                 out: list[list] = [[], [], []]
-                for i in range(len(q)):
-                    found = collisions(order, values, centres[i], first, need, least)
+                for i, found in enumerate(collisions(order, values, centres, first, need, least)):
                     found = found[ids[found] != query_ids[i]]
                     scores = x[found] @ q[i]
                     best = np.lexsort((ids[found], -scores))[:k]
