@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvane.llm import jaccard_join, language_model, mixing, neighbours, packing, quality, secret_scan, substring_dedup, url_filters
+from corvane.llm import jaccard_join, language_model, license_scan, mixing, neighbours, packing, quality, secret_scan, substring_dedup, url_filters
 from corvane.llm.common import documents
 from corvane.plans.registry import table
 
@@ -34,6 +34,15 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages, url_filters.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
+    sure = F.filter("license_hits", lambda h: h["confirmed"])
+    return found.select(
+        "doc_id", "n_paragraphs", F.size(sure).cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda h: h["family"]))), ",").alias("families"),
+        (F.size("license_hits") - F.size(sure)).cast("long").alias("n_unconfirmed"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(documents(spark, sf_dir))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
@@ -63,7 +72,7 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_quality_rules, op3_url_filters, op5_substring_dedup, op6_best_fit_packing, op7_mix_sources, op8_jaccard_join,
+    op1_secret_scan, op2_quality_rules, op3_url_filters, op4_license_scan, op5_substring_dedup, op6_best_fit_packing, op7_mix_sources, op8_jaccard_join,
     op9_language_model, op10_nearest_vectors)}
 
 _HOST = r"""regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)"""
