@@ -13,15 +13,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round takes the smallest label among a node and its neighbours, added up before the shuffle so that a hub is no hot key,
     and then jumps to the label's own label. Rounds end when no label changes, after about the logarithm of the longest path.
     """
-    both = cut_lineage(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(
-        edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).where("node <> other").distinct())
+    both = cut_lineage(edges.select(F.inline(F.array(
+        F.struct(F.col(a).alias("node"), F.col(b).alias("other")), F.struct(F.col(b).alias("node"), F.col(a).alias("other"))))).where("node <> other").distinct())
     labels = cut_lineage(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        stepped = cut_lineage(stepped)
-        jump = stepped.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        jumped = cut_lineage(stepped.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
-        labels = jumped.select("node", "component")
-        if not jumped.where("component <> was").limit(1).count():
-            return labels
+        stepped = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("at"))
+        # the label's own label, as it was before this round
+        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("further"))
+        labels = cut_lineage(stepped.join(jump, "at", "left").select("node", "was", F.coalesce("further", "at").alias("component")))
+        if labels.where("component <> was").isEmpty():
+            return labels.select("node", "component")

@@ -5,11 +5,12 @@ n being the size of either, so in any common order of tokens their first ``n - c
 
 1. *Order*: tokens that many documents share come last, others first by hash. What "many" means only decides cost.
 2. *Prefixes*, extended by one token (k = 2), are indexed. Tokens of one document drop out at once.
-3. *Stars*: every token's documents are compared with the token's smallest document only. Groups of near copies become one
-   component without pairs among their members.
-4. *The rest*: pairs that share a token but lie in different components. A token found in few components (rare class) is an index
-   key of its own; of tokens in more components (frequent class) only combinations of two are keys. Two linked documents share two
-   prefix tokens: one of them is rare, or both are frequent, so no link is lost.
+3. *Stars*: every token's documents are compared with one of them only, first the smallest, then others chosen by hash. Groups of
+   near copies become one component without pairs among their members.
+4. *The rest*: documents of different components. A token found in few components (rare class) is an index key of its own; of tokens
+   in more components (frequent class) only combinations of two are keys. Two linked documents share two prefix tokens: two rare
+   ones, a rare and a frequent one, or two frequent ones, so no link is lost. Keys pair components, not documents, and only the
+   documents of pairs that remain are compared.
 5. *Verification*: sizes and parity bitmaps (a lower bound of the symmetric difference) rule pairs out exactly, and the whole texts
    of what is left are compared.
 
@@ -37,8 +38,10 @@ from corvane.session import cut_lineage, new_path
 COMMON_IN_TASK, COMMON = 3, 6
 #: Common tokens that are remembered (8 bytes each, in every task); the most common ones, if there are more.
 REMEMBERED = 2_000_000
-#: Components up to which a token is rare, and rows of a key that are compared in one go.
-RARE, BLOCK = 32, 1024
+#: Components up to which a token is rare, documents that are compared with each other in one go, and further rounds of stars.
+RARE, BLOCK, ROUNDS = 32, 1024, 2
+#: Bytes of text, about, whose sets a task holds at once.
+TASK_BYTES = 6_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,7 +107,7 @@ def _profiles(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for piece in text_pieces(batches, text, 16_000_000):
+        for piece in text_pieces(batches, text, TASK_BYTES):
             keys = piece.column(key)
             kept: dict[bytes, np.ndarray] = {}
             rows: list[list] = [[], [], [], []]
@@ -140,9 +143,11 @@ def _common_tokens(profiles: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"token": table[:, 0], "docs": table[:, 1]})
 
     seen = profiles.where("common is not null").select("common").mapInArrow(spread, "token long, docs long")
-    seen = seen.groupBy("token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= COMMON)
-    top = seen.orderBy(F.col("docs").desc(), "token").limit(REMEMBERED).select("token").toArrow()
-    return np.sort(top.column("token").to_numpy())
+    seen = cut_lineage(seen.groupBy("token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= COMMON))
+    least = COMMON
+    while seen.where(F.col("docs") >= least).count() > REMEMBERED:
+        least *= 2
+    return np.sort(seen.where(F.col("docs") >= least).select("token").toArrow().column("token").to_numpy())
 
 
 def _prefixes(df: DataFrame, key: str, text: str, size: int, percent: int, common: np.ndarray) -> DataFrame:
@@ -152,7 +157,7 @@ def _prefixes(df: DataFrame, key: str, text: str, size: int, percent: int, commo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value.view(np.uint64) if len(shared.value) else np.zeros(0, np.uint64)
         last = np.sort(last)
-        for piece in text_pieces(batches, text, 16_000_000):
+        for piece in text_pieces(batches, text, TASK_BYTES):
             smallest: dict[bytes, tuple[int, np.ndarray]] = {}
             for part in text_pieces(iter([piece]), text):
                 for doc, s in zip(part.column(key).to_pylist(), shingle_sets([(t or "").encode() for t in part.column(text).to_pylist()], size)):
@@ -178,9 +183,12 @@ def _prefixes(df: DataFrame, key: str, text: str, size: int, percent: int, commo
 
 
 class _Texts:
-    """Compressed texts in a table bucketed by document, so that they are shuffled once and joined often."""
+    """Compressed texts in a table bucketed by document, so that they are shuffled once and joined often.
 
-    def __init__(self, df: DataFrame, key: str, text: str, wanted: DataFrame):
+    Nearly every document shares some shingle with another one, so all texts are kept.
+    """
+
+    def __init__(self, df: DataFrame, key: str, text: str):
         self.spark, self.name = df.sparkSession, f"texts_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -193,9 +201,7 @@ class _Texts:
                 yield pa.RecordBatch.from_arrays([piece.column(key), pa.array(blobs, pa.binary())], names=["doc", "blob"])
 
         texts = df.select(F.col(key).cast("long").alias(key), text).mapInArrow(press, "doc long, blob binary")
-        wanted = wanted.repartition(buckets, "doc")
-        found = texts.repartition(buckets, "doc").join(wanted.hint("shuffle_hash"), "doc", "left_semi")
-        found.write.option("path", new_path(self.spark, self.name)).option("compression", "none").bucketBy(buckets, "doc").saveAsTable(self.name)
+        texts.where("doc is not null").repartition(buckets, "doc").write.option("path", new_path(self.spark, self.name)).option("compression", "none").bucketBy(buckets, "doc").saveAsTable(self.name)
 
     def verified(self, pairs: DataFrame, size: int, percent: int) -> DataFrame:
         """Those of the distinct pairs ``a``, ``b`` whose whole texts reach the similarity."""
@@ -238,50 +244,101 @@ def _not_ruled_out(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def _keyed_pairs(keyed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of different components that share a key and that sizes and bitmaps allow.
+def _stars(rows: DataFrame, salt: int, percent: int) -> DataFrame:
+    """Candidate pairs ``a`` < ``b``: the documents of each token with one of them, its ``hub``: the smallest as found by ``_prefixes``
+    (``salt`` 0), or one chosen by hash that lies in another component.
 
-    ``keyed`` has ``key``, ``doc``, ``comp``. The documents of a key are cut into blocks; a task compares two blocks and gives out only
-    what may link.
+    A pair counts only if two tokens name it; pairs that are missed here are left to the exact step.
     """
-    # a key's documents are numbered by hash into as many blocks as it needs
-    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "comp")
-    rows = rows.join(sets.select("doc", "n", "bits"), "doc")
-    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-
-    def compare(group: list[tuple], low: int, high: int) -> tuple[list, list]:
-        by_comp: dict[int, list] = {}
-        for r in group:
-            by_comp.setdefault(r[4], []).append(r)
-        parts, left, right = list(by_comp.values()), [], []
-        for i, one in enumerate(parts):
-            for other in parts[i + 1:]:
-                for x in one:
-                    for y in other:
-                        # two blocks meet here; pairs inside one block meet where it meets itself
-                        if (low == high or x[3] != y[3]) and may_link(x[5], y[5], x[6], y[6], percent):
-                            left.append(min(x[2], y[2]))
-                            right.append(max(x[2], y[2]))
+    if salt:
+        hub = F.min(F.struct(F.xxhash64("doc", F.lit(salt)).alias("order"), "doc", "n", "comp")).over(Window.partitionBy("token"))
+        rows = rows.withColumn("hub", hub).where(F.col("comp") != F.col("hub.comp"))
+    pairs = rows.where((F.col("doc") != F.col("hub.doc")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")))
+    a, b = F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")
+    return pairs.groupBy(a, b).agg(F.count("*").alias("tokens")).where("tokens > 1").select("a", "b")
+
+
+def _near_components(rows: DataFrame) -> DataFrame:
+    """Pairs ``one`` < ``other`` of components in which two documents may share two prefix tokens.
+
+    ``rows`` has ``token``, ``doc``, ``comp``. Rare tokens pair their few components; a pair that has a single rare token needs a
+    frequent one as well; of frequent tokens alone, two in one document make a combined key.
+    """
+    # one row per token and component; tokens of a single component have nothing left to find
+    spark, by_token = rows.sparkSession, Window.partitionBy("token")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    path = new_path(spark, "tokens")
+    rows.select("token", "comp").repartition(parts, "token").distinct().withColumn("comps", F.count("*").over(by_token)).where("comps > 1").write.parquet(path)
+    held = spark.read.parquet(path)
+    few = held.where(F.col("comps") <= RARE).groupBy("token").agg(F.sort_array(F.collect_list("comp")).alias("comps"))
+    every = F.expr("flatten(transform(comps, (x, i) -> transform(slice(comps, i + 2, size(comps)), y -> struct(x as one, y as other))))")
+    shared = cut_lineage(few.select(F.inline(every)).groupBy("one", "other").agg(F.count("*").alias("tokens")))
+    several = shared.where("tokens > 1").select("one", "other")
+    frequent = held.where(F.col("comps") > RARE).select("token").distinct()
+    if frequent.isEmpty():
+        return several
+    often = rows.join(frequent, "token")
+    own = often.groupBy("comp").agg(F.collect_set("token").alias("frequent"))
+    mixed_pairs = shared.where("tokens = 1").join(own.select(F.col("comp").alias("one"), F.col("frequent").alias("f_one")), "one").join(
+        own.select(F.col("comp").alias("other"), F.col("frequent").alias("f_other")), "other").where(F.arrays_overlap("f_one", "f_other"))
+    in_doc = often.groupBy("doc", "comp").agg(F.sort_array(F.collect_set("token")).alias("tokens")).where(F.size("tokens") > 1)
+    combined = F.expr("flatten(transform(tokens, (x, i) -> transform(slice(tokens, i + 2, size(tokens)), y -> xxhash64(x, y))))")
+    keys = in_doc.select(F.explode(combined).alias("key"), "comp").distinct()
+    pairs = keys.withColumnRenamed("comp", "one").join(keys.withColumnRenamed("comp", "other"), "key").where("one < other")
+    return several.union(mixed_pairs.select("one", "other")).union(pairs.select("one", "other")).distinct()
+
+
+def _across(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Document pairs ``a`` < ``b`` across each pair of components that sizes and bitmaps allow.
+
+    ``members`` has ``comp``, ``doc``, ``n``, ``bits``. Of two components the larger one is the hub; all partners of a hub meet its
+    documents together, so that those are sent once and not once per partner. Both sides are cut into blocks of ``BLOCK``; a task
+    compares two blocks and gives out only what may link.
+    """
+    counted = cut_lineage(members.groupBy("comp").agg(F.count("*").alias("docs")))
+    sized = pairs.join(counted.select(F.col("comp").alias("one"), F.col("docs").alias("n_one")), "one").join(
+        counted.select(F.col("comp").alias("other"), F.col("docs").alias("n_other")), "other")
+    larger = F.col("n_one") >= F.col("n_other")
+    met = sized.select(F.when(larger, F.col("one")).otherwise(F.col("other")).alias("hub"), F.when(larger, F.col("other")).otherwise(F.col("one")).alias("comp"))
+    partners = cut_lineage(met.join(members, "comp").select("hub", "doc", "n", "bits"))
+    blocks_of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    hubs = partners.groupBy("hub").agg(blocks_of(F.count("*")).alias("n_there")).join(
+        counted.select(F.col("comp").alias("hub"), blocks_of(F.col("docs")).alias("n_here")), "hub")
+    block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    here = members.withColumnRenamed("comp", "hub").join(hubs, "hub").select(
+        "hub", block("n_here").alias("b_here"), every("n_there").alias("b_there"), F.lit(True).alias("first"), "doc", "n", "bits")
+    there = partners.join(hubs, "hub").select(
+        "hub", every("n_here").alias("b_here"), block("n_there").alias("b_there"), F.lit(False).alias("first"), "doc", "n", "bits")
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = here.unionByName(there).repartition(parts, "hub", "b_here", "b_there").sortWithinPartitions("hub", "b_here", "b_there")
+
+    def compare(group: list[tuple]) -> tuple[list, list]:
+        left, right = [], []
+        there = [r for r in group if not r[0]]
+        for x in group:
+            if x[0]:
+                for y in there:
+                    if may_link(x[2], y[2], x[3], y[3], percent):
+                        left.append(min(x[1], y[1]))
+                        right.append(max(x[1], y[1]))
         return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        held, mark = [], None
+        held: list[tuple] = []
+        mark = None
         for b in batches:
-            for key, low, high, block, doc, comp, n, bits in zip(*[b.column(c).to_pylist() for c in ("key", "low", "high", "block", "doc", "comp", "n", "bits")]):
-                if (key, low, high) != mark:
-                    if len(held) > 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(held, *mark[1:])], schema=schema)
-                    held, mark = [], (key, low, high)
-                held.append((key, low, doc, block, comp, n, bits))
-        if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(held, *mark[1:])], schema=schema)
+            for *key, first, doc, n, bits in zip(*[b.column(c).to_pylist() for c in ("hub", "b_here", "b_there", "first", "doc", "n", "bits")]):
+                if key != mark:
+                    if held:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(held)], schema=schema)
+                    held, mark = [], key
+                held.append((first, doc, n, bits))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(held)], schema=schema)
 
-    return rows.select("key", "low", "high", "block", "doc", "comp", "n", "bits").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("hub", "b_here", "b_there", "first", "doc", "n", "bits").mapInArrow(run, "a long, b long")
 
 
 def _with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -289,17 +346,14 @@ def _with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
 
-def _across(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of those keys whose documents lie in at least two components, with that number as ``comps``."""
-    found = rows.groupBy(key).agg(F.count_distinct("comp").alias("comps")).where("comps > 1")
-    return rows.join(found, key)
-
-
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """Key, ``n_shingles`` and ``component_id`` (smallest key reachable by links, itself included) for every row.
 
-    Documents link when 100 * |intersection| >= ``percent`` * |union| of their sets of ``size``-word shingles.
+    Documents link when 100 * |intersection| >= ``percent`` * |union| of their sets of ``size``-word shingles. ``percent`` is above
+    50, so that linked sets of two and more tokens share two.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must lie above 50 and be 100 at most")
     spark = df.sparkSession
     path = new_path(spark, "profiles")
     _profiles(df, key, text, size).write.parquet(path)
@@ -309,31 +363,31 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     classes = cut_lineage(whole.where("n > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     sets = classes.select("doc", "n", "bits")
 
+    # tokens of one document drop out; of copies only the smallest document goes on, and a token's smallest document is one of those
     shared_path = new_path(spark, "shared")
     prefixes = _prefixes(df, key, text, size, percent, _common_tokens(profiles))
     by_token = Window.partitionBy("token")
-    rows = prefixes.withColumns({"least": F.min(F.struct("doc", "n")).over(by_token), "most": F.max("doc").over(by_token)}).where(
-        F.col("least.doc") < F.col("most"))
-    rows.select("token", "doc", "n", F.col("least.doc").alias("pivot"), F.col("least.n").alias("pivot_n")).write.parquet(shared_path)
+    several = prefixes.withColumns({"hub": F.min(F.struct("doc", "n")).over(by_token), "most": F.max("doc").over(by_token)}).where("hub.doc < most").drop("most")
+    several.join(classes.select("doc"), "doc", "left_semi").write.parquet(shared_path)
     shared = spark.read.parquet(shared_path)
-    smallest = classes.select("doc")
-    # copies of other tasks drop out here: only the smallest document of a set goes on
-    stars = shared.where((F.col("doc") > F.col("pivot")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))).select(
-        F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    candidates = cut_lineage(_not_ruled_out(stars, sets, percent))
-    texts = _Texts(df, key, text, shared.select("doc").distinct().join(smallest, "doc", "left_semi"))
-    links = texts.verified(candidates, size, percent)
+    first = cut_lineage(_stars(shared, 0, percent))
+    texts = _Texts(df, key, text)
+    links = texts.verified(cut_lineage(_not_ruled_out(first, sets, percent)), size, percent)
     labels = components(links)
 
-    rest = shared.select("token", "doc").join(smallest, "doc", "left_semi")
-    rest = cut_lineage(_across(_with_components(rest, labels), "token"))
-    rare = rest.where(F.col("comps") <= RARE).select(F.col("token").alias("key"), "doc", "comp")
-    frequent = rest.where(F.col("comps") > RARE).groupBy("doc", "comp").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    pairs_of = F.expr("flatten(transform(tokens, (x, i) -> transform(slice(tokens, i + 2, size(tokens)), y -> xxhash64(x, y))))")
-    combined = frequent.where(F.size("tokens") > 1).select(F.explode(pairs_of).alias("key"), "doc", "comp")
-    combined = _across(combined, "key").select("key", "doc", "comp")
-    more = texts.verified(cut_lineage(_keyed_pairs(rare.unionByName(combined), sets, percent)), size, percent)
-    labels = components(links.unionByName(more))
+    # more stars around other documents, for members of a group that the first one missed by a little
+    near = cut_lineage(shared.drop("hub").join(first.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc", "left_semi"))
+    for salt in range(1, ROUNDS + 1):
+        found = texts.verified(cut_lineage(_not_ruled_out(_stars(_with_components(near, labels), salt, percent), sets, percent)), size, percent)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = components(links)
+
+    # exact: whatever may still link across components
+    rest = cut_lineage(_near_components(_with_components(shared.select("token", "doc"), labels)))
+    last = cut_lineage(_across(rest, _with_components(sets, labels), percent))
+    labels = components(links.unionByName(texts.verified(last, size, percent)))
     texts.drop()
 
     named = _with_components(sets.select("doc"), labels).select("doc", "comp")
