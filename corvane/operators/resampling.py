@@ -2,7 +2,8 @@
 
 Metrics that are functions of counts never see rows: rows with the same truth and the same predictions of all arms are one
 *cell*. A draw picks as many positions as its stratum has rows; positions are numbered cell by cell, so a pick is a search in
-the running cell sizes, inside the task that owns the draw. Only confusion counts per draw leave a task.
+the running cell sizes, inside the task that owns the draw. Only confusion counts per draw leave a task. Too many cells for a task
+stay in Spark: ``cell_draws`` makes the same picks there and joins the drawn positions.
 
 ``draws`` gives the drawn rows themselves. There a draw is fixed by md5 of (seed, draw, stratum, slot), every row is one slot, and
 the drawn position is an equi-join on ``(stratum, position)``, which is uniform and cannot skew. Both recipes agree on any
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from corvane.functions.hashing import md5_mod
 from corvane.operators import metrics as M
 from corvane.operators.ordered import average_ranks, dense_index
-from corvane.session import cut_lineage
+from corvane.session import cut_lineage, default_buckets
 
 Z_95 = 1.959963984540054  # fixed value: 97.5 % point of the normal distribution
 
@@ -34,33 +35,65 @@ def draws(rows: DataFrame, row_id: str, n_draws: int, seed: int = 42, strata: st
     return counted.join(placed.drop("_n"), ["stratum", "idx"]).select("draw", row_id, "times")
 
 
-def _one_per_row(pred: DataFrame, row_id: str, y: str = "y") -> DataFrame:
-    """The row set shared by all arms."""
-    return pred.groupBy(row_id).agg(F.first(y).alias("y"))
-
-
 #: Distinct cells up to which their table is sent to every task (their keys are a few bytes per arm).
 MOST_CELLS = 2_000_000
 #: Positions picked in one go inside a task.
 SLOTS_AT_ONCE = 1_000_000
 _PRIME = 2_147_483_647
+_STEPS = (11, 101, 1009, 10007)
+#: Rows of a stratum up to which residues modulo the prime draw nearly as with replacement; beyond, intervals would shrink unseen.
+MOST_ROWS = _PRIME // 100
 
 
 def picks(draw: int, slots: np.ndarray, seed: int, stratum: int, n: int) -> np.ndarray:
     """Positions in ``[0, n)``: four squaring steps modulo a prime, in integers that SQL has too."""
     x = (draw * 7919 + slots * 104729 + seed * 1299709 + stratum * 15485863 + 1) % _PRIME
-    for c in (11, 101, 1009, 10007):
+    for c in _STEPS:
         x = (x * x + c) % _PRIME
     return x % n
 
 
-def _cells(pred: DataFrame, by: list[str], row_id: str, value: str = "pred") -> DataFrame:
-    """``y``, ``arms`` (sorted structs of the ``by`` values and the prediction), ``key``, ``n`` rows."""
+def _check_size(n: int) -> int:
+    if n > MOST_ROWS:
+        raise ValueError(f"a stratum has {n} rows: the draws of this recipe are fair up to {MOST_ROWS}")
+    return n
+
+
+def _keyed(pred: DataFrame, by: list[str], row_id: str, value: str = "pred") -> DataFrame:
+    """Rows with ``y``, ``arms`` (sorted structs of the ``by`` values and the prediction) and the ``key`` of their cell."""
     arms = F.sort_array(F.collect_list(F.struct(*by, F.col(value).alias("pred"))))
     rows = pred.groupBy(row_id).agg(F.first("y").alias("y"), arms.alias("arms"))
     name = lambda a: F.concat_ws("=", F.concat_ws(":", *[a[c].cast("string") for c in by]), a["pred"].cast("string"))
     key = F.concat_ws("|", F.col("y").cast("string"), F.array_join(F.transform("arms", name), ","))
-    return rows.withColumn("key", key).groupBy("key").agg(F.first("y").alias("y"), F.first("arms").alias("arms"), F.count("*").alias("n"))
+    return rows.withColumn("key", key)
+
+
+def _cells(keyed: DataFrame) -> DataFrame:
+    """``key``, ``y``, ``arms``, ``n`` rows."""
+    return keyed.groupBy("key").agg(F.first("y").alias("y"), F.first("arms").alias("arms"), F.count("*").alias("n"))
+
+
+def cell_draws(keyed: DataFrame, row_id: str, n_draws: int, seed: int, stratified: bool) -> DataFrame:
+    """``(draw, row_id, times)`` by the recipe of ``picks``: positions in the order of the cells' keys, joined to what is drawn."""
+    rows = keyed.select(F.col(row_id), "key", (F.col("y").cast("string") if stratified else F.lit("all")).alias("stratum"))
+    spread = rows.repartitionByRange(default_buckets(rows.sparkSession), "stratum", "key", row_id)
+    ranged = cut_lineage(spread.withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("stratum", "_part").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("stratum")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut_lineage(counts.select("stratum", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"), F.sum("_n").over(whole).alias("_n")))
+    sizes = sorted((r["stratum"], _check_size(r["_n"])) for r in carried.select("stratum", "_n").distinct().collect())
+    inside = Window.partitionBy("stratum", "_part").orderBy("key", row_id)
+    placed = cut_lineage(ranged.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(carried), ["stratum", "_part"]).select(
+        row_id, "stratum", (F.col("_r") - 1 + F.col("_c")).alias("idx"), "_n"))
+    k = F.array_position(F.array(*[F.lit(s) for s, _ in sizes]), F.col("stratum")) - 1
+    big = lambda v: F.lit(v).cast("bigint")
+    x = (F.col("draw") * big(7919) + F.col("idx") * big(104729) + big(seed * 1299709) + k * big(15485863) + 1) % _PRIME
+    slots = placed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).select("stratum", "draw", "_n", x.alias("_x"))
+    for c in _STEPS:
+        slots = slots.withColumn("_x", (F.col("_x") * F.col("_x") + c) % _PRIME)
+    counted = slots.groupBy("stratum", (F.col("_x") % F.col("_n")).alias("idx"), "draw").agg(F.count("*").alias("times"))
+    return counted.join(placed.drop("_n"), ["stratum", "idx"]).select("draw", row_id, "times")
 
 
 def _drawer(table: list, seed: int, stratified: bool):
@@ -74,7 +107,7 @@ def _drawer(table: list, seed: int, stratified: bool):
         for k in range(len(strata)):
             mine = np.flatnonzero(of == k)
             ends = np.cumsum(size[mine])
-            n = int(ends[-1])
+            n = _check_size(int(ends[-1]))
             for at in range(0, n, SLOTS_AT_ONCE):
                 drawn = picks(draw, np.arange(at, min(n, at + SLOTS_AT_ONCE)), seed, k, n)
                 times[mine] += np.bincount(np.searchsorted(ends, drawn, "right"), minlength=len(mine))
@@ -91,9 +124,10 @@ def _over_draws(spark, n_draws: int, run, schema) -> DataFrame:
 def drawn_confusion(pred: DataFrame, by: list[str], n_draws: int, seed: int, stratified: bool, row_id: str = "row_id") -> DataFrame:
     """``by``, ``draw``, ``y``, ``pred``, ``n``: confusion counts of every arm in every draw; arms share the draws."""
     spark = pred.sparkSession
-    cells = cut_lineage(_cells(pred, by, row_id))
-    if cells.count() > MOST_CELLS:  # nearly every row is its own cell: the drawn rows are joined instead
-        d = draws(_one_per_row(pred, row_id), row_id, n_draws, seed, "y" if stratified else None)
+    keyed = _keyed(pred, by, row_id)
+    cells = cut_lineage(_cells(keyed))
+    if cells.count() > MOST_CELLS:  # nearly every row is its own cell: the same picks, joined in Spark
+        d = cell_draws(keyed, row_id, n_draws, seed, stratified)
         return M.confusion(pred.join(d, row_id), [*by, "draw"], weight="times")
     table = cells.orderBy("key").collect()
     times_of = _drawer(table, seed, stratified)
@@ -158,9 +192,10 @@ def bootstrap_percentile(pred: DataFrame, by: list[str], names: list[str], n_dra
 def auc_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int = 42, stratified: bool = True, row_id: str = "row_id", score: str = "score") -> DataFrame:
     """``by``, ``draw``, ``auc``: tie-aware AUC of every arm in every draw; null in draws of one class. Cells are rows with equal scores."""
     spark = pred.sparkSession
-    cells = cut_lineage(_cells(pred, by, row_id, score))
+    keyed = _keyed(pred, by, row_id, score)
+    cells = cut_lineage(_cells(keyed))
     if cells.count() > MOST_CELLS:
-        d = draws(_one_per_row(pred, row_id), row_id, n_draws, seed, "y" if stratified else None)
+        d = cell_draws(keyed, row_id, n_draws, seed, stratified)
         return M.auc_from(M.score_counts(pred.join(d, row_id), [*by, "draw"], weight="times"), [*by, "draw"])
     table = cells.orderBy("key").collect()
     times_of = _drawer(table, seed, stratified)

@@ -213,3 +213,24 @@ def test_regression_gain_and_flips(spark):
     assert abs(got[0]["a"]) < 1e-12 and abs(got[0]["b"] - 3 / sd) < 1e-9 and abs(got[0]["gain"] - 3 / sd) < 1e-9 and got[2]["raw_b"] == -1.0
     r = X.regression_flips(g).first()
     assert (r["corrected"], r["broken"], r["unchanged"]) == (1, 1, 1)
+
+
+def test_many_cells_are_drawn_by_the_same_recipe(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    y, p = rng.integers(0, 2, 200), rng.integers(0, 3, 200)
+    d = pred(spark, y.tolist(), p.tolist())
+    scored = d.withColumn("score", (F.col("row_id") * 37 % 101).cast("double"))
+    made = lambda: [rows(B.drawn_confusion(d, ["g"], 30, 5, s).select("draw", "y", "pred", "n"), "draw", "y", "pred") for s in (True, False)] + [
+        [(r["draw"], round(r["auc"], 9)) for r in B.auc_draws(scored, ["g"], 30, 5, s).orderBy("draw").collect()] for s in (True, False)]
+    sent = made()
+    monkeypatch.setattr(B, "MOST_CELLS", 0)
+    assert made() == sent
+
+
+def test_strata_beyond_the_recipe_are_refused(spark, monkeypatch):
+    d = pred(spark, [0, 1] * 20, [0, 1] * 20)
+    monkeypatch.setattr(B, "MOST_ROWS", 30)
+    assert B.drawn_confusion(d, ["g"], 2, 1, True).count()
+    monkeypatch.setattr(B, "MOST_CELLS", 0)
+    with pytest.raises(ValueError, match="fair up to"):
+        B.drawn_confusion(d, ["g"], 2, 1, False)
