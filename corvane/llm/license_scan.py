@@ -6,6 +6,10 @@ sample of corpus paragraphs: those that contain nearly all of a template carry i
 Half of that sample calibrates: a temperature by likelihood, then the smallest probability at which hits are right often enough.
 A hit counts only if the paragraph holds most word pairs of one of the family's templates.
 
+A notice may be wrapped: runs of adjacent lines that together hold most word pairs of a template are classified too, with what a
+template's length can reach of their outer lines. Comment marks are not words. Such a hit has the number of its first line; it
+replaces unconfirmed hits of its family on its lines, and is left out if one of its lines has a confirmed hit of the family.
+
 Cases: null and empty texts have no paragraphs; repeated rows are scanned each; very long texts and lines are read whole; without
 corpus paragraphs the classifier is trained on templates alone; an empty table gives an empty table; input columns named like a
 result are replaced.
@@ -13,6 +17,7 @@ result are replaced.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from zlib import crc32
@@ -87,6 +92,35 @@ def similarity(line: list[bytes], family: str) -> float:
     return max((len(t & held) / len(t) for t in _TEMPLATE_PAIRS[family]), default=0.0)
 
 
+_ALL_PAIRS = frozenset().union(*[t for ts in _TEMPLATE_PAIRS.values() for t in ts])
+#: Words of the longest template, and the fewest word pairs that confirm any.
+WIDEST = max(len(words(t.encode())) for ts in TEMPLATES.values() for t in ts)
+FEWEST = min(math.ceil(CONFIRM * len(t)) for ts in _TEMPLATE_PAIRS.values() for t in ts)
+
+
+def wrapped(lines: list[list[bytes]], block: list[int]) -> list[tuple[int, int, str, float, list[bytes]]]:
+    """First and last line, family, similarity and words of runs of lines of one ``block`` that would confirm the family."""
+    held = [_ALL_PAIRS.intersection(zip(x, x[1:])) for x in lines]
+    found = []
+    for i in range(len(lines) - 1):
+        if block[i + 1] != block[i] or not (held[i] or (lines[i][-1], lines[i + 1][0]) in _ALL_PAIRS):
+            continue
+        shared, text, j = set(held[i]), lines[i][-WIDEST:], i + 1
+        inner = 0
+        while j < len(lines) and block[j] == block[i] and inner < WIDEST:
+            shared |= held[j]
+            shared |= _ALL_PAIRS & {(lines[j - 1][-1], lines[j][0])}
+            if len(shared) >= FEWEST:
+                whole = text + lines[j][:WIDEST]
+                for family, templates in _TEMPLATE_PAIRS.items():
+                    if any(len(t & shared) >= CONFIRM * len(t) for t in templates) and (near := similarity(whole, family)) >= CONFIRM:
+                        found.append((i, j, family, near, whole))
+            inner += len(lines[j])
+            text = text + lines[j]
+            j += 1
+    return found
+
+
 def altered(seed: int = 5) -> list[tuple[list[bytes], int]]:
     """Templates with words dropped, put in, or text around them."""
     rnd, out = random.Random(seed), []
@@ -179,14 +213,19 @@ def scan_licenses(df: DataFrame, text: str = "text", model: tuple[np.ndarray, fl
     shared = df.sparkSession.sparkContext.broadcast(weights)  # FEATURES x families floats
 
     def run(texts: list) -> dict[str, list]:
-        lines, owner = [], []
+        lines, owner, block, n_blocks = [], [], [], 0
         for i, t in enumerate(texts):
+            n_blocks += 1
             for line in (t or "").encode().split(b"\n"):
                 found = words(line)
                 if found:
                     lines.append(found)
                     owner.append(i)
+                    block.append(n_blocks)
+                else:
+                    n_blocks += 1
         hits: list[list] = [[] for _ in texts]
+        taken: dict[tuple[int, str], list[tuple[int, int]]] = {}
         counts = np.bincount(np.array(owner, np.int64), minlength=len(texts))
         first = np.cumsum(counts) - counts
         if lines:
@@ -197,6 +236,19 @@ def scan_licenses(df: DataFrame, text: str = "text", model: tuple[np.ndarray, fl
                 near = similarity(lines[k], family)
                 hits[owner[k]].append({"paragraph": int(k - first[owner[k]]), "family": family, "probability": round(float(top[k]), 4),
                                        "similarity": round(near, 4), "confirmed": near >= CONFIRM})
+        if runs := wrapped(lines, block):
+            p = np.exp(log_probabilities(shared.value, [r[4] for r in runs], temperature))
+            sure = [(r, float(q[k])) for r, q in zip(runs, p) if (k := int(q.argmax())) and q[k] >= level and CLASSES[k] == r[2]]
+            # the nearest run first, then the shortest; each line belongs to one hit of a family
+            for (i, j, family, near, _), top in sorted(sure, key=lambda x: (-x[0][3], x[0][1] - x[0][0], x[0][0])):
+                mine, base = hits[owner[i]], int(first[owner[i]])
+                spans = taken.setdefault((owner[i], family), [(h["paragraph"] + base,) * 2 for h in mine if h["family"] == family and h["confirmed"]])
+                if any(a <= j and i <= b for a, b in spans):
+                    continue
+                spans.append((i, j))
+                mine[:] = [h for h in mine if h["confirmed"] or h["family"] != family or not i <= h["paragraph"] + base <= j]
+                mine.append({"paragraph": i - base, "family": family, "probability": round(top, 4), "similarity": round(near, 4), "confirmed": True})
+                mine.sort(key=lambda h: h["paragraph"])
         return {"n_paragraphs": counts.tolist(), "license_hits": hits}
 
     return map_text(df, run, [("n_paragraphs", T.LongType()), ("license_hits", HITS)], text)

@@ -26,3 +26,24 @@ def test_documents(spark):
     assert found == {0: [], 1: [], 2: [], 3: [], 4: [(1, "mit")], 5: [(0, "cc-by-nc"), (1, "apache")], 6: [(0, "mit")], 7: [], 8: [(1, "gpl")], 9: [(0, "cc-by")], 10: [], 11: []}
     assert {r["doc_id"]: r["n_paragraphs"] for r in out}[4] == 3
     assert L.scan_licenses(df.where("false")).count() == 0
+
+
+def test_wrapped_notices(spark):
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:"""
+    mit = """// Permission is hereby granted, free of charge, to any person obtaining a copy
+// of this software and associated documentation files (the "Software"), to deal
+// in the Software without restriction, including without limitation the rights"""
+    apache = """Licensed under the Apache
+License, Version 2.0 (the "License"); you may not use this
+file except in compliance with the License."""
+    narrow = "This program is free software:\nyou can redistribute it and/or\nmodify it under the terms of\nthe GNU General Public License."
+    torn = gpl.replace("\n", "\n\n")
+    texts = [f"{PROSE}\n{gpl}\n{PROSE}", bsd, f"{PROSE}\n\n{mit}", apache, narrow, torn, f"{PROSE}\n{PROSE}", f"{'word ' * 5000}\n{bsd}\n\n{mit}"]
+    out = L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: [(h["paragraph"], h["family"]) for h in r["license_hits"] if h["confirmed"]] for r in out}
+    assert found == {0: [(1, "gpl")], 1: [(0, "bsd")], 2: [(1, "mit")], 3: [(0, "apache")], 4: [(0, "gpl")], 5: [], 6: [], 7: [(1, "bsd"), (3, "mit")]}
