@@ -117,12 +117,21 @@ def b5(spark, sf):
     return show(B.paired_test(inputs.binary_rows(spark, sf), "model", 1, 2, ["seed"], "mcc", INTERVAL), ["seed"], ["n_draws", "significant"])
 
 
-@plan("B6_paired_sign", f"""
-WITH {BINARY_SQL}, {delta_sql(0, False, POOLED)}, j AS (SELECT * FROM dl JOIN obs USING (seed))
+def sign_sql(n):
+    return f"""
+WITH {BINARY_SQL}, {delta_sql(0, False, n)}, j AS (SELECT * FROM dl JOIN obs USING (seed))
 SELECT seed, {SUMMARY}, {r6('avg(CASE WHEN obs > 0 THEN delta <= 0 ELSE delta >= 0 END::int)')} AS p_one_sided FROM j GROUP BY seed
-""")
-def b6(spark, sf):
-    return show(B.paired_sign(inputs.binary_rows(spark, sf), "model", 1, 2, ["seed"], "mcc", POOLED), ["seed"], ["n_draws"])
+"""
+
+
+@plan("B6_paired_sign", sign_sql(POOLED))
+def b6(spark, sf, n=POOLED):
+    return show(B.paired_sign(inputs.binary_rows(spark, sf), "model", 1, 2, ["seed"], "mcc", n), ["seed"], ["n_draws"])
+
+
+@plan("B6_paired_sign_10000", sign_sql(INTERVAL))
+def b6_full(spark, sf):
+    return b6(spark, sf, INTERVAL)
 
 
 @plan("B7_paired_pooled", f"""
@@ -142,19 +151,28 @@ multi_arms AS (SELECT row_id, y, arm, list_position(p, list_max(p)) - 1 AS pred
 two AS (SELECT arm AS model, 0 AS seed, row_id, y, pred FROM multi_arms)"""
 
 
-@plan("B6_paired_sign_multiclass", f"""
-WITH {MULTI_ARMS_SQL}, {boot_sql(['model'], 0, False, POOLED, 'two')}, {conf_sql('two', ['model'])},
+def multi_sign_sql(n):
+    return f"""
+WITH {MULTI_ARMS_SQL}, {boot_sql(['model'], 0, False, n, 'two')}, {conf_sql('two', ['model'])},
 obs AS (SELECT a.mcc - b.mcc AS obs FROM m a, m b WHERE a.model = 1 AND b.model = 2),
 j AS (SELECT a.draw, a.mcc - b.mcc AS delta, obs FROM bt a JOIN bt b ON a.draw = b.draw AND a.model = 1 AND b.model = 2, obs)
 SELECT {SUMMARY}, {r6('avg(CASE WHEN obs > 0 THEN delta <= 0 ELSE delta >= 0 END::int)')} AS p_one_sided FROM j
-""")
-def b6_multi(spark, sf):
+"""
+
+
+@plan("B6_paired_sign_multiclass", multi_sign_sql(POOLED))
+def b6_multi(spark, sf, n=POOLED):
     m = inputs.multi_rows(spark, sf)
     best = lambda p: (F.array_position(p, F.array_max(p)) - 1).cast("int")
     coarse = F.transform("proba", lambda x, i: F.round(x, 2) + ((i + 1) % 3) / 1000.0)
     arms = m.select("row_id", "y", F.lit(1).alias("model"), best(F.col("proba")).alias("pred")).unionByName(
         m.select("row_id", "y", F.lit(2).alias("model"), best(coarse).alias("pred")))
-    return show(B.paired_sign(arms, "model", 1, 2, [], "mcc", POOLED), [], ["n_draws"])
+    return show(B.paired_sign(arms, "model", 1, 2, [], "mcc", n), [], ["n_draws"])
+
+
+@plan("B6_paired_sign_multiclass_10000", multi_sign_sql(INTERVAL))
+def b6_multi_full(spark, sf):
+    return b6_multi(spark, sf, INTERVAL)
 
 
 @plan("B8_approx_ci", f"""

@@ -234,3 +234,11 @@ def test_strata_beyond_the_recipe_are_refused(spark, monkeypatch):
     monkeypatch.setattr(B, "MOST_CELLS", 0)
     with pytest.raises(ValueError, match="fair up to"):
         B.drawn_confusion(d, ["g"], 2, 1, False)
+
+
+def test_unpooled_sign_tests_have_ten_thousand_draws(spark):
+    from corvane.plans.registry import PLANS
+    import corvane.plans  # noqa: F401
+
+    for name in ("B6_paired_sign_10000", "B6_paired_sign_multiclass_10000"):
+        assert {r["n_draws"] for r in PLANS[name](spark, "/root/testdata/sf0.001").collect()} == {10_000}
