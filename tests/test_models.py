@@ -44,14 +44,14 @@ def test_registered_experiments_search_the_full_space(spark, monkeypatch):
     from corvane.plans import models as P
 
     sf, seen = "/root/testdata/sf0.001", []
-    monkeypatch.setattr(ML, "tune", lambda train, task, space, row_id, k, seed=42: seen.append((space, k, seed)) or (dict(max_depth=1, n_trees=1, learning_rate=0.1), 0.5))
+    monkeypatch.setattr(ML, "search", lambda data, cells, seeds, k, *a: seen.extend((c, k) for c in cells) or [(dict(max_depth=1, n_trees=1, learning_rate=0.1), 0.5) for _ in cells])
     assert P.m5(spark, sf).first()["cv_best"] == 0.5
     P.m4(spark, sf)
     monkeypatch.setattr(P, "features", lambda *a: (frame(spark).withColumns({"label": F.col("y") * 9, "query_id": F.col("row_id"), **{g: F.array("pc") for g in "ABCD"}}).withColumn("pc", F.array("pc")), None))
     monkeypatch.setattr(ML, "ablation_arms", lambda *a: {"one": ["ft"]})
     records = P.m6(spark, sf)
     assert sorted(r["seed"] for r in records.select("seed").collect()) == [42, 43, 44, 45, 46]
-    assert len(seen) == 8 and all(k == 5 and space in [ML.search_space(seed, 20, t) for t in ("binary", "regression")] for space, k, seed in seen)
+    assert len(seen) == 8 and all(k == 5 and list(c.space) in [ML.search_space(c.seed, 20, t) for t in ("binary", "regression")] for c, k in seen)
 
 
 def test_sweep_has_all_groups_at_every_k(spark):
