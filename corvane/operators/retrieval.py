@@ -12,6 +12,14 @@ How the blocks meet depends on measured sizes:
   each partition emits at most ``k`` rows per query;
 * neither small  -> both sides are hashed into tiles of bounded size, every
   (query tile, library tile) pair is one co-group.
+
+Inside a task the library rows are arranged so that most of them need no score.
+For bit sets: ordered by bit count, in runs with the range of their counts and
+the union of their bits; two sets share at most the query's bits in the union.
+For vectors: in runs around sampled rows (pivots) with their widest angle; by
+the triangle inequality a query is at least its angle to the pivot less that
+width away. A run is scored only for queries whose k-th best score so far its
+bound can reach, so results are those of scoring everything.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions.hashing import md5_mod
 from corvane.operators.ordered import dense_index
+from corvane.session import cut_lineage
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 TILE_ROWS = 32_768
@@ -33,6 +42,8 @@ TILE_BYTES = 128 * 1024 * 1024  # one side of one tile
 SCORE_CELLS = 4_000_000  # scores held at once inside a task
 SCORE_DIGITS = 12  # blocks of other shapes add up in another order; beyond these digits scores count as equal
 LIBRARY_STEP = 8_192  # library rows scored at once inside a task
+RUN_ROWS, RUN_QUERIES = 256, 512  # library rows and queries that share a bound
+PIVOTS = 64
 
 
 # ---- scoring of two blocks --------------------------------------------------
@@ -86,6 +97,53 @@ def _pieces(q_ids: np.ndarray, q: dict, l_ids: np.ndarray, lib: dict):
 # ---- per-task accumulators --------------------------------------------------
 
 
+def _bit_runs(lib: dict) -> list[tuple[np.ndarray, tuple]]:
+    """Rows by bit count in runs, each with its least and largest count and the union of its bits."""
+    words = np.ascontiguousarray(lib["fp"].astype(np.int64)).view(np.uint64)
+    on = np.bitwise_count(words).sum(1, dtype=np.int64)
+    order = np.argsort(on, kind="stable")
+    runs = [order[a:a + RUN_ROWS] for a in range(0, len(order), RUN_ROWS)]
+    return [(r, (on[r[0]], on[r[-1]], np.bitwise_or.reduce(words[r]))) for r in runs]
+
+
+def _bit_bound(q: dict, summary: tuple) -> np.ndarray:
+    least, most, union = summary
+    words = np.ascontiguousarray(q["fp"].astype(np.int64)).view(np.uint64)
+    on = np.bitwise_count(words).sum(1, dtype=np.int64)
+    shared = np.minimum(np.bitwise_count(words & union).sum(1, dtype=np.int64), most)
+    return shared / np.maximum(on + np.maximum(least, shared) - shared, 1)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
+    return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
+
+
+def _pivot_runs(lib: dict) -> list[tuple[np.ndarray, tuple]]:
+    """Rows by nearest pivot in runs, each with the pivot and the widest angle to it."""
+    n = len(lib["vec"])
+    pivots = _unit(lib["vec"][np.linspace(0, n - 1, min(PIVOTS, max(1, n // 32))).astype(int)])
+    nearest, cosine = np.empty(n, np.int64), np.empty(n)
+    for a in range(0, n, LIBRARY_STEP):
+        s = _unit(lib["vec"][a:a + LIBRARY_STEP]) @ pivots.T
+        nearest[a:a + LIBRARY_STEP], cosine[a:a + LIBRARY_STEP] = s.argmax(1), s.max(1)
+    order = np.lexsort((-cosine, nearest))
+    begins = np.searchsorted(nearest[order], np.arange(len(pivots) + 1))
+    runs = [(p, order[a:min(a + RUN_ROWS, begins[p + 1])]) for p in range(len(pivots)) for a in range(begins[p], begins[p + 1], RUN_ROWS)]
+    return [(r, (pivots[p], float(np.arccos(np.clip(cosine[r].min(), -1, 1))))) for p, r in runs]
+
+
+def _pivot_bound(q: dict, summary: tuple) -> np.ndarray:
+    pivot, width = summary
+    away = np.arccos(np.clip(_unit(q["vec"]) @ pivot, -1, 1)) - width
+    return np.where(away > 0, np.cos(np.clip(away, 0, np.pi)), 1.0)
+
+
+#: How each score arranges the library and bounds a run.
+_BOUNDS = {_cosine_block: (_pivot_runs, _pivot_bound), _tanimoto_block: (_bit_runs, _bit_bound)}
+_SLACK = 1e-7  # angles of nearly equal vectors are good to about half the digits of a cosine
+
+
 class _Best:
     """Running best ``k`` per query; equal scores go to the lower library id."""
 
@@ -93,21 +151,39 @@ class _Best:
         self.score, self.k, self.exclude_self = score, k, exclude_self
         self.scores: np.ndarray | None = None
         self.ids: np.ndarray | None = None
+        self.scored = 0  # pairs that were scored
 
     def absorb(self, q_ids: np.ndarray, q: dict, l_ids: np.ndarray, lib: dict) -> None:
         if self.scores is None:
             self.scores = np.full((len(q_ids), self.k), -np.inf)
             self.ids = np.full((len(q_ids), self.k), np.iinfo(np.int64).max)
+        if self.score in _BOUNDS and len(l_ids):
+            arrange, bound = _BOUNDS[self.score]
+            runs = arrange(lib)
+            for a in range(0, len(q_ids), RUN_QUERIES):
+                part = np.arange(a, min(a + RUN_QUERIES, len(q_ids)))
+                most = np.stack([bound(_rows(q, part), summary) for _, summary in runs], 1) + _SLACK
+                # promising runs first: they raise what the others must reach
+                for r in np.argsort(-most.mean(0), kind="stable"):
+                    need = part[most[:, r] >= self.scores[part, -1]]
+                    if len(need):
+                        here = runs[r][0][np.argsort(l_ids[runs[r][0]], kind="stable")]
+                        self._take(need, q_ids[need], _ready(_rows(q, need)), l_ids[here], _ready(_rows(lib, here)))
+            return
         for part, q_part, ids, lib_part in _pieces(q_ids, q, l_ids, lib):
-            s = np.round(self.score(q_part, lib_part), SCORE_DIGITS)
-            if self.exclude_self:
-                s = np.where(q_ids[part][:, None] == ids[None, :], -np.inf, s)
-            new_s, new_i = self._top(s, ids)
-            all_s = np.hstack([self.scores[part], new_s])
-            all_i = np.hstack([self.ids[part], new_i])
-            order = np.lexsort((all_i, -all_s), axis=1)[:, : self.k]
-            self.scores[part] = np.take_along_axis(all_s, order, 1)
-            self.ids[part] = np.take_along_axis(all_i, order, 1)
+            self._take(np.arange(len(q_ids))[part], q_ids[part], q_part, ids, lib_part)
+
+    def _take(self, at: np.ndarray, q_ids: np.ndarray, q: dict, ids: np.ndarray, lib: dict) -> None:
+        s = np.round(self.score(q, lib), SCORE_DIGITS)
+        self.scored += s.size
+        if self.exclude_self:
+            s = np.where(q_ids[:, None] == ids[None, :], -np.inf, s)
+        new_s, new_i = self._top(s, ids)
+        all_s = np.hstack([self.scores[at], new_s])
+        all_i = np.hstack([self.ids[at], new_i])
+        order = np.lexsort((all_i, -all_s), axis=1)[:, : self.k]
+        self.scores[at] = np.take_along_axis(all_s, order, 1)
+        self.ids[at] = np.take_along_axis(all_i, order, 1)
 
     def _top(self, s: np.ndarray, l_ids: np.ndarray):
         if s.shape[1] <= self.k:
@@ -190,7 +266,7 @@ def usable(df: DataFrame, cols: list[str]) -> DataFrame:
         if df.schema[c].dataType.elementType.typeName() in ("float", "double"):
             whole = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         else:
-            whole = F.forall(c, lambda x: x.isNotNull())
+            whole = F.forall(c, lambda x: x.isNotNull()) if df.schema[c].dataType.containsNull else F.col(c).isNotNull()
         return F.coalesce(whole & (F.size(c) > 0), F.lit(False))
 
     return df.where(reduce(lambda a, b: a & b, [fine(c) for c in cols]))
@@ -216,7 +292,11 @@ def _measure(df: DataFrame, cols: list[str], limit_bytes: int) -> tuple[bool, in
 def _meet(queries: DataFrame, library: DataFrame, q_cols, l_cols, make, limit_bytes: int, tile_rows: int) -> DataFrame:
     """Runs ``make()`` accumulators over all query and library blocks."""
     spark = queries.sparkSession
-    q, lib = usable(queries.select("query_id", *q_cols), q_cols), usable(library.select("lib_id", *l_cols), l_cols)
+    q, lib = queries.select("query_id", *q_cols), library.select("lib_id", *l_cols)
+    if "fp" in l_cols:
+        # fingerprints are computed once, not again for each look at a side
+        q, lib = cut_lineage(q), cut_lineage(lib)
+    q, lib = usable(q, q_cols), usable(lib, l_cols)
     schema = make().schema
 
     small, row_bytes = _measure(lib, l_cols, limit_bytes)

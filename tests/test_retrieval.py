@@ -123,3 +123,29 @@ def test_unusable_vectors_are_left_out(spark):
     for way in WAYS.values():
         got = [(r["query_id"], r["rank"], r["lib_id"]) for r in R.topk_cosine(q, lib, 3, **way).orderBy("rank").collect()]
         assert got == [(7, 1, 1), (7, 2, 4)]
+
+
+def test_runs_that_cannot_win_are_not_scored():
+    import numpy as np
+    from corvane.operators import retrieval as R
+
+    rnd = np.random.default_rng(6)
+    # bit sets of very different sizes, each near a few others
+    sets = rnd.random((40, 512)) < rnd.choice([0.02, 0.1, 0.3, 0.6], 40)[:, None]
+    bits = np.packbits(sets[rnd.integers(0, 40, 6000)] & (rnd.random((6000, 512)) < 0.95), axis=1).view(np.int64)
+    # vectors in narrow bundles
+    centres = rnd.normal(size=(40, 16))
+    vectors = centres[rnd.integers(0, 40, 6000)] + rnd.normal(size=(6000, 16)) * 0.05
+    ids = rnd.permutation(6000).astype(np.int64)
+    for score, side in ((R._tanimoto_block, {"fp": bits}), (R._cosine_block, {"vec": vectors})):
+        at = np.arange(0, 6000, 12)
+        queries = {c: m[at] for c, m in side.items()}
+        best = R._Best(score, 5, True)
+        for part in np.array_split(np.arange(6000), 3):
+            best.absorb(ids[at], queries, ids[part], {c: m[part] for c, m in side.items()})
+        full = np.round(score(R._ready(queries), R._ready(side)), R.SCORE_DIGITS)
+        full[ids[at][:, None] == ids[None, :]] = -np.inf
+        for q in range(len(at)):
+            order = np.lexsort((ids, -full[q]))[:5]
+            assert best.ids[q].tolist() == ids[order].tolist() and np.allclose(best.scores[q], full[q][order])
+        assert best.scored < 0.5 * full.size, best.scored / full.size
