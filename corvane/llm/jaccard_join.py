@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corvane.llm.common import text_pieces
-from corvane.llm.components import components
+from corvane.llm.components import components, relabelled
 from corvane.session import cut_lineage, new_path
 
 #: Documents of one task that must share a token for it to be reported as common, and reports for it to be ordered last.
@@ -39,7 +39,7 @@ COMMON_IN_TASK, COMMON = 3, 6
 #: Common tokens that are remembered (8 bytes each, in every task); the most common ones, if there are more.
 REMEMBERED = 2_000_000
 #: Components up to which a token is rare, documents that are compared with each other in one go, and further rounds of stars.
-RARE, BLOCK, ROUNDS = 32, 1024, 2
+RARE, BLOCK, ROUNDS = 32, 1024, 1
 #: Bytes of text, about, whose sets a task holds at once.
 TASK_BYTES = 6_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -372,22 +372,16 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     shared = spark.read.parquet(shared_path)
     first = cut_lineage(_stars(shared, 0, percent))
     texts = _Texts(df, key, text)
-    links = texts.verified(cut_lineage(_not_ruled_out(first, sets, percent)), size, percent)
-    labels = components(links)
+    labels = components(texts.verified(_not_ruled_out(first, sets, percent), size, percent))
 
     # more stars around other documents, for members of a group that the first one missed by a little
     near = cut_lineage(shared.drop("hub").join(first.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc", "left_semi"))
     for salt in range(1, ROUNDS + 1):
-        found = texts.verified(cut_lineage(_not_ruled_out(_stars(_with_components(near, labels), salt, percent), sets, percent)), size, percent)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        labels = components(links)
+        labels = relabelled(labels, texts.verified(_not_ruled_out(_stars(_with_components(near, labels), salt, percent), sets, percent), size, percent))
 
     # exact: whatever may still link across components
     rest = cut_lineage(_near_components(_with_components(shared.select("token", "doc"), labels)))
-    last = cut_lineage(_across(rest, _with_components(sets, labels), percent))
-    labels = components(links.unionByName(texts.verified(last, size, percent)))
+    labels = relabelled(labels, texts.verified(_across(rest, _with_components(sets, labels), percent), size, percent))
     texts.drop()
 
     named = _with_components(sets.select("doc"), labels).select("doc", "comp")

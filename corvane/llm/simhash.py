@@ -203,20 +203,19 @@ def count_within(df: DataFrame, is_query: Column, radius: int = RADIUS, fingerpr
     asked = df.withColumn("_asked", F.coalesce(is_query, F.lit(False)))
     prints = cut_lineage(asked.groupBy(F.col(fingerprint).alias("fingerprint")).agg(F.count("*").alias("n"), F.max("_asked").alias("asked")))
     rows = _tables(prints)
-    # leading values: at most tables x 2^16 rows
-    cells = rows.groupBy("lead").agg(F.count("*").alias("_cell"))
+    # leading values with more fingerprints than a part holds; there are at most tables x 2^16 values
+    cells = rows.groupBy("lead").agg(F.count("*").alias("_cell")).where(F.col("_cell") > PART_ROWS)
     parts = max(1, -(-prints.count() * (BITS // BLOCK) // PART_ROWS))
-    spread = F.greatest(F.lit(1).cast("long"), F.expr(f"(_cell + {PART_ROWS - 1}) div {PART_ROWS}"))
-    sized = cut_lineage(cells.withColumn("_cuts", spread).select("lead", "_cuts"))
-    known = F.broadcast(sized)
+    known = F.broadcast(cut_lineage(cells.select("lead", F.expr(f"(_cell + {PART_ROWS - 1}) div {PART_ROWS}").alias("_cuts"))))
+    rows = rows.join(known, "lead", "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(1).cast("long")))
 
     def bucket(cut: Column) -> Column:
         return F.pmod(F.xxhash64("lead", cut), F.lit(parts).cast("long"))
 
-    held = rows.join(known, "lead").withColumn("_bucket", bucket(F.pmod(F.xxhash64("fingerprint"), F.col("_cuts")))).select("_bucket", "lead", "fingerprint", "n")
+    held = rows.withColumn("_bucket", bucket(F.pmod(F.xxhash64("fingerprint"), F.col("_cuts")))).select("_bucket", "lead", "fingerprint", "n")
     # a query goes to the bucket of every part, once where two parts share one
     places = F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1), bucket))
-    queries = rows.where("asked").join(known, "lead").withColumn("_bucket", F.explode(places)).select(
+    queries = rows.where("asked").withColumn("_bucket", F.explode(places)).select(
         F.col("_bucket").alias("_place"), F.col("lead").alias("_lead"), F.col("fingerprint").alias("_print"))
     schema = "fingerprint string, n_near bigint"
 

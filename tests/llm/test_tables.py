@@ -44,6 +44,21 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 6)}, 8: 8, 9: 8, 10: 8, 20: 20, 30: 20, **{100 + i: 100 for i in range(41)}}
 
 
+def test_components_after_more_edges(spark):
+    from corvane.llm.components import relabelled
+
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(150)]
+    more = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(120)]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long").repartition(5)
+    whole = {tuple(r) for r in components(frame(edges + more)).collect()}
+    labels = components(frame(edges))
+    assert {tuple(r) for r in relabelled(labels, frame(more)).collect()} == whole
+    assert relabelled(labels, frame(edges)) is labels
+    assert components(frame(edges).where("false")).count() == 0
+    assert {tuple(r) for r in relabelled(components(frame(edges).where("false")), frame(edges)).collect()} == {tuple(r) for r in labels.collect()}
+
+
 def jaccard_rows():
     rnd = random.Random(9)
     words = [f"w{i}" for i in range(400)]
