@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corvane.llm.common import text_pieces
 from corvane.llm.components import components, relabelled
-from corvane.session import cut_lineage, new_path
+from corvane.session import cut_lineage, join_small, new_path
 
 #: Documents of one task that must share a token for it to be reported as common, and reports for it to be ordered last.
 COMMON_IN_TASK, COMMON = 3, 6
@@ -101,6 +101,33 @@ def may_link(n_a: int, n_b: int, map_a: bytes, map_b: bytes, percent: int) -> bo
     return (100 + percent) * far_apart(map_a, map_b) <= (100 - percent) * (n_a + n_b)
 
 
+def _by_length(bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    of: dict[int, list[int]] = {}
+    for i, b in enumerate(bits):
+        of.setdefault(len(b), []).append(i)
+    return {n: (np.array(at), np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)) for n, at in of.items()}
+
+
+def allowed(n_a: np.ndarray, bits_a: list[bytes], n_b: np.ndarray, bits_b: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """``may_link`` for all of ``a`` with all of ``b``: the index pairs that may."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at_a, map_a in _by_length(bits_a).values():
+        for at_b, map_b in _by_length(bits_b).values():
+            x, y = map_a, map_b
+            while x.shape[1] > y.shape[1]:
+                x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, :y.shape[1] // 2] ^ y[:, y.shape[1] // 2:]
+            step = max(1, 2_000_000 // y.size)
+            for at in range(0, len(at_a), step):
+                one, other = n_a[at_a[at:at + step], None], n_b[None, at_b]
+                apart = np.bitwise_count(x[at:at + step, None] ^ y[None]).sum(2, dtype=np.int64)
+                i, j = np.nonzero((100 * np.minimum(one, other) >= percent * np.maximum(one, other)) & ((100 + percent) * apart <= (100 - percent) * (one + other)))
+                left.append(at_a[at + i])
+                right.append(at_b[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _profiles(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """``doc``, ``n``, ``digest`` and ``bits`` per document, and on one row per piece the tokens that its documents share."""
 
@@ -258,11 +285,11 @@ def _stars(rows: DataFrame, salt: int, percent: int) -> DataFrame:
     return pairs.groupBy(a, b).agg(F.count("*").alias("tokens")).where("tokens > 1").select("a", "b")
 
 
-def _near_components(rows: DataFrame) -> DataFrame:
-    """Pairs ``one`` < ``other`` of components in which two documents may share two prefix tokens.
+def _near_components(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs ``one`` < ``other`` of components in which two documents may share a rare and another prefix token, and the rows of frequent tokens.
 
     ``rows`` has ``token``, ``doc``, ``comp``. Rare tokens pair their few components; a pair that has a single rare token needs a
-    frequent one as well; of frequent tokens alone, two in one document make a combined key.
+    frequent one as well.
     """
     # one row per token and component; tokens of a single component have nothing left to find
     spark, by_token = rows.sparkSession, Window.partitionBy("token")
@@ -276,16 +303,66 @@ def _near_components(rows: DataFrame) -> DataFrame:
     several = shared.where("tokens > 1").select("one", "other")
     frequent = held.where(F.col("comps") > RARE).select("token").distinct()
     if frequent.isEmpty():
-        return several
+        return several, None
     often = rows.join(frequent, "token")
     own = often.groupBy("comp").agg(F.collect_set("token").alias("frequent"))
     mixed_pairs = shared.where("tokens = 1").join(own.select(F.col("comp").alias("one"), F.col("frequent").alias("f_one")), "one").join(
         own.select(F.col("comp").alias("other"), F.col("frequent").alias("f_other")), "other").where(F.arrays_overlap("f_one", "f_other"))
-    in_doc = often.groupBy("doc", "comp").agg(F.sort_array(F.collect_set("token")).alias("tokens")).where(F.size("tokens") > 1)
-    combined = F.expr("flatten(transform(tokens, (x, i) -> transform(slice(tokens, i + 2, size(tokens)), y -> xxhash64(x, y))))")
-    keys = in_doc.select(F.explode(combined).alias("key"), "comp").distinct()
-    pairs = keys.withColumnRenamed("comp", "one").join(keys.withColumnRenamed("comp", "other"), "key").where("one < other")
-    return several.union(mixed_pairs.select("one", "other")).union(pairs.select("one", "other")).distinct()
+    return several.union(mixed_pairs.select("one", "other")).distinct(), often
+
+
+def _frequent_pairs(often: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Document pairs ``a`` < ``b`` of different components that share two frequent tokens and that sizes and bitmaps allow.
+
+    Documents are indexed by combinations of two tokens: by one of them, and where many documents have it also by the remainder
+    of the other one. What is still large is cut into blocks. A task compares the documents of two blocks and gives out only what
+    may link, and that only under the pair's first combination.
+    """
+    docs = often.groupBy("doc", "comp").agg(F.sort_array(F.collect_set("token")).alias("tokens")).where(F.size("tokens") > 1).join(sets, "doc")
+    firsts = cut_lineage(docs.withColumn("x", F.explode(F.expr("slice(tokens, 1, size(tokens) - 1)"))))
+    parts_of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    cuts = firsts.groupBy("x").agg(parts_of(F.count("*")).alias("cuts")).where("cuts > 1")
+    cut = join_small(firsts, cuts, ["x"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long")))
+    cut = cut.withColumn("r", F.explode(F.expr("array_distinct(transform(filter(tokens, y -> y > x), y -> pmod(y, cuts)))")))
+    blocks = cut.groupBy("x", "r").agg(parts_of(F.count("*")).alias("blocks")).where("blocks > 1")
+    spread = join_small(cut, blocks, ["x", "r"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    spread = spread.select("x", "r", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cuts", "doc", "comp", "n", "bits", "tokens")
+    parts = max(int(often.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spread = spread.repartition(parts, "x", "r", "i", "j").sortWithinPartitions("x", "r", "i", "j")
+
+    def compare(key: tuple, rows: list[tuple]) -> tuple[list, list]:
+        x, r, i, j = key
+        left, right = [], []
+        here = [m for m in rows if m[0] == i]
+        there = [m for m in rows if m[0] == j]
+        if len({m[3] for m in here} | {m[3] for m in there}) < 2:
+            return left, right
+        one, other = allowed(np.array([m[4] for m in here]), [m[5] for m in here], np.array([m[4] for m in there]), [m[5] for m in there], percent)
+        for p, q in zip(one.tolist(), other.tolist()):
+            a, b = here[p], there[q]
+            if a[3] != b[3] and (i != j or a[2] < b[2]):
+                both = sorted(set(a[6]).intersection(b[6]))
+                if len(both) > 1 and both[0] == x and both[1] % a[1] == r:
+                    left.append(min(a[2], b[2]))
+                    right.append(max(a[2], b[2]))
+        return left, right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        held: list[tuple] = []
+        mark = None
+        for batch in batches:
+            for x, r, i, j, *row in zip(*[batch.column(c).to_pylist() for c in ("x", "r", "i", "j", "block", "cuts", "doc", "comp", "n", "bits", "tokens")]):
+                if (x, r, i, j) != mark:
+                    if len(held) > 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(mark, held)], schema=schema)
+                    held, mark = [], (x, r, i, j)
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(mark, held)], schema=schema)
+
+    return spread.mapInArrow(run, "a long, b long")
 
 
 def _across(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -314,15 +391,12 @@ def _across(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     rows = here.unionByName(there).repartition(parts, "hub", "b_here", "b_there").sortWithinPartitions("hub", "b_here", "b_there")
 
     def compare(group: list[tuple]) -> tuple[list, list]:
-        left, right = [], []
-        there = [r for r in group if not r[0]]
-        for x in group:
-            if x[0]:
-                for y in there:
-                    if may_link(x[2], y[2], x[3], y[3], percent):
-                        left.append(min(x[1], y[1]))
-                        right.append(max(x[1], y[1]))
-        return left, right
+        here, there = [r for r in group if r[0]], [r for r in group if not r[0]]
+        if not here or not there:
+            return [], []
+        one, other = allowed(np.array([r[2] for r in here]), [r[3] for r in here], np.array([r[2] for r in there]), [r[3] for r in there], percent)
+        a, b = np.array([r[1] for r in here])[one], np.array([r[1] for r in there])[other]
+        return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -380,8 +454,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
         labels = relabelled(labels, texts.verified(_not_ruled_out(_stars(_with_components(near, labels), salt, percent), sets, percent), size, percent))
 
     # exact: whatever may still link across components
-    rest = cut_lineage(_near_components(_with_components(shared.select("token", "doc"), labels)))
-    labels = relabelled(labels, texts.verified(_across(rest, _with_components(sets, labels), percent), size, percent))
+    rest, often = _near_components(_with_components(shared.select("token", "doc"), labels))
+    open_ = _across(cut_lineage(rest), _with_components(sets, labels), percent)
+    if often is not None:
+        open_ = open_.unionByName(_frequent_pairs(often, sets, percent))
+    labels = relabelled(labels, texts.verified(open_.distinct(), size, percent))
     texts.drop()
 
     named = _with_components(sets.select("doc"), labels).select("doc", "comp")
