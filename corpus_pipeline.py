@@ -18,13 +18,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group linked by five-word shingles at 0.8; a row without an id stays."""
-    groups = cut_lineage(jaccard_join.jaccard_components(docs, size=5, percent=80).where("doc_id is not null"))
-    stays = groups.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    found = docs.join(stays.select("doc_id"), "doc_id", "left_semi")
-    if stays.where("rows > 1").limit(1).count():
-        found = found.dropDuplicates(["doc_id"])
-    return found.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """The smallest document of each group linked by five-word shingles at 0.8; a row without an id stays.
+
+    Where ids repeat, rows are told apart by their place in the order of (id, text): other texts of the same id stay, copies go.
+    """
+    rows = docs.select(*COLUMNS)
+    named, key = rows.where("doc_id is not null"), "doc_id"
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        by = [F.col("doc_id"), F.xxhash64("text")]
+        named, key = cut_lineage(named.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_key", F.monotonically_increasing_id())), "_key"
+    stays = jaccard_join.jaccard_components(named, key=key, size=5, percent=80).where(f"component_id = {key}").select(key)
+    return named.join(stays, key, "left_semi").select(*COLUMNS).unionByName(rows.where("doc_id is null"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,11 @@
 Documents become pieces of at most ``capacity`` tokens; a piece goes where the sum over residual gaps of (open sequences with
 that gap) squared becomes smallest. Keeping the counts of all gaps level leaves some open sequence that any later piece fills.
 
-Pieces are dealt to shards by hash and each shard packs on its own; sequences that a shard leaves poorly filled are taken
-apart again and their pieces packed together in the next, smaller level, so shards cost next to nothing in fill.
+What few different lengths leave half-empty is put together afterwards, whole sequences into gaps.
+
+Pieces are dealt to shards, repeated rows like any others, and each shard packs on its own; sequences that a shard leaves emptier
+than its average are taken apart again and their pieces packed together in the next level, so shards cost next to nothing in fill.
+A shard hands on half of its pieces at most, so every level is at most half as large as the one before it, whatever the lengths.
 
 Cases: a null text counts as empty, an empty one is one piece of one closing token; only documents longer than ``capacity``
 are cut; repeated rows are packed each; an empty table gives an empty table; other columns of the input are not carried.
@@ -88,7 +91,7 @@ class WordEncoder:
 
 
 def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, payload: str = "ids") -> DataFrame:
-    """One row per piece: the key, ``piece``, ``start``, ``length``, a ``row`` hash that tells repeated rows apart, and the ids
+    """One row per piece: the key, ``piece``, ``start``, ``length`` and the ids
     (``payload="ids"``, array<int>) or only their CRC-32 (``payload="crc32"``). ``tokenizer`` is a file name of the public
     tokenizers or a path that every executor can read."""
     import os
@@ -146,6 +149,36 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return sequence, offset, np.array(gaps, np.int64)
 
 
+def merged(sequence: np.ndarray, offset: np.ndarray, gaps: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole sequences put into the gaps of others, fullest first, each where the least is left.
+
+    Level gap counts mean many half-empty sequences when there are few different lengths; here they become full ones.
+    """
+    fills = capacity - gaps
+    if not len(gaps) or fills.min() > gaps.max():
+        return sequence, offset, gaps
+    open_ = np.zeros(capacity + 1, np.int64)  # sequences by gap
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+    into, shift, kept = np.arange(len(gaps)), np.zeros(len(gaps), np.int64), gaps.copy()
+    for s in np.argsort(-fills, kind="stable").tolist():
+        fit = open_[fills[s]:] > 0
+        least = int(fit.argmax())
+        least = least if fit[least] else -1
+        if least >= 0:
+            gap = least + int(fills[s])
+            t = waiting[gap].pop()
+            open_[gap] -= 1
+            into[s], shift[s] = t, capacity - gap
+            kept[t] = gap - fills[s]
+        else:
+            t = s
+        if kept[t]:
+            open_[kept[t]] += 1
+            waiting[kept[t]].append(t)
+    names = np.cumsum(into == np.arange(len(gaps))) - 1
+    return names[into[sequence]], offset + shift[sequence], kept[into == np.arange(len(gaps))]
+
+
 def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces. Columns of the input with these names are replaced."""
     names = ["sequence_id", "offset", "_shard", "_open"]
@@ -160,17 +193,20 @@ def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY) -> Dat
 
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             shard = int(key[0])
-            sequence, offset, gaps = sum_of_squares(rows[length].to_numpy(np.int64), capacity)
+            sequence, offset, gaps = merged(*sum_of_squares(rows[length].to_numpy(np.int64), capacity), capacity)
             out = rows.drop(columns="_shard")
             again = np.zeros(len(gaps), bool)
             if not last:
-                again[np.argsort(-gaps, kind="stable")[:HANDED_ON]] = True
-                again &= gaps > 0
+                emptiest = np.argsort(-gaps, kind="stable")[:HANDED_ON]
+                emptiest = emptiest[gaps[emptiest] > gaps.mean()]
+                held = np.cumsum(np.bincount(sequence, minlength=len(gaps))[emptiest])
+                again[emptiest[2 * held <= len(sequence)]] = True
             out["sequence_id"] = number << 56 | shard << 24 | sequence
             out["offset"], out["_open"] = offset, again[sequence]
             return out
 
-        spread = todo.withColumn("_shard", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in base.dtypes if not t.startswith(("array", "map"))]), F.lit(shards)))
+        # numbered as they lie in the checkpoint, so that a row that repeats a million times is many shards' work
+        spread = todo.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(shards)))
         packed = spread.groupBy("_shard").applyInPandas(run, schema)
         if last:
             packed = packed.drop("_open")

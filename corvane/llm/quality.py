@@ -1,7 +1,8 @@
 """Quality rules with compression bands.
 
-A text is compressed whole and in fixed chunks; a zstandard ratio above the band of its length is repetitive, one below it
-is incompressible. Bands depend on length because short inputs carry the format's overhead and have little to refer back to.
+A text is compressed whole and in fixed chunks, the last one as long as it happens to be; a zstandard ratio above the band of its
+length is repetitive, one below it is incompressible. Bands depend on length because short inputs carry the format's overhead and
+have little to refer back to. Chunks reject a text if those of one kind are a share of its bytes or follow each other for a stretch.
 
 Cases: a null text has no words and fails the base rule, as an empty one does; repeated rows and ties give equal rows; very
 long texts are judged whole; an empty table gives an empty table; input columns named like a result are replaced.
@@ -9,7 +10,7 @@ long texts are judged whole; an empty table gives an empty table; input columns
 
 from __future__ import annotations
 
-from itertools import count
+from itertools import count, groupby
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ from corvane.llm.common import map_text
 
 LEVEL = 3
 CHUNK_BYTES = 4096
-#: Share of a text's full chunks that must lie outside the band before chunks reject it.
-BAD_CHUNKS = 0.5
+#: Share of a text's bytes in chunks outside the band, on one side, and chunks outside in a row, from which chunks reject it.
+BAD_SHARE, BAD_RUN = 0.3, 3
 #: (from bytes, least ratio, most ratio); below the first entry no band applies. Prose has a ratio of about 1.5 at 500 bytes
 #: and 2 to 3 from 4 KB on, encoded noise about 1.3 or less, word and line loops far above 6.
 BANDS = ((256, 1.0, 4.5), (512, 1.2, 5.0), (1024, 1.3, 5.5), (4096, 1.4, 6.0), (16384, 1.5, 8.0))
@@ -50,6 +51,13 @@ def outside(n_bytes: int, packed: int) -> str | None:
     return "repetitive" if ratio > limits[1] else "incompressible" if ratio < limits[0] else None
 
 
+def rejected_by(kinds: list[str | None], sizes: list[int], kind: str) -> bool:
+    """Whether chunks of ``kind`` are too large a share of the bytes, or too many in a row."""
+    if sum(n for k, n in zip(kinds, sizes) if k == kind) >= BAD_SHARE * sum(sizes) and kind in kinds:
+        return True
+    return any(k == kind and len(list(run)) >= BAD_RUN for k, run in groupby(kinds))
+
+
 def repeated_words(docs: list[list[bytes]]) -> np.ndarray:
     """Per document: words that stand in a 3-word window found at least twice in that document."""
     sizes = np.array([len(d) for d in docs], np.int64)
@@ -87,16 +95,16 @@ def assess(texts: list) -> dict[str, list]:
         failed = len(words) < 50 or 100 * out["n_repeat_words"][i] > 50 * len(words)
         whole = len(press.compress(blob)) if blob else 0
         reason = outside(len(blob), whole) if blob else None
-        full = len(blob) // CHUNK_BYTES
-        kinds = [outside(CHUNK_BYTES, len(press.compress(blob[k * CHUNK_BYTES:(k + 1) * CHUNK_BYTES]))) for k in range(full)]
-        high, low = kinds.count("repetitive"), kinds.count("incompressible")
-        if reason is None and full:
-            reason = "repetitive chunks" if high > BAD_CHUNKS * full else "incompressible chunks" if low > BAD_CHUNKS * full else None
+        chunks = [blob[k:k + CHUNK_BYTES] for k in range(0, len(blob), CHUNK_BYTES)]
+        kinds = [outside(len(c), len(press.compress(c))) for c in chunks]
+        sizes = [len(c) for c in chunks]
+        if reason is None and len(chunks) > 1:
+            reason = next((f"{k} chunks" for k in ("repetitive", "incompressible") if rejected_by(kinds, sizes, k)), None)
         for name, value in (
             ("n_words", len(words)), ("word_chars", chars), ("n_symbols", len(blob) - len(blob.translate(None, _SYMBOLS))),
             ("n_dup_lines", len(lines) - len(set(lines))), ("base_failed", failed), ("kept", not failed and reason is None),
-            ("zstd_ratio", len(blob) / whole if whole else None), ("chunks_repetitive", high), ("chunks_incompressible", low),
-            ("n_chunks", full), ("reason", "base" if failed else reason),
+            ("zstd_ratio", len(blob) / whole if whole else None), ("chunks_repetitive", kinds.count("repetitive")), ("chunks_incompressible", kinds.count("incompressible")),
+            ("n_chunks", len(chunks)), ("reason", "base" if failed else reason),
         ):
             out[name].append(value)
     return out

@@ -10,6 +10,7 @@ table gives an empty table; input columns named like a result column are replace
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import accumulate
 from operator import getitem, itemgetter
@@ -25,7 +26,8 @@ from corvane.llm.common import map_text, remembered
 class Rule:
     """A match is ``head`` followed by one or more bytes of the class ``body``; it counts if the body part has ``least`` bytes.
 
-    A shorter match is dropped but still uses up its text. ``any_case`` is for the head.
+    A shorter match is dropped but still uses up its text. ``any_case`` is for the head. A ``block`` goes on behind the match with the
+    lines of a key up to its closing line, or without one up to the last line that can belong to the key.
     """
 
     kind: str
@@ -33,8 +35,14 @@ class Rule:
     body: str
     least: int
     any_case: bool = False
+    block: bool = False
 
 
+#: Lines of a key block: real line ends or those written as an escape; the last line may be short only before the closing one.
+_LINE = rb"(?>(?:[ \t]*+(?:\r?\n|\\r|\\n))++[ \t]*+)"
+_BLOCK = re.compile(rb"(?:" + _LINE + rb"(?:(?:Proc-Type|DEK-Info|Comment|Version)\x20*:[^\r\n\\]*|[A-Za-z0-9+/=]{16,}))*+"
+                    rb"(?:(?:" + _LINE + rb"[A-Za-z0-9+/=]{1,15})?" + _LINE + rb"-----END\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY(?:\x20BLOCK)?-----)?")
+
 #: The rules of the contract, in their order.
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=\-]", 6, True),
@@ -46,7 +54,7 @@ MORE_RULES = (
     Rule("forge", "gh[oprsu]_", "[A-Za-z0-9]", 36),
     Rule("chat", r"xox[abeprs]\-", r"[A-Za-z0-9\-]", 24),
     Rule("jwt", "eyJ", r"[A-Za-z0-9_.\-]", 60),
-    Rule("pem", r"\-\-\-\-\-BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY", r"[\-]", 5),
+    Rule("pem", r"\-\-\-\-\-BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY", r"[\-]", 5, block=True),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -90,6 +98,8 @@ class Scanner:
                     inside = self.bodies[k]
                     while stop < len(data) and data[stop] in inside:
                         stop += 1
+                    if rule.block:
+                        stop = _BLOCK.match(data, stop).end()
                     used[k] = stop
                     if stop - body >= rule.least:
                         out.append((start, k, stop))

@@ -190,3 +190,19 @@ def test_pipeline(spark, tmp_path):
     assert set(ids("mixing")) <= set(ids("secrets")) and len(seen["mixing"]) >= 40
     assert sum(r["length"] for r in seen["packing"]) >= sum(len(brute.words(r["text"])) for r in seen["mixing"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_near_duplicate_stage_with_repeated_ids(spark):
+    rnd = random.Random(2)
+    text = lambda: " ".join(f"w{rnd.randrange(500)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (2, a), (2, c), (3, c), (3, c), (4, None), (4, None), (None, a), (None, a), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _key string")
+    out = corpus_pipeline.near_duplicate_stage(spark, df, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    got = sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=str)
+    # one row of each text, every row without a text or an id
+    assert sorted(t for i, t in got if i is not None and t) == sorted([a, b, c])
+    assert {i for i, t in got if t in (a, b) and i is not None} == {1} and (2, c) in got
+    assert sum(t is None for _, t in got) == 2 and (5, "") in got and sum(i is None for i, _ in got) == 2
+    assert corpus_pipeline.near_duplicate_stage(spark, df.where("false"), "").count() == 0

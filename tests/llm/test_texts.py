@@ -187,6 +187,60 @@ def test_packing_in_levels(spark, monkeypatch):
     assert len(fill) <= 1.03 * -(-sum(n for _, n in rows) // 100) + 1
 
 
+def test_whole_keys_are_masked(spark):
+    body = "\n".join("MIIEowIBAAKCAQEA" * 4 for _ in range(5))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    whole = f"{begin}\nProc-Type: 4,ENCRYPTED\n\n{body}\nshort==\n{end}"
+    texts = [f"a {whole} b", f"a {whole.replace(chr(10), chr(92) + 'n')} b", f"a {begin}\n{body}\nshort prose\nmore of it", f"{begin}\nplain words only", f"{whole}\n{whole}", begin + "\n" * 50_000 + " " * 50_000]
+    out = [r["text"] for r in secret_scan.scan_secrets(spark.createDataFrame([(t,) for t in texts], "text string"), redact=True).collect()]
+    assert out[:5] == ["a [SECRET] b", "a [SECRET] b", "a [SECRET]\nshort prose\nmore of it", "[SECRET]\nplain words only", "[SECRET]\n[SECRET]"]
+    assert out[5].strip() == "[SECRET]"
+
+
+def test_junk_behind_prose_is_rejected():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(1500)]
+    weights = 1 / np.arange(1, 1501)
+    prose = lambda n: " ".join(rng.choice(words, n // 4, p=weights / weights.sum()))[:n]
+    noise = lambda n: __import__("base64").b64encode(rng.bytes(n)).decode()[:n]
+    good = [prose(n) for n in (600, 3000, 4097, 4200, 9000, 40_000)]
+    bad = [prose(4096) + noise(4096), prose(20_000) + noise(19_000), prose(120_000) + noise(16_384), prose(4096) + " " + noise(2500)]
+    got = quality.assess(good + bad)
+    assert [r for r in got["reason"][:6] if r not in (None, "base")] == []
+    assert all(r == "incompressible chunks" or r == "incompressible" for r in got["reason"][6:]) and not any(got["kept"][6:])
+
+
+@pytest.mark.parametrize("length", [1, 3, 7, 12, 50, 100])
+def test_packing_many_equal_pieces_ends(spark, monkeypatch, length):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 100)
+    levels = []
+    cut = packing.cut_lineage
+    monkeypatch.setattr(packing, "cut_lineage", lambda df: levels.append(1) or cut(df))
+    # repeated rows: all alike in every column
+    out = packing.pack(spark.createDataFrame([(7, length)] * 300, "doc_id long, length long"), capacity=100).collect()
+    fill, shards = {}, {}
+    for r in out:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+        shards[r["sequence_id"] >> 24] = shards.get(r["sequence_id"] >> 24, 0) + 1
+    assert len(out) == 300 and max(fill.values()) <= 100
+    assert len(levels) <= 7 and max(shards.values()) < 200
+    assert len(fill) <= -(-300 // (100 // length)) + 3
+
+
+def test_merged_sequences_stay_gapless():
+    rng = np.random.default_rng(4)
+    for lengths in (rng.integers(1, 30, 500), np.full(20_000, 3), rng.integers(20, 100, 300), np.array([1]), np.zeros(0, int)):
+        before = packing.sum_of_squares(lengths, 100 if len(lengths) < 20_000 else 4096)
+        capacity = 100 if len(lengths) < 20_000 else 4096
+        sequence, offset, gaps = packing.merged(*before, capacity)
+        assert len(gaps) <= len(before[2]) and len(gaps) <= 1.02 * lengths.sum() / capacity + 2 + (lengths.max(initial=0) > 30) * 40
+        at = np.zeros(len(gaps), int)
+        for i in np.lexsort((offset, sequence)):
+            assert offset[i] == at[sequence[i]]
+            at[sequence[i]] += lengths[i]
+        assert (capacity - at == gaps).all()
+
+
 def test_mixing(spark, nothing):
     rng = np.random.default_rng(2)
     rows = [(i, "w " * int(rng.integers(0, 60)), [None, "b", "a", "c"][min(3, int(rng.exponential(1.0)))]) for i in range(800)] + [(900, None, "a"), (7, "w w", "a")]
