@@ -34,6 +34,29 @@ def remembered(key: str, make: Callable[[], object]):
     return kept[key]
 
 
+def forget(start: str) -> None:
+    """Drops what the worker remembers under keys with this start, where an operator needs the room."""
+    import gc
+    import sys
+
+    kept = getattr(sys.modules.get("_corvane_worker"), "__dict__", {})
+    for key in [k for k in kept if k.startswith(start)]:
+        del kept[key]
+    gc.collect()
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker to the system, at the end of a task that held large arrays."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less the columns that a result column of the same name (in any case) will replace."""
     taken = {n.lower() for n in names}

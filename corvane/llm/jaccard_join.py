@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corvane.llm.common import text_pieces
+from corvane.llm.common import forget, give_back, text_pieces
 from corvane.llm.components import components, relabelled
 from corvane.session import cut_lineage, join_small, new_path
 
@@ -41,7 +41,7 @@ REMEMBERED = 2_000_000
 #: Components up to which a token is rare, documents that are compared with each other in one go, and further rounds of stars.
 RARE, BLOCK, ROUNDS = 32, 1024, 1
 #: Bytes of text, about, whose sets a task holds at once.
-TASK_BYTES = 6_000_000
+TASK_BYTES = 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,6 +134,7 @@ def _profiles(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        forget("encoder")  # a tokenizer and its words, if the worker packed documents before
         for piece in text_pieces(batches, text, TASK_BYTES):
             keys = piece.column(key)
             kept: dict[bytes, np.ndarray] = {}
@@ -184,6 +185,7 @@ def _prefixes(df: DataFrame, key: str, text: str, size: int, percent: int, commo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value.view(np.uint64) if len(shared.value) else np.zeros(0, np.uint64)
         last = np.sort(last)
+        forget("encoder")
         for piece in text_pieces(batches, text, TASK_BYTES):
             smallest: dict[bytes, tuple[int, np.ndarray]] = {}
             for part in text_pieces(iter([piece]), text):
@@ -201,10 +203,11 @@ def _prefixes(df: DataFrame, key: str, text: str, size: int, percent: int, commo
                 docs.append(np.full(len(order), doc, np.int64))
                 sizes.append(np.full(len(order), n, np.int32))
             if tokens:
-                flat = np.concatenate(tokens).view(np.int64)
+                flat, owners, counts = np.concatenate(tokens).view(np.int64), np.concatenate(docs), np.concatenate(sizes)
                 for at in range(0, len(flat), 200_000):
                     cut = slice(at, at + 200_000)
-                    yield pa.RecordBatch.from_pydict({"token": flat[cut], "doc": np.concatenate(docs)[cut], "n": np.concatenate(sizes)[cut]})
+                    yield pa.RecordBatch.from_pydict({"token": flat[cut], "doc": owners[cut], "n": counts[cut]})
+        give_back()
 
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "token long, doc long, n int")
 

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from corvane.llm.common import remembered, text_pieces
+from corvane.llm.common import give_back, remembered, text_pieces
 from corvane.session import cut_lineage
 
 CAPACITY = 4096
@@ -102,6 +102,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
+        give_back()
         encoder = remembered(f"encoder {tokenizer}", lambda: WordEncoder(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer)))
         for batch in text_pieces(batches, text, 1_000_000):
             rows: list[list] = [[], [], [], [], []]
