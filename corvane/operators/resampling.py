@@ -39,24 +39,20 @@ def draws(rows: DataFrame, row_id: str, n_draws: int, seed: int = 42, strata: st
 MOST_CELLS = 2_000_000
 #: Positions picked in one go inside a task.
 SLOTS_AT_ONCE = 1_000_000
-_PRIME = 2_147_483_647
-_STEPS = (11, 101, 1009, 10007)
-#: Rows of a stratum up to which residues modulo the prime draw nearly as with replacement; beyond, intervals would shrink unseen.
-MOST_ROWS = _PRIME // 100
+# two primes whose residues together number some 2^62 starts: slots of one draw do not meet, and every position stays in reach
+_PRIME, _SECOND = 2_147_483_647, 2_147_483_629
+_STEPS, _SECOND_STEPS = (11, 101, 1009, 10007), (13, 1013)
 
 
 def picks(draw: int, slots: np.ndarray, seed: int, stratum: int, n: int) -> np.ndarray:
-    """Positions in ``[0, n)``: four squaring steps modulo a prime, in integers that SQL has too."""
+    """Positions in ``[0, n)``: squaring steps modulo two primes, in integers that SQL has too. Slots may number some 8e13."""
     x = (draw * 7919 + slots * 104729 + seed * 1299709 + stratum * 15485863 + 1) % _PRIME
     for c in _STEPS:
         x = (x * x + c) % _PRIME
-    return x % n
-
-
-def _check_size(n: int) -> int:
-    if n > MOST_ROWS:
-        raise ValueError(f"a stratum has {n} rows: the draws of this recipe are fair up to {MOST_ROWS}")
-    return n
+    y = (draw * 104723 + slots * 7907 + seed * 1299721 + stratum * 15485867 + 1) % _SECOND
+    for c in _SECOND_STEPS:
+        y = (y * y + c) % _SECOND
+    return (x * _SECOND + y) % n
 
 
 def _keyed(pred: DataFrame, by: list[str], row_id: str, value: str = "pred") -> DataFrame:
@@ -82,17 +78,20 @@ def cell_draws(keyed: DataFrame, row_id: str, n_draws: int, seed: int, stratifie
     whole = Window.partitionBy("stratum")
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = cut_lineage(counts.select("stratum", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"), F.sum("_n").over(whole).alias("_n")))
-    sizes = sorted((r["stratum"], _check_size(r["_n"])) for r in carried.select("stratum", "_n").distinct().collect())
+    strata = sorted(r["stratum"] for r in carried.select("stratum").distinct().collect())
     inside = Window.partitionBy("stratum", "_part").orderBy("key", row_id)
     placed = cut_lineage(ranged.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(carried), ["stratum", "_part"]).select(
         row_id, "stratum", (F.col("_r") - 1 + F.col("_c")).alias("idx"), "_n"))
-    k = F.array_position(F.array(*[F.lit(s) for s, _ in sizes]), F.col("stratum")) - 1
+    k = F.array_position(F.array(*[F.lit(s) for s in strata]), F.col("stratum")) - 1
     big = lambda v: F.lit(v).cast("bigint")
     x = (F.col("draw") * big(7919) + F.col("idx") * big(104729) + big(seed * 1299709) + k * big(15485863) + 1) % _PRIME
-    slots = placed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).select("stratum", "draw", "_n", x.alias("_x"))
+    y = (F.col("draw") * big(104723) + F.col("idx") * big(7907) + big(seed * 1299721) + k * big(15485867) + 1) % _SECOND
+    slots = placed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).select("stratum", "draw", "_n", x.alias("_x"), y.alias("_y"))
     for c in _STEPS:
         slots = slots.withColumn("_x", (F.col("_x") * F.col("_x") + c) % _PRIME)
-    counted = slots.groupBy("stratum", (F.col("_x") % F.col("_n")).alias("idx"), "draw").agg(F.count("*").alias("times"))
+    for c in _SECOND_STEPS:
+        slots = slots.withColumn("_y", (F.col("_y") * F.col("_y") + c) % _SECOND)
+    counted = slots.groupBy("stratum", ((F.col("_x") * big(_SECOND) + F.col("_y")) % F.col("_n")).alias("idx"), "draw").agg(F.count("*").alias("times"))
     return counted.join(placed.drop("_n"), ["stratum", "idx"]).select("draw", row_id, "times")
 
 
@@ -107,7 +106,7 @@ def _drawer(table: list, seed: int, stratified: bool):
         for k in range(len(strata)):
             mine = np.flatnonzero(of == k)
             ends = np.cumsum(size[mine])
-            n = _check_size(int(ends[-1]))
+            n = int(ends[-1])
             for at in range(0, n, SLOTS_AT_ONCE):
                 drawn = picks(draw, np.arange(at, min(n, at + SLOTS_AT_ONCE)), seed, k, n)
                 times[mine] += np.bincount(np.searchsorted(ends, drawn, "right"), minlength=len(mine))

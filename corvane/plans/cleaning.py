@@ -306,7 +306,7 @@ def m1(spark, sf):
 
 
 @plan("M2_folds", """
-WITH h AS (SELECT doc_id, quality, concat('0x', substr(md5('42:' || doc_id), 1, 8))::bigint AS h FROM labels)
+WITH h AS (SELECT doc_id, quality, concat('0x', substr(md5('42:' || doc_id), 1, 15))::bigint AS h FROM labels)
 SELECT doc_id, ((row_number() OVER (ORDER BY h, doc_id) - 1) % 5)::int AS plain,
        ((row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) - 1) % 5)::int AS stratified FROM h
 """)

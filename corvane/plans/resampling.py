@@ -18,7 +18,7 @@ def draw_sql(ids, seed, stratum="'all'", name="dw", n=ROWS):
     """``(draw, row_id)`` picks of the md5 recipe over ``ids``."""
     return f"""{name}_i AS (SELECT row_id, {stratum} AS stratum, row_number() OVER (PARTITION BY {stratum} ORDER BY row_id) - 1 AS idx,
    count(*) OVER (PARTITION BY {stratum}) AS n FROM {ids}),
-{name}_p AS (SELECT d AS draw, stratum, concat('0x', substr(md5('{seed}:' || d || ':' || stratum || ':' || idx), 1, 8))::bigint % n AS pick
+{name}_p AS (SELECT d AS draw, stratum, concat('0x', substr(md5('{seed}:' || d || ':' || stratum || ':' || idx), 1, 15))::bigint % n AS pick
    FROM {name}_i, (SELECT unnest(range({n}))::int AS d)),
 {name} AS (SELECT draw, row_id FROM {name}_p p JOIN {name}_i i ON i.stratum = p.stratum AND i.idx = p.pick)"""
 
@@ -42,12 +42,14 @@ def cell_draw_sql(by, seed, stratified, n, source, value):
     b, arm = ", ".join(by), " || ':' || ".join(f"{c}::varchar" for c in by)
     stratum = "y::varchar" if stratified else "'all'"
     x = f"(d * 7919 + idx * 104729 + {seed} * 1299709 + k * 15485863 + 1) % 2147483647"
-    steps = "".join(f",\ns{i} AS (SELECT d, stratum, n, (x * x + {c}) % 2147483647 AS x FROM s{i - 1})" for i, c in enumerate((11, 101, 1009, 10007), 1))
+    y = f"(d * 104723 + idx * 7907 + {seed} * 1299721 + k * 15485867 + 1) % 2147483629"
+    steps = "".join(f",\ns{i} AS (SELECT d, stratum, n, (x * x + {c}) % 2147483647 AS x, {e} AS y FROM s{i - 1})" for i, (c, e) in enumerate(
+        ((11, "(y * y + 13) % 2147483629"), (101, "(y * y + 1013) % 2147483629"), (1009, "y"), (10007, "y")), 1))
     return f"""cell_rows AS MATERIALIZED (SELECT row_id, any_value(y) AS y, any_value(y)::varchar || '|' || string_agg({arm} || '=' || {value}::varchar, ',' ORDER BY {b}) AS cell FROM {source} GROUP BY row_id),
 placed AS MATERIALIZED (SELECT cell, {stratum} AS stratum, row_number() OVER (PARTITION BY {stratum} ORDER BY cell, row_id) - 1 AS idx, count(*) OVER (PARTITION BY {stratum}) AS n,
   dense_rank() OVER (ORDER BY {stratum}) - 1 AS k FROM cell_rows),
-s0 AS (SELECT d, stratum, n, {x} AS x FROM placed, (SELECT unnest(range({n})) AS d)){steps},
-drawn AS MATERIALIZED (SELECT s4.d::int AS draw, cell, count(*) AS times FROM s4 JOIN placed p ON p.stratum = s4.stratum AND p.idx = s4.x % s4.n GROUP BY 1, 2),
+s0 AS (SELECT d, stratum, n, {x} AS x, {y} AS y FROM placed, (SELECT unnest(range({n})) AS d)){steps},
+drawn AS MATERIALIZED (SELECT s4.d::int AS draw, cell, count(*) AS times FROM s4 JOIN placed p ON p.stratum = s4.stratum AND p.idx = (s4.x * 2147483629 + s4.y) % s4.n GROUP BY 1, 2),
 arms AS MATERIALIZED (SELECT DISTINCT cell, {', '.join('p.' + c for c in by)}, p.y, p.{value} FROM {source} p JOIN cell_rows USING (row_id))"""
 
 
@@ -79,24 +81,24 @@ def b4(spark, sf):
     return show(B.bootstrap_percentile(inputs.binary_rows(spark, sf), ["model", "seed"], ["f1_macro"], INTERVAL), ["model", "seed", "metric"], ["n_valid"])
 
 
-AUC_ROWS_SQL = f"""{BINARY_SQL}, scored AS (SELECT model, row_id, y, (score * 1e6)::bigint AS score FROM binary_rows WHERE seed = 42)"""
+AUC_ROWS_SQL = f"""{BINARY_SQL}, scored AS (SELECT model, seed, row_id, y, (score * 1e12::double)::bigint AS score FROM binary_rows)"""
 
 
 @plan("B4_bootstrap_auc", f"""
-WITH {AUC_ROWS_SQL}, {cell_draw_sql(['model'], 42, True, INTERVAL, 'scored', 'score')},
-w AS (SELECT model, draw, score, sum(times) FILTER (WHERE y = 1) AS up, sum(times) FILTER (WHERE y = 0) AS down FROM drawn JOIN arms USING (cell) GROUP BY ALL),
-c AS (SELECT *, sum(coalesce(down, 0)) OVER (PARTITION BY model, draw ORDER BY score) AS upto FROM w),
-a AS (SELECT model, draw, sum(coalesce(up, 0) * (upto - coalesce(down, 0) / 2.0::double)) / (sum(up) * sum(down)) AS auc FROM c GROUP BY 1, 2),
-ow AS (SELECT model, score, count(*) FILTER (WHERE y = 1) AS up, count(*) FILTER (WHERE y = 0) AS down FROM scored GROUP BY ALL),
-oc AS (SELECT *, sum(down) OVER (PARTITION BY model ORDER BY score) AS upto FROM ow),
-o AS (SELECT model, sum(up * (upto - down / 2.0::double)) / (sum(up) * sum(down)) AS observed FROM oc GROUP BY 1)
-SELECT model, 'auc' AS metric, {r6('any_value(observed)')} AS observed, {r6('avg(auc)')} AS mean, {r6('stddev_samp(auc)')} AS se,
-  {r6('quantile_cont(auc, 0.025)')} AS ci_lo, {r6('quantile_cont(auc, 0.975)')} AS ci_hi, count(auc) AS n_valid FROM a JOIN o USING (model) GROUP BY 1
+WITH {AUC_ROWS_SQL}, {cell_draw_sql(['model', 'seed'], 42, True, INTERVAL, 'scored', 'score')},
+w AS (SELECT model, seed, draw, score, sum(times) FILTER (WHERE y = 1) AS up, sum(times) FILTER (WHERE y = 0) AS down FROM drawn JOIN arms USING (cell) GROUP BY ALL),
+c AS (SELECT *, sum(coalesce(down, 0)) OVER (PARTITION BY model, seed, draw ORDER BY score) AS upto FROM w),
+a AS (SELECT model, seed, draw, sum(coalesce(up, 0) * (upto - coalesce(down, 0) / 2.0::double)) / (sum(up) * sum(down)) AS auc FROM c GROUP BY 1, 2, 3),
+ow AS (SELECT model, seed, score, count(*) FILTER (WHERE y = 1) AS up, count(*) FILTER (WHERE y = 0) AS down FROM scored GROUP BY ALL),
+oc AS (SELECT *, sum(down) OVER (PARTITION BY model, seed ORDER BY score) AS upto FROM ow),
+o AS (SELECT model, seed, sum(up * (upto - down / 2.0::double)) / (sum(up) * sum(down)) AS observed FROM oc GROUP BY 1, 2)
+SELECT model, seed, 'auc' AS metric, {r6('any_value(observed)')} AS observed, {r6('avg(auc)')} AS mean, {r6('stddev_samp(auc)')} AS se,
+  {r6('quantile_cont(auc, 0.025)')} AS ci_lo, {r6('quantile_cont(auc, 0.975)')} AS ci_hi, count(auc) AS n_valid FROM a JOIN o USING (model, seed) GROUP BY 1, 2
 """)
 def b4_auc(spark, sf):
-    # the models of one seed; scores as whole millionths, so that both engines write them alike
-    rows = inputs.binary_rows(spark, sf).where("seed = 42").select("model", "row_id", "y", F.round(F.col("score") * 1e6).cast("bigint").alias("score"))
-    return show(B.bootstrap_auc(rows, ["model"], INTERVAL), ["model", "metric"], ["n_valid"])
+    # scores in whole billionths of a thousandth, so that both engines write the cells' keys alike
+    rows = inputs.binary_rows(spark, sf).select("model", "seed", "row_id", "y", F.round(F.col("score") * 1e12).cast("bigint").alias("score"))
+    return show(B.bootstrap_auc(rows, ["model", "seed"], INTERVAL), ["model", "seed", "metric"], ["n_valid"])
 
 
 def delta_sql(seed, stratified, n):

@@ -117,8 +117,8 @@ def topk_hybrid(spark, sf):
 WITH lib AS (SELECT vec_id AS lib_id, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings),
 n AS (SELECT count(*) AS m FROM embeddings),
 drawn AS (SELECT vec_id AS query_id, list_reduce(range(m - 20, m), lambda acc, j: list_append(acc,
-   CASE WHEN list_contains(acc, concat('0x', substr(md5('7:' || vec_id || ':' || j), 1, 8))::bigint % (j + 1)) THEN j
-        ELSE concat('0x', substr(md5('7:' || vec_id || ':' || j), 1, 8))::bigint % (j + 1) END), []::bigint[]) AS pos
+   CASE WHEN list_contains(acc, concat('0x', substr(md5('7:' || vec_id || ':' || j), 1, 15))::bigint % (j + 1)) THEN j
+        ELSE concat('0x', substr(md5('7:' || vec_id || ':' || j), 1, 15))::bigint % (j + 1) END), []::bigint[]) AS pos
    FROM embeddings, n),
 long AS (SELECT query_id, unnest(range(1, 21)) AS rank, unnest(pos) AS idx FROM drawn)
 SELECT query_id, rank, lib_id FROM long JOIN lib USING (idx)

@@ -227,13 +227,28 @@ def test_many_cells_are_drawn_by_the_same_recipe(spark, monkeypatch):
     assert made() == sent
 
 
-def test_strata_beyond_the_recipe_are_refused(spark, monkeypatch):
-    d = pred(spark, [0, 1] * 20, [0, 1] * 20)
-    monkeypatch.setattr(B, "MOST_ROWS", 30)
-    assert B.drawn_confusion(d, ["g"], 2, 1, True).count()
-    monkeypatch.setattr(B, "MOST_CELLS", 0)
-    with pytest.raises(ValueError, match="fair up to"):
-        B.drawn_confusion(d, ["g"], 2, 1, False)
+def test_draws_reach_every_position_of_huge_strata():
+    n, m = 3 * 2**33, 1_000_000
+    for first in (0, 2**31 - m // 2, 5 * 2**32):  # slots around and beyond the primes
+        got = B.picks(4, np.arange(first, first + m), 42, 1, n)
+        assert got.min() >= 0 and got.max() < n and abs(got.mean() / (n / 2) - 1) < 0.005
+        shares = np.bincount(got // 2**30, minlength=24) / m
+        assert abs(shares * 24 - 1).max() < 0.03
+        repeats = m - len(np.unique(got))
+        assert repeats < 60  # m * m / 2n = 19 are expected
+
+
+def test_draws_of_a_small_stratum_are_with_replacement():
+    n = 50_000
+    missing = [n - len(np.unique(B.picks(d, np.arange(n), 7, 0, n))) for d in range(40)]
+    assert abs(np.mean(missing) / (n * (1 - 1 / n) ** n) - 1) < 0.01
+
+
+def test_hashed_positions_pass_32_bits(spark):
+    from corvane.functions.hashing import md5_mod
+
+    got = [r["p"] for r in spark.range(2000).select(md5_mod(F.lit(2**50), F.lit(1), F.col("id")).alias("p")).collect()]
+    assert min(got) >= 0 and max(got) < 2**50 and abs(np.mean(got) / 2**49 - 1) < 0.05
 
 
 def test_unpooled_sign_tests_have_ten_thousand_draws(spark):
