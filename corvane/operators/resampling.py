@@ -188,6 +188,20 @@ def bootstrap_percentile(pred: DataFrame, by: list[str], names: list[str], n_dra
     return observed.join(agg, [*by, "metric"])
 
 
+def _arms_of(table: list, by: list[str]) -> list[tuple]:
+    """Per arm its ``by`` values, the numbers of the cells it holds and its predictions there."""
+    arms: dict[tuple, dict[int, float]] = {}
+    for i, r in enumerate(table):
+        for a in r["arms"]:
+            arms.setdefault(tuple(a[c] for c in by), {})[i] = a["pred"]
+    return [(name, np.array(list(of), np.int64), np.array(list(of.values()), float)) for name, of in arms.items()]
+
+
+def _places(values: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones."""
+    return np.unique(values, return_inverse=True)[1]
+
+
 def auc_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int = 42, stratified: bool = True, row_id: str = "row_id", score: str = "score") -> DataFrame:
     """``by``, ``draw``, ``auc``: tie-aware AUC of every arm in every draw; null in draws of one class. Cells are rows with equal scores."""
     spark = pred.sparkSession
@@ -199,15 +213,7 @@ def auc_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int = 42, stra
     table = cells.orderBy("key").collect()
     times_of = _drawer(table, seed, stratified)
     truth = np.array([r["y"] for r in table])
-    # per arm: the place of each cell among the arm's distinct scores
-    scores: dict[tuple, dict[int, float]] = {}
-    for i, r in enumerate(table):
-        for a in r["arms"]:
-            scores.setdefault(tuple(a[c] for c in by), {})[i] = a["pred"]
-    arms = []
-    for name, of in scores.items():
-        held = np.array(list(of), np.int64)
-        arms.append((name, held, np.unique(np.array([of[i] for i in held.tolist()], float), return_inverse=True)[1]))
+    arms = [(name, held, _places(scores)) for name, held, scores in _arms_of(table, by)]
     schema = T.StructType([*[pred.schema[c] for c in by], T.StructField("draw", T.IntegerType()), T.StructField("auc", T.DoubleType())])
 
     def run(batches):
@@ -228,6 +234,65 @@ def auc_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int = 42, stra
     return _over_draws(spark, n_draws if table else 0, run, schema)
 
 
+def middle_ranks(places: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Average rank of each entry when entry i occurs ``times[i]`` times; ``places`` come from one sort for all draws."""
+    n = np.bincount(places, times)
+    return (np.cumsum(n) - (n - 1) / 2)[places]
+
+
+def corr_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int = 0, row_id: str = "row_id") -> DataFrame:
+    """``by``, ``draw``, ``spearman``: rank correlation of truth and prediction of every arm in every plain draw; arms share the draws.
+
+    Values are sorted once; a draw only adds up its counts along that order. Null without spread. Rows without a truth or without any
+    prediction are not drawn; an arm that lacks the prediction of a row is judged by its other rows.
+    """
+    spark = pred.sparkSession
+    pred = pred.where(F.col("y").isNotNull() & F.col("pred").isNotNull())
+    keyed = _keyed(pred, by, row_id)
+    cells = cut_lineage(_cells(keyed))
+    if cells.count() > MOST_CELLS:
+        d = cell_draws(keyed, row_id, n_draws, seed, False)
+        return M.spearman(pred.join(d, row_id), "y", "pred", [*by, "draw"], weight="times").withColumnRenamed("rho", "spearman")
+    table = cells.orderBy("key").collect()
+    times_of = _drawer(table, seed, False)
+    truth = np.array([r["y"] for r in table], float)
+    arms, held_by = [], {}
+    for name, held, values in _arms_of(table, by):  # arms over the same cells share the ranks of the truth
+        held_by.setdefault(held.tobytes(), (held, _places(truth[held])))
+        arms.append((name, held.tobytes(), _places(values)))
+    schema = T.StructType([*[pred.schema[c] for c in by], T.StructField("draw", T.IntegerType()), T.StructField("spearman", T.DoubleType())])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for draw in batch.column(0).to_pylist():
+                times, found, of_truth = times_of(draw), [], {}
+                for key, (held, places) in held_by.items():
+                    w = times[held].astype(float)
+                    x = middle_ranks(places, w) - (w.sum() + 1) / 2
+                    of_truth[key] = w, x, (w * x * x).sum()
+                for _, key, places in arms:
+                    w, x, xx = of_truth[key]
+                    z = middle_ranks(places, w) - (w.sum() + 1) / 2
+                    root = np.sqrt(xx * (w * z * z).sum())
+                    found.append(float((w * x * z).sum() / root) if root > 0 else None)
+                values = [[name[j] for name, *_ in arms] for j in range(len(by))] + [[draw] * len(arms), found]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    return _over_draws(spark, n_draws if table else 0, run, schema)
+
+
+def bootstrap_corr_normal(pred: DataFrame, by: list[str], n_draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """As ``bootstrap_normal`` for the rank correlation of truth and prediction; draws are plain, as there are no classes."""
+    point = M.spearman(pred, "y", "pred", by).withColumnRenamed("rho", "point")
+    se = corr_draws(pred, by, n_draws, seed).groupBy(*by).agg(F.stddev_pop("spearman").alias("se"))
+    half = F.col("se") * Z_95
+    return point.join(se, by).select(*by, F.lit("spearman").alias("metric"), *[F.round(c, 4).alias(n) for n, c in (
+        ("point", F.col("point")), ("se", F.col("se")), ("ci_lo", F.col("point") - half), ("ci_hi", F.col("point") + half))])
+
+
 def bootstrap_auc(pred: DataFrame, by: list[str], n_draws: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Observed AUC, mean, sample sd and percentile interval of its draws, with the number of usable draws."""
     per = auc_draws(pred, by, n_draws, seed)
@@ -239,9 +304,16 @@ def bootstrap_auc(pred: DataFrame, by: list[str], n_draws: int = 10_000, seed: i
 
 
 def _arm_deltas(pred: DataFrame, arm: str, a, b, by: list[str], metric: str, n_draws: int, seed: int, stratified: bool):
-    """Observed and per-draw difference of a metric between two arms over the same rows and draws."""
+    """Observed and per-draw difference of a metric between two arms over the same rows and draws.
+
+    ``spearman`` compares real-valued predictions; its draws are plain, and those without spread in either arm have no difference.
+    """
     two = pred.where(F.col(arm).isin([a, b]))
     gap = lambda: (F.max(F.when(F.col(arm) == a, F.col(metric))) - F.max(F.when(F.col(arm) == b, F.col(metric))))
+    if metric == "spearman":
+        obs = M.spearman(two, "y", "pred", [arm, *by]).withColumnRenamed("rho", metric).groupBy(*by).agg(gap().alias("obs"))
+        per = corr_draws(two, [arm, *by], n_draws, seed).groupBy(*by, "draw").agg(gap().alias("delta"))
+        return obs, per.where("delta IS NOT NULL")
     obs = M.class_metrics(two, [arm, *by]).groupBy(*by).agg(gap().alias("obs"))
     per = class_draws(two, [arm, *by], n_draws, seed, stratified).groupBy(*by, "draw").agg(gap().alias("delta"))
     return obs, per

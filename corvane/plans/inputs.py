@@ -144,6 +144,21 @@ reg_rows AS (SELECT o_orderpriority AS grp, o_orderkey AS row_id, o_totalprice A
 """
 
 
+def regression_arms(spark: SparkSession, sf: str) -> DataFrame:
+    """``(model, seed, row_id, y, pred)``: lengths predicted by two models of five seeds over every document, in whole numbers."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("n_chars").cast("bigint").alias("y"))
+    rows = rows.withColumn("model", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in range(42, 47)])))
+    noise = (F.col("row_id") * 7919 + F.col("model") * 1013 + F.col("seed") * 37 * F.col("model")) % 1000
+    return rows.select("model", "seed", "row_id", "y", (F.col("y") + noise * (F.lit(6) - F.col("model"))).cast("bigint").alias("pred"))
+
+
+REG_ARMS_SQL = """
+reg_arms AS (SELECT model, seed, doc_id AS row_id, n_chars::bigint AS y,
+   n_chars::bigint + (doc_id * 7919 + model * 1013 + seed * 37 * model) % 1000 * (6 - model) AS pred
+   FROM documents, (SELECT unnest([1, 2]) AS model), (SELECT unnest(range(42, 47))::int AS seed))
+"""
+
+
 # ---- a grid of configuration cells ---------------------------------------------------
 
 

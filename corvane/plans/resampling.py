@@ -147,6 +147,64 @@ def b7(spark, sf):
     return show(out, [], ["n_draws", "n_seeds", "excludes_0", "better", "worse"])
 
 
+def corr_sql(seed, n):
+    """Rank correlations ``co`` of the rows and ``bt`` per draw of the cells, from running counts along the values."""
+    def ranked(source, keys, name):
+        k = ", ".join(keys)
+        ranks = "".join(f""",
+{name}_{v} AS (SELECT {k}, {v}, sum(w) OVER (PARTITION BY {k} ORDER BY {v}) - (w - 1) / 2.0::double AS r{v} FROM (SELECT {k}, {v}, sum(w) AS w FROM {name}_w GROUP BY ALL))""" for v in ("y", "pred"))
+        return f"""{name}_w AS MATERIALIZED (SELECT {k}, y, pred, sum(times)::double AS w FROM {source} GROUP BY ALL){ranks},
+{name}_n AS (SELECT {k}, (sum(w) + 1) / 2 AS mid FROM {name}_w GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT {k}, sum(w * (ry - mid) * (rpred - mid)) / nullif(sqrt(sum(w * (ry - mid) ** 2) * sum(w * (rpred - mid) ** 2)), 0) AS rho
+  FROM {name}_w JOIN {name}_y USING ({k}, y) JOIN {name}_pred USING ({k}, pred) JOIN {name}_n USING ({k}) GROUP BY {k})"""
+
+    return f"""{inputs.REG_ARMS_SQL}, {cell_draw_sql(['model', 'seed'], seed, False, n, 'reg_arms', 'pred')},
+met AS (SELECT model, seed, draw, y, pred, times FROM drawn JOIN arms USING (cell)), every AS (SELECT model, seed, y, pred, 1 AS times FROM reg_arms),
+{ranked('met', ['model', 'seed', 'draw'], 'bt')}, {ranked('every', ['model', 'seed'], 'co')}"""
+
+
+def corr_delta_sql(seed, n):
+    return f"""{corr_sql(seed, n)},
+obs AS (SELECT a.seed, a.rho - b.rho AS obs FROM co a JOIN co b ON a.seed = b.seed AND a.model = 1 AND b.model = 2),
+dl AS (SELECT a.seed, a.draw, a.rho - b.rho AS delta FROM bt a JOIN bt b ON a.seed = b.seed AND a.draw = b.draw AND a.model = 1 AND b.model = 2 WHERE a.rho - b.rho IS NOT NULL)"""
+
+
+@plan("B3_bootstrap_normal_spearman", f"""
+WITH {corr_sql(42, INTERVAL)}, d AS (SELECT model, seed, stddev_pop(rho) AS se FROM bt GROUP BY 1, 2)
+SELECT model, seed, 'spearman' AS metric, {r6('rho', 4)} AS point, {r6('se', 4)} AS se, {r6('rho - 1.959963984540054::double * se', 4)} AS ci_lo,
+  {r6('rho + 1.959963984540054::double * se', 4)} AS ci_hi FROM co JOIN d USING (model, seed)
+""")
+def b3_spearman(spark, sf):
+    return B.bootstrap_corr_normal(inputs.regression_arms(spark, sf), ["model", "seed"], INTERVAL)
+
+
+@plan("B5_paired_test_spearman", f"""
+WITH {corr_delta_sql(42, INTERVAL)}, j AS (SELECT *, avg(delta) OVER (PARTITION BY seed) AS mn FROM dl JOIN obs USING (seed))
+SELECT seed, {SUMMARY}, {r6('avg((abs(delta - mn) >= abs(obs))::int)')} AS p_value, avg((abs(delta - mn) >= abs(obs))::int) < 0.05 AS significant FROM j GROUP BY seed
+""")
+def b5_spearman(spark, sf):
+    return show(B.paired_test(inputs.regression_arms(spark, sf), "model", 1, 2, ["seed"], "spearman", INTERVAL), ["seed"], ["n_draws", "significant"])
+
+
+@plan("B6_paired_sign_spearman", f"""
+WITH {corr_delta_sql(0, INTERVAL)}, j AS (SELECT * FROM dl JOIN obs USING (seed))
+SELECT seed, {SUMMARY}, {r6('avg(CASE WHEN obs > 0 THEN delta <= 0 ELSE delta >= 0 END::int)')} AS p_one_sided FROM j GROUP BY seed
+""")
+def b6_spearman(spark, sf):
+    return show(B.paired_sign(inputs.regression_arms(spark, sf), "model", 1, 2, ["seed"], "spearman", INTERVAL), ["seed"], ["n_draws"])
+
+
+@plan("B7_paired_pooled_spearman", f"""
+WITH {corr_delta_sql(0, POOLED)}, po AS (SELECT avg(obs) AS obs, count(*) AS n_seeds FROM obs),
+j AS (SELECT * FROM (SELECT draw, avg(delta) AS delta FROM dl GROUP BY draw), po)
+SELECT {SUMMARY}, any_value(n_seeds) AS n_seeds, quantile_cont(delta, 0.025) > 0 OR quantile_cont(delta, 0.975) < 0 AS excludes_0,
+  quantile_cont(delta, 0.025) > 0 AS better, quantile_cont(delta, 0.975) < 0 AS worse FROM j
+""")
+def b7_spearman(spark, sf):
+    out = B.paired_pooled(inputs.regression_arms(spark, sf), "model", 1, 2, "seed", [], "spearman", POOLED)
+    return show(out, [], ["n_draws", "n_seeds", "excludes_0", "better", "worse"])
+
+
 MULTI_ARMS_SQL = f"""{inputs.MULTI_SQL},
 multi_arms AS (SELECT row_id, y, arm, list_position(p, list_max(p)) - 1 AS pred FROM (
   SELECT row_id, y, 1 AS arm, proba AS p FROM multi_rows UNION ALL SELECT row_id, y, 2, list_transform(proba, lambda x, i: round(x, 2) + (i % 3) / 1000.0::double) FROM multi_rows)),

@@ -257,3 +257,65 @@ def test_unpooled_sign_tests_have_ten_thousand_draws(spark):
 
     for name in ("B6_paired_sign_10000", "B6_paired_sign_multiclass_10000"):
         assert {r["n_draws"] for r in PLANS[name](spark, "/root/testdata/sf0.001").collect()} == {10_000}
+
+
+def mid_ranks(v):
+    v = np.asarray(v, float)
+    return (v[:, None] > v).sum(1) + ((v[:, None] == v).sum(1) + 1) / 2
+
+
+def regression_arms(spark, n=60):
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 25, n)
+    arms = {(a, s): y + rng.integers(0, 10 * (1 + (a == "b")), n) for a in "ab" for s in (42, 43)}
+    data = [(a, s, i, float(y[i]), float(p[i])) for (a, s), p in arms.items() for i in range(n)]
+    return spark.createDataFrame(data, "arm string, seed int, row_id int, y double, pred double"), y, arms
+
+
+def test_rank_correlation_draws_match_brute_force(spark):
+    d, y, arms = regression_arms(spark)
+    # positions follow the keys of the cells, the rows' values as text
+    name = lambda i: "|".join([str(float(y[i])), ",".join(f"{a}:{s}={float(arms[a, s][i])}" for a, s in sorted(arms))])
+    order = sorted(range(len(y)), key=name)
+    want = {}
+    for draw in range(25):
+        rows_of = np.array(order)[B.picks(draw, np.arange(len(y)), 3, 0, len(y))]
+        for (a, s), p in arms.items():
+            want[a, s, draw] = np.corrcoef(mid_ranks(y[rows_of]), mid_ranks(p[rows_of]))[0, 1]
+    got = {(r["arm"], r["seed"], r["draw"]): r["spearman"] for r in B.corr_draws(d, ["arm", "seed"], 25, 3).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
+
+
+def test_rank_correlation_draws_do_not_depend_on_where_cells_are_held(spark, monkeypatch):
+    d, *_ = regression_arms(spark)
+    d = d.where("NOT (arm = 'a' AND seed = 43 AND row_id < 9)")  # arms over different rows
+    made = lambda: [(r["arm"], r["seed"], r["draw"], round(r["spearman"], 9)) for r in B.corr_draws(d, ["arm", "seed"], 12, 5).orderBy("arm", "seed", "draw").collect()]
+    sent = made()
+    monkeypatch.setattr(B, "MOST_CELLS", 0)
+    assert made() == sent and len(sent) == 48
+
+
+def test_paired_rank_correlation_summaries(spark):
+    d, y, arms = regression_arms(spark)
+    rho = {k: np.corrcoef(mid_ranks(y), mid_ranks(p))[0, 1] for k, p in arms.items()}
+    gaps = {s: rho["a", s] - rho["b", s] for s in (42, 43)}
+    per = {(r["seed"], r["draw"], r["arm"]): r["spearman"] for r in B.corr_draws(d, ["arm", "seed"], 40, 0).collect()}
+    deltas = {s: [per[s, k, "a"] - per[s, k, "b"] for k in range(40)] for s in (42, 43)}
+    for r in B.paired_sign(d, "arm", "a", "b", ["seed"], "spearman", 40).collect():
+        mine = np.array(deltas[r["seed"]])
+        assert abs(r["obs"] - gaps[r["seed"]]) < 1e-12 and abs(r["ci_lo"] - np.percentile(mine, 2.5)) < 1e-12
+        assert r["p_one_sided"] == (mine <= 0).mean()
+    r = B.paired_pooled(d, "arm", "a", "b", "seed", [], "spearman", 40).first()
+    pooled = np.mean([deltas[42], deltas[43]], axis=0)
+    assert abs(r["obs"] - np.mean(list(gaps.values()))) < 1e-12 and abs(r["ci_hi"] - np.percentile(pooled, 97.5)) < 1e-12 and r["n_seeds"] == 2
+    r = B.bootstrap_corr_normal(d, ["arm", "seed"], 40, 0).where("arm = 'b' AND seed = 43").first()
+    sd = np.std([per[43, k, "b"] for k in range(40)])
+    assert r["point"] == round(rho["b", 43], 4) and abs(r["ci_hi"] - (rho["b", 43] + 1.959964 * sd)) < 1e-4
+
+
+def test_rank_correlation_without_spread_or_values(spark):
+    d = spark.createDataFrame([(a, i, 1.0, float(i)) for a in "ab" for i in range(5)] + [("a", 9, None, 1.0), ("b", 9, 2.0, None)], "arm string, row_id int, y double, pred double")
+    assert {r["spearman"] for r in B.corr_draws(d, ["arm"], 4).collect()} == {None}
+    assert B.corr_draws(d.limit(0), ["arm"], 4).count() == 0
+    r = B.paired_sign(d, "arm", "a", "b", [], "spearman", 4).collect()
+    assert r == [] or r[0]["n_draws"] == 0
