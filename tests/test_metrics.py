@@ -151,15 +151,40 @@ def test_linear_parts_match_numpy(spark):
     y = x @ rng.normal(size=(3, 2)) + 0.01 * rng.normal(size=(80, 2))
     df = spark.createDataFrame([(i, a.tolist(), b.tolist(), "train" if i < 60 else "test") for i, (a, b) in enumerate(zip(x, y))],
                                "query_id bigint, x array<double>, y array<double>, split string").repartition(3)
-    zz = ML.cross_products(df, "split", "x", "y")
+    r = ML.r_factors(df, "split", "x", "y")["train"]
     z = np.hstack([np.ones((60, 1)), x[:60], y[:60]])
-    assert np.allclose(zz["train"], z.T @ z)
+    assert np.allclose(r.T @ r, z.T @ z) and r.shape == (6, 6)
     res = np.array([r["residual"] for r in ML.residualise(df, "x", "y", "query_id", F.col("split") == "train", alphas=[1e-6]).collect()])
     assert res.shape == (80, 2) and np.abs(res).max() < 0.1
     r2 = ML.complementarity(df, "x", "y", ["a", "b"], ["A", "B"], "split").collect()
     assert all(r["mean_r2"] > 0.99 for r in r2)
 
 
+def test_near_collinear_columns_keep_their_digits(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=400)
+    x = np.column_stack([100 + base, 100 + base + 1e-6 * rng.normal(size=400), rng.normal(size=400), np.full(400, 7e3)])
+    y = np.column_stack([2e6 * (x[:, 1] - x[:, 0]) + x[:, 2], x[:, 0]])
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "query_id bigint, x array<double>, y array<double>").repartition(5)
+    got = {r["query_id"]: r["residual"] for r in ML.residualise(df, "x", "y", "query_id", F.col("query_id") < 300, alphas=[0.0]).collect()}
+    z = np.column_stack([np.ones(400), x[:, :3] - x[:300, :3].mean(0)])
+    want = y - z @ np.linalg.lstsq(z[:300], y[:300], rcond=None)[0]
+    assert max(abs(np.array(got[i]) - want[i]).max() for i in range(300, 400)) < 1e-6  # x itself is rounded to 1e-14, times slopes of 2e6
+    raw = np.column_stack([np.ones(400), x[:, :3]])
+    try:
+        squared = np.linalg.solve(raw[:300].T @ raw[:300], raw[:300].T @ y[:300])
+        assert abs(y[300:] - raw[300:] @ squared).max() > 1e-3
+    except np.linalg.LinAlgError:
+        pass
+
+
+def test_one_fold_and_few_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], [3.0]), (2, [2.0, 1.0], [5.0])], "query_id bigint, x array<double>, y array<double>")
+    out = ML.residualise(df, "x", "y", "query_id", F.col("query_id") == 1, k=1, alphas=[1.0])
+    got = {r["query_id"]: r["residual"] for r in out.collect()}
+    assert abs(got[1][0]) < 1e-9 and abs(got[2][0] - 2.0) < 1e-9
+
+
 def test_pca_reconstructs_and_fixes_signs(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(50, 3)) @ np.diag([3.0, 1.0, 0.2])
