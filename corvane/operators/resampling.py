@@ -5,15 +5,19 @@ Metrics that are functions of counts never see rows: rows with the same truth an
 the running cell sizes, inside the task that owns the draw. Only confusion counts per draw leave a task. Too many cells for a task
 stay in Spark: ``cell_draws`` makes the same picks there and joins the drawn positions.
 
-``draws`` gives the drawn rows themselves. There a draw is fixed by md5 of (seed, draw, stratum, slot), every row is one slot, and
-the drawn position is an equi-join on ``(stratum, position)``, which is uniform and cannot skew. Both recipes agree on any
-cluster layout.
+``draws`` gives the drawn rows themselves. There a draw is fixed by md5 of (seed, draw, stratum, slot), every row is one slot, and a
+task owns whole draws over the ids it holds; a table beyond ``MOST_CELLS`` meets its slots in an equi-join on
+``(stratum, position)``, which is uniform and cannot skew. Both recipes agree on any cluster layout.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corvane.functions.hashing import md5_mod
@@ -24,19 +28,104 @@ from corvane.session import cut_lineage, default_buckets
 Z_95 = 1.959963984540054  # fixed value: 97.5 % point of the normal distribution
 
 
+def _strata(rows: DataFrame, row_id: str, strata: str | None, *values: str) -> DataFrame:
+    s = F.col(strata).cast("string") if strata else F.lit("all")
+    return rows.select(F.col(row_id), s.alias("stratum"), *values).where(F.col("stratum").isNotNull())
+
+
 def draws(rows: DataFrame, row_id: str, n_draws: int, seed: int = 42, strata: str | None = None) -> DataFrame:
     """``(draw, row_id, times)``: each draw has as many rows as the table, per stratum, with replacement."""
-    s = F.col(strata).cast("string") if strata else F.lit("all")
-    base = rows.select(F.col(row_id).alias(row_id), s.alias("stratum"))
+    base = cut_lineage(_strata(rows, row_id, strata))
+    if not _fits(base):
+        return _joined_draws(base, row_id, n_draws, seed)
+    schema = T.StructType([T.StructField("draw", T.IntegerType()), rows.schema[row_id], T.StructField("times", T.LongType())])
+
+    def run(held: pa.Table, mine: range):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        held, spans = _in_order(held, row_id)
+        coded = held[row_id].combine_chunks().dictionary_encode(null_encoding="encode")
+        place, ids = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        arrow = to_arrow_schema(schema)
+        for draw in mine:
+            times = _md5_times(spans, seed, draw)
+            if len(ids) < len(place):  # an id on several rows
+                times = np.bincount(place, times, len(ids)).astype(np.int64)
+            drawn = np.flatnonzero(times)
+            for at in range(0, len(drawn), SLOTS_AT_ONCE):
+                some = drawn[at:at + SLOTS_AT_ONCE]
+                values = [np.full(len(some), draw, np.int32), ids.take(pa.array(some)), times[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) if isinstance(v, np.ndarray) else v.cast(f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    return _holding(base, n_draws, run, schema)
+
+
+def _joined_draws(base: DataFrame, row_id: str, n_draws: int, seed: int) -> DataFrame:
+    """The same draws of a table too large for a task: slots and positions meet in a join."""
     placed = dense_index(base, ["stratum"], row_id, name="idx", total="_n")
     slots = placed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     drawn = slots.select("draw", "stratum", md5_mod(F.col("_n"), F.lit(seed), F.col("draw"), F.col("stratum"), F.col("idx")).alias("idx"))
     counted = drawn.groupBy("stratum", "idx", "draw").agg(F.count("*").alias("times"))
-    return counted.join(placed.drop("_n"), ["stratum", "idx"]).select("draw", row_id, "times")
+    return counted.join(placed.drop("_n"), ["stratum", "idx"]).groupBy("draw", row_id).agg(F.sum("times").alias("times"))
+
+
+def _in_order(held: pa.Table, row_id: str) -> tuple[pa.Table, dict[str, tuple[int, int]]]:
+    """The rows by stratum and id, and the first row and the number of rows of each stratum."""
+    held = held.sort_by([("stratum", "ascending"), (row_id, "ascending")])
+    sizes = held.group_by("stratum", use_threads=False).aggregate([([], "count_all")]).sort_by("stratum")
+    names, n = sizes["stratum"].to_pylist(), sizes["count_all"].to_numpy()
+    return held, {name: (int(end - k), int(k)) for name, end, k in zip(names, np.cumsum(n), n)}
+
+
+def md5_picks(seed: int, draw: int, stratum: str, slots: range, n: int) -> np.ndarray:
+    """What ``md5_mod`` makes of (seed, draw, stratum, slot)."""
+    head, md5 = f"{seed}:{draw}:{stratum}:".encode(), hashlib.md5
+    found = b"".join([md5(b"%b%d" % (head, i)).digest() for i in slots])
+    return ((np.frombuffer(found, ">u8")[::2] >> 4) % n).astype(np.int64)
+
+
+def _md5_times(spans: dict[str, tuple[int, int]], seed: int, draw: int) -> np.ndarray:
+    """How often each row, in the order of ``_in_order``, is in a draw."""
+    times = np.zeros(sum(n for _, n in spans.values()), np.int64)
+    for stratum, (first, n) in spans.items():
+        for at in range(0, n, SLOTS_AT_ONCE):
+            times[first:first + n] += np.bincount(md5_picks(seed, draw, stratum, range(at, min(n, at + SLOTS_AT_ONCE)), n), minlength=n)
+    return times
+
+
+def _fits(table: DataFrame) -> bool:
+    return table.count() * len(table.columns) <= NUMBERS_A_CELL * MOST_CELLS
+
+
+def _holding(table: DataFrame, n_draws: int, run, schema) -> DataFrame:
+    """``run(rows, draws)`` in tasks that hold all rows of ``table`` and own some of the draws each.
+
+    The copies are columns of numbers and go through a shuffle, so their volume is that of the table times a few tasks a core;
+    the driver gets none of them.
+    """
+    tasks = max(1, min(n_draws, 2 * max(8, table.sparkSession.sparkContext.defaultParallelism)))
+    copies = table.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartitionById(tasks, F.col("_task"))
+
+    def work(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        rows = pa.Table.from_batches(got)
+        del got
+        owners = rows["_task"].unique().to_pylist()
+        for own in owners:
+            part = rows.filter(pc.equal(rows["_task"], own)) if len(owners) > 1 else rows
+            yield from run(part.drop_columns("_task"), range(own, n_draws, tasks))
+
+    return copies.mapInArrow(work, schema)
 
 
 #: Distinct cells up to which their table is sent to every task (their keys are a few bytes per arm).
 MOST_CELLS = 2_000_000
+#: Numbers a cell of that many may have in a task that holds them as arrays (400 MB in all).
+NUMBERS_A_CELL = 25
+#: Positions up to which a draw counts each of them before adding up cells.
+MOST_POSITIONS = 1 << 24
 #: Positions picked in one go inside a task.
 SLOTS_AT_ONCE = 1_000_000
 # two primes whose residues together number some 2^62 starts: slots of one draw do not meet, and every position stays in reach
@@ -46,13 +135,20 @@ _STEPS, _SECOND_STEPS = (11, 101, 1009, 10007), (13, 1013)
 
 def picks(draw: int, slots: np.ndarray, seed: int, stratum: int, n: int) -> np.ndarray:
     """Positions in ``[0, n)``: squaring steps modulo two primes, in integers that SQL has too. Slots may number some 8e13."""
-    x = (draw * 7919 + slots * 104729 + seed * 1299709 + stratum * 15485863 + 1) % _PRIME
-    for c in _STEPS:
-        x = (x * x + c) % _PRIME
-    y = (draw * 104723 + slots * 7907 + seed * 1299721 + stratum * 15485867 + 1) % _SECOND
-    for c in _SECOND_STEPS:
-        y = (y * y + c) % _SECOND
-    return (x * _SECOND + y) % n
+    out = np.empty(len(slots), np.int64)
+    for at in range(0, len(slots), 1 << 14):  # pieces that stay in a core's cache
+        some = slots[at:at + (1 << 14)]
+        x = (draw * 7919 + some * 104729 + seed * 1299709 + stratum * 15485863 + 1) % _PRIME
+        for c in _STEPS:
+            x = x * x + c
+            for _ in range(2):  # 2^31 is 1 modulo the first prime
+                x = (x & _PRIME) + (x >> 31)
+        x[x == _PRIME] = 0
+        y = (draw * 104723 + some * 7907 + seed * 1299721 + stratum * 15485867 + 1) % _SECOND
+        for c in _SECOND_STEPS:
+            y = (y * y + c) % _SECOND
+        out[at:at + (1 << 14)] = (x * _SECOND + y) % n
+    return out
 
 
 def _keyed(pred: DataFrame, by: list[str], row_id: str, value: str = "pred") -> DataFrame:
@@ -95,26 +191,52 @@ def cell_draws(keyed: DataFrame, row_id: str, n_draws: int, seed: int, stratifie
     return counted.join(placed.drop("_n"), ["stratum", "idx"]).select("draw", row_id, "times")
 
 
-def _drawer(table: list, seed: int, stratified: bool):
-    """A function of the draw: how often each cell of ``table`` (in the order of its keys) is drawn."""
-    strata = sorted({str(r["y"]) for r in table}) if stratified else ["all"]
-    of = np.array([strata.index(str(r["y"])) if stratified else 0 for r in table])
-    size = np.array([r["n"] for r in table], np.int64)
+def _drawer(of: np.ndarray, size: np.ndarray, seed: int):
+    """A function of the draw: how often each cell (in the order of the keys) is drawn; ``of`` numbers the strata, ``size`` has rows."""
+    mine_of = {int(k): np.flatnonzero(of == k) for k in np.unique(of)}
+    ends_of = {k: np.cumsum(size[mine]) for k, mine in mine_of.items()}
 
     def times_of(draw: int) -> np.ndarray:
         times = np.zeros(len(size), np.int64)
-        for k in range(len(strata)):
-            mine = np.flatnonzero(of == k)
-            ends = np.cumsum(size[mine])
+        for k, mine in mine_of.items():
+            ends = ends_of[k]
             n = int(ends[-1])
+            by_position = np.zeros(n, np.int64) if n <= MOST_POSITIONS else None
             for at in range(0, n, SLOTS_AT_ONCE):
                 drawn = picks(draw, np.arange(at, min(n, at + SLOTS_AT_ONCE)), seed, k, n)
-                times[mine] += np.bincount(np.searchsorted(ends, drawn, "right"), minlength=len(mine))
+                if by_position is None:
+                    times[mine] += np.bincount(np.searchsorted(ends, drawn, "right"), minlength=len(mine))
+                else:
+                    by_position += np.bincount(drawn, minlength=n)
+            if by_position is not None:
+                times[mine] = by_position if n == len(mine) else np.add.reduceat(by_position, np.concatenate([[0], ends[:-1]]))
         return times
 
     return times_of
 
 
+def _strata_of(table: list, stratified: bool) -> tuple[np.ndarray, np.ndarray]:
+    strata = sorted({str(r["y"]) for r in table})
+    return np.array([strata.index(str(r["y"])) if stratified else 0 for r in table], np.int64), np.array([r["n"] for r in table], np.int64)
+
+
+def _cell_numbers(cells: DataFrame, by: list[str], arms: list) -> DataFrame:
+    """Cells as numbers: place in the order of the keys (``at``), rows (``n``), truth, and the prediction of each arm (null: none)."""
+    def of(arm) -> Column:
+        mine = F.filter("arms", lambda a: reduce(lambda p, q: p & q, [a[c].eqNullSafe(F.lit(arm[c])) for c in by], F.lit(True)))
+        return F.try_element_at(mine, F.lit(-1))["pred"].cast("double")
+
+    return cells.orderBy("key").select(
+        F.monotonically_increasing_id().alias("at"), "n", F.col("y").cast("double").alias("y"), *[of(a).alias(f"a{i}") for i, a in enumerate(arms)])
+
+
+def _held_values(held: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with a value, and their values."""
+    values = held[column].combine_chunks()
+    rows = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+    return rows, values.drop_null().to_numpy(zero_copy_only=False)
+
+
 def _over_draws(spark, n_draws: int, run, schema) -> DataFrame:
     parts = max(1, min(n_draws, 4 * spark.sparkContext.defaultParallelism))
     return spark.range(0, n_draws, 1, parts).mapInArrow(run, schema)
@@ -129,7 +251,7 @@ def drawn_confusion(pred: DataFrame, by: list[str], n_draws: int, seed: int, str
         d = cell_draws(keyed, row_id, n_draws, seed, stratified)
         return M.confusion(pred.join(d, row_id), [*by, "draw"], weight="times")
     table = cells.orderBy("key").collect()
-    times_of = _drawer(table, seed, stratified)
+    times_of = _drawer(*_strata_of(table, stratified), seed)
     # one column of the indicator per (arm, truth, prediction)
     columns: dict[tuple, int] = {}
     pairs = [(i, columns.setdefault((*[a[c] for c in by], r["y"], a["pred"]), len(columns))) for i, r in enumerate(table) for a in r["arms"]]
@@ -211,7 +333,7 @@ def auc_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int = 42, stra
         d = cell_draws(keyed, row_id, n_draws, seed, stratified)
         return M.auc_from(M.score_counts(pred.join(d, row_id), [*by, "draw"], weight="times"), [*by, "draw"])
     table = cells.orderBy("key").collect()
-    times_of = _drawer(table, seed, stratified)
+    times_of = _drawer(*_strata_of(table, stratified), seed)
     truth = np.array([r["y"] for r in table])
     arms = [(name, held, _places(scores)) for name, held, scores in _arms_of(table, by)]
     schema = T.StructType([*[pred.schema[c] for c in by], T.StructField("draw", T.IntegerType()), T.StructField("auc", T.DoubleType())])
@@ -240,48 +362,58 @@ def middle_ranks(places: np.ndarray, times: np.ndarray) -> np.ndarray:
     return (np.cumsum(n) - (n - 1) / 2)[places]
 
 
+def _rank_corr(w: np.ndarray, truth: np.ndarray, arms: list[np.ndarray]) -> list[float | None]:
+    """Rank correlation of entries of weight ``w``, given by their places, with each of ``arms``; null without spread."""
+    found, mid = [], (w.sum() + 1) / 2
+    x = middle_ranks(truth, w) - mid
+    wx = w * x
+    xx = (wx * x).sum()
+    for places in arms:
+        n = np.bincount(places, w)
+        z = np.cumsum(n) - (n - 1) / 2 - mid
+        root = np.sqrt(xx * (n * z * z).sum())
+        found.append(float((np.bincount(places, wx) * z).sum() / root) if root > 0 else None)
+    return found
+
+
 def corr_draws(pred: DataFrame, by: list[str], n_draws: int, seed: int = 0, row_id: str = "row_id") -> DataFrame:
     """``by``, ``draw``, ``spearman``: rank correlation of truth and prediction of every arm in every plain draw; arms share the draws.
 
-    Values are sorted once; a draw only adds up its counts along that order. Null without spread. Rows without a truth or without any
+    Values are sorted once per task; a draw only adds up its counts along that order. Null without spread. Rows without a truth or without any
     prediction are not drawn; an arm that lacks the prediction of a row is judged by its other rows.
     """
-    spark = pred.sparkSession
     pred = pred.where(F.col("y").isNotNull() & F.col("pred").isNotNull())
+    arms = pred.select(*by).distinct().collect()
     keyed = _keyed(pred, by, row_id)
-    cells = cut_lineage(_cells(keyed))
-    if cells.count() > MOST_CELLS:
+    cells = cut_lineage(_cell_numbers(_cells(keyed), by, arms))
+    if not _fits(cells):
         d = cell_draws(keyed, row_id, n_draws, seed, False)
         return M.spearman(pred.join(d, row_id), "y", "pred", [*by, "draw"], weight="times").withColumnRenamed("rho", "spearman")
-    table = cells.orderBy("key").collect()
-    times_of = _drawer(table, seed, False)
-    truth = np.array([r["y"] for r in table], float)
-    arms, held_by = [], {}
-    for name, held, values in _arms_of(table, by):  # arms over the same cells share the ranks of the truth
-        held_by.setdefault(held.tobytes(), (held, _places(truth[held])))
-        arms.append((name, held.tobytes(), _places(values)))
     schema = T.StructType([*[pred.schema[c] for c in by], T.StructField("draw", T.IntegerType()), T.StructField("spearman", T.DoubleType())])
 
-    def run(batches):
+    def run(held: pa.Table, mine: range):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        held = held.sort_by("at")
+        times_of = _drawer(np.zeros(len(held), np.int64), held["n"].to_numpy(), seed)
+        truth = held["y"].to_numpy()
+        shared: dict[bytes, tuple] = {}  # arms over the same cells share the ranks of the truth
+        for i in range(len(arms)):
+            rows, values = _held_values(held, f"a{i}")
+            of = shared.setdefault(rows.tobytes(), (rows, _places(truth[rows]), [], []))
+            of[2].append(i)
+            of[3].append(_places(values))
+        del held
         arrow = to_arrow_schema(schema)
-        for batch in batches:
-            for draw in batch.column(0).to_pylist():
-                times, found, of_truth = times_of(draw), [], {}
-                for key, (held, places) in held_by.items():
-                    w = times[held].astype(float)
-                    x = middle_ranks(places, w) - (w.sum() + 1) / 2
-                    of_truth[key] = w, x, (w * x * x).sum()
-                for _, key, places in arms:
-                    w, x, xx = of_truth[key]
-                    z = middle_ranks(places, w) - (w.sum() + 1) / 2
-                    root = np.sqrt(xx * (w * z * z).sum())
-                    found.append(float((w * x * z).sum() / root) if root > 0 else None)
-                values = [[name[j] for name, *_ in arms] for j in range(len(by))] + [[draw] * len(arms), found]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
+        for draw in mine:
+            times, found = times_of(draw).astype(float), [None] * len(arms)
+            for rows, places, numbers, others in shared.values():
+                for i, rho in zip(numbers, _rank_corr(times if len(rows) == len(times) else times[rows], places, others)):
+                    found[i] = rho
+            values = [[a[c] for a in arms] for c in by] + [[draw] * len(arms), found]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
 
-    return _over_draws(spark, n_draws if table else 0, run, schema)
+    return _holding(cells, n_draws, run, schema)
 
 
 def bootstrap_corr_normal(pred: DataFrame, by: list[str], n_draws: int = 10_000, seed: int = 42) -> DataFrame:
@@ -368,21 +500,50 @@ def ci_flags(df: DataFrame, lo: str = "ci_lo", hi: str = "ci_hi") -> DataFrame:
 def bootstrap_corr(df: DataFrame, a: str, b: str, row_id: str, n_draws: int = 2_000, seed: int = 0) -> DataFrame:
     """Interval of the rank correlation of two columns; draws without spread are skipped."""
     df = cut_lineage(df.select(row_id, a, b))
-    d = df.join(draws(df, row_id, n_draws, seed), row_id)
-    per = M.spearman(d, a, b, ["draw"], weight="times")
+    if not _fits(df):
+        d = df.join(draws(df, row_id, n_draws, seed), row_id)
+        per = M.spearman(d, a, b, ["draw"], weight="times")
+    else:
+        def run(held: pa.Table, mine: range):
+            held, spans = _in_order(held, row_id)
+            rows = np.flatnonzero(pc.and_(held["a"].is_valid(), held["b"].is_valid()).to_numpy())
+            one, other = (_places(held[c].to_numpy()[rows]) for c in ("a", "b"))
+            for draw in mine:
+                rho = _rank_corr(_md5_times(spans, seed, draw)[rows].astype(float), one, [other])
+                yield pa.record_batch({"draw": pa.array([draw], pa.int32()), "rho": pa.array(rho, pa.float64())})
+
+        numbers = _strata(df.select(row_id, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")), row_id, None, "a", "b")
+        per = _holding(numbers, n_draws, run, "draw int, rho double")
     out = per.agg(F.percentile("rho", F.lit(0.025)).alias("ci_lo"), F.percentile("rho", F.lit(0.975)).alias("ci_hi"), F.count("rho").alias("n_draws"))
     return out.withColumn("rho", M.spearman(df.withColumn("_g", F.lit(1)), a, b, ["_g"]).select("rho").scalar())
 
 
 def bootstrap_mean(df: DataFrame, value: str, row_id: str, by: str | None = None, n_draws: int = 2_000, seed: int = 0) -> DataFrame:
-    """Interval of a mean, per group when ``by`` is given (each group is resampled by itself)."""
+    """Interval of a mean, per group when ``by`` is given (each group is resampled by itself). Nulls are drawn but count for nothing."""
     keys = [by] if by else []
     df = cut_lineage(df.select(row_id, *keys, value))
-    d = df.join(draws(df, row_id, n_draws, seed, by), row_id)
-    per = d.groupBy(*keys, "draw").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
-    ci = per.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_lo"), F.percentile("m", F.lit(0.975)).alias("ci_hi"))
+    rows = _strata(df.withColumn("_v", F.col(value).cast("double")), row_id, by, "_v")
+    if not _fits(df):
+        d = rows.join(draws(rows, row_id, n_draws, seed, "stratum"), row_id).where("_v IS NOT NULL")
+        per = d.groupBy("stratum", "draw").agg((F.sum(F.col("_v") * F.col("times")) / F.sum("times")).alias("m"))
+    else:
+        def run(held: pa.Table, mine: range):
+            held, spans = _in_order(held, row_id)
+            there = held["_v"].is_valid().to_numpy().astype(np.int64)
+            values = pc.fill_null(held["_v"], 0.0).to_numpy()
+            firsts = [first for first, _ in spans.values()]
+            for draw in mine:
+                times = _md5_times(spans, seed, draw) * there
+                n, total = np.add.reduceat(times, firsts), np.add.reduceat(times * values, firsts)
+                m = [t / k if k else None for t, k in zip(total.tolist(), n.tolist())]
+                yield pa.record_batch({"stratum": pa.array(list(spans), pa.string()), "draw": pa.array([draw] * len(m), pa.int32()), "m": pa.array(m, pa.float64())})
+
+        per = _holding(rows, n_draws, run, "stratum string, draw int, m double")
+    ci = per.groupBy("stratum").agg(F.percentile("m", F.lit(0.025)).alias("ci_lo"), F.percentile("m", F.lit(0.975)).alias("ci_hi"))
     obs = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
-    return obs.join(ci, keys) if keys else obs.withColumns({c: ci.select(c).scalar() for c in ("ci_lo", "ci_hi")})
+    if not keys:
+        return obs.withColumns({c: ci.select(c).scalar() for c in ("ci_lo", "ci_hi")})
+    return obs.withColumn("stratum", F.col(by).cast("string")).join(ci, "stratum").drop("stratum")
 
 
 def normal_tail(z: Column) -> Column:

@@ -344,3 +344,14 @@ def test_rank_correlation_without_spread_or_values(spark):
     assert B.corr_draws(d.limit(0), ["arm"], 4).count() == 0
     r = B.paired_sign(d, "arm", "a", "b", [], "spearman", 4).collect()
     assert r == [] or r[0]["n_draws"] == 0
+
+
+def test_rank_correlation_cells_do_not_reach_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    d, *_ = regression_arms(spark, 300)
+    seen, collect = [], type(d).collect
+    monkeypatch.setattr(type(d), "collect", lambda self: seen.append(len(found := collect(self))) or found)
+    per = B.corr_draws(d, ["arm", "seed"], 3)
+    monkeypatch.undo()
+    assert max(seen) == 4 and per.count() == 12 and isinstance(per, DataFrame)  # the arms alone, not the 300 cells
