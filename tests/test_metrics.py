@@ -355,3 +355,47 @@ def test_rank_correlation_cells_do_not_reach_the_driver(spark, monkeypatch):
     per = B.corr_draws(d, ["arm", "seed"], 3)
     monkeypatch.undo()
     assert max(seen) == 4 and per.count() == 12 and isinstance(per, DataFrame)  # the arms alone, not the 300 cells
+
+
+def test_draws_are_made_where_the_ids_are(spark, monkeypatch):
+    df = spark.range(90).select((F.col("id") * 3).alias("id"), F.when(F.col("id") > 2, F.col("id") % 4).cast("int").alias("y"))  # three rows without a stratum
+    d = B.draws(df, "id", 7, 1, "y")
+    assert "Join" not in d._jdf.queryExecution().executedPlan().toString()
+    sent = rows(d, "draw", "id")
+    monkeypatch.setattr(B, "MOST_CELLS", 0)
+    joined = B.draws(df, "id", 7, 1, "y")
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString() and rows(joined, "draw", "id") == sent
+
+
+def test_draws_add_up_rows_of_one_id(spark):
+    df = spark.range(40).select((F.col("id") % 10).alias("id"), (F.col("id") % 2).cast("int").alias("y"))
+    got = B.draws(df, "id", 4, 1, "y").groupBy("draw", "id").agg(F.count("*").alias("k"), F.sum("times").alias("n")).collect()
+    assert {r["k"] for r in got} == {1} and sum(r["n"] for r in got) == 160
+
+
+def test_positions_of_tasks_are_those_of_the_hash(spark):
+    from corvane.functions.hashing import md5_mod
+
+    want = [r["p"] for r in spark.range(500).select("id", md5_mod(F.lit(500), F.lit(3), F.lit(6), F.lit("ä"), F.col("id")).alias("p")).orderBy("id").collect()]
+    assert B.md5_picks(3, 6, "ä", range(500), 500).tolist() == want
+
+
+def test_bootstrap_of_rows_matches_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 9, 80).astype(float), rng.normal(size=80).round(1)
+    d = spark.createDataFrame([(i, i % 2, float(a[i]), float(b[i]) if i % 11 else None) for i in range(80)], "id int, g int, a double, b double")
+    there = np.arange(80) % 11 != 0
+    rho, means = [], {0: [], 1: []}
+    for draw in range(20):
+        rows_of = B.md5_picks(0, draw, "all", range(80), 80)
+        rows_of = rows_of[there[rows_of]]
+        rho.append(np.corrcoef(mid_ranks(a[rows_of]), mid_ranks(b[rows_of]))[0, 1])
+        for g in (0, 1):
+            mine = np.arange(g, 80, 2)[B.md5_picks(0, draw, str(g), range(40), 40)]
+            means[g].append(b[mine[there[mine]]].mean())  # a null counts for nothing
+    for most in (B.MOST_CELLS, 0):
+        monkeypatch.setattr(B, "MOST_CELLS", most)
+        r = B.bootstrap_corr(d, "a", "b", "id", 20).first()
+        assert abs(r["ci_lo"] - np.percentile(rho, 2.5)) < 1e-12 and abs(r["ci_hi"] - np.percentile(rho, 97.5)) < 1e-12 and r["n_draws"] == 20
+        for r in B.bootstrap_mean(d, "b", "id", "g", 20).collect():
+            assert abs(r["ci_lo"] - np.percentile(means[r["g"]], 2.5)) < 1e-12 and r["n"] == 40
