@@ -149,3 +149,12 @@ def test_runs_that_cannot_win_are_not_scored():
             order = np.lexsort((ids, -full[q]))[:5]
             assert best.ids[q].tolist() == ids[order].tolist() and np.allclose(best.scores[q], full[q][order])
         assert best.scored < 0.5 * full.size, best.scored / full.size
+
+
+def test_vector_text_rounds_exact_values(spark):
+    from corvane.functions.vectors import format_vector
+
+    values = [2.0 ** -9, 3 * 2.0 ** -9, -(2.0 ** -9), 1.000000005, 1e22 + 2**21, -0.0, 123456789.987654321, -1e-12]
+    d = spark.createDataFrame([(0, values), (1, None), (2, [None, 0.5])], "i int, v array<double>")
+    got = [r["t"] for r in d.select("i", format_vector(F.col("v")).alias("t")).orderBy("i").collect()]
+    assert got == ["[0.00195312,0.00585938,-0.00195312,1.00000000,10000000000000002097152.00000000,-0.00000000,123456789.98765433,-0.00000000]", None, "[0.50000000]"]
