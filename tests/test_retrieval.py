@@ -158,3 +158,20 @@ def test_vector_text_rounds_exact_values(spark):
     d = spark.createDataFrame([(0, values), (1, None), (2, [None, 0.5])], "i int, v array<double>")
     got = [r["t"] for r in d.select("i", format_vector(F.col("v")).alias("t")).orderBy("i").collect()]
     assert got == ["[0.00195312,0.00585938,-0.00195312,1.00000000,10000000000000002097152.00000000,-0.00000000,123456789.98765433,-0.00000000]", None, "[0.50000000]"]
+
+
+@pytest.mark.parametrize("k", [1, 20])
+def test_only_scores_that_can_be_kept_are_sorted(monkeypatch, k):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(6000, 16)).round(1)
+    v[3000:3200] = v[:200]  # equal scores
+    ids, sorted_ = rng.permutation(6000), []
+    top = R._Best._top
+    monkeypatch.setattr(R._Best, "_top", lambda self, s, l_ids: sorted_.append(s.size) or top(self, s, l_ids))
+    best = R._Best(R._cosine_block, k, True)
+    best.absorb(ids[:500], {"vec": v[:500]}, ids, {"vec": v})
+    unit = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
+    s = np.round(unit[:500] @ unit.T, R.SCORE_DIGITS)
+    s[np.arange(500), np.arange(500)] = -np.inf
+    want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+    assert (best.ids == ids[want]).all() and sum(sorted_) < best.scored / 5
