@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from corvane.functions.vectors import let, pack_bits
+from corvane.functions.vectors import let, pack_bits, unpack_bits
 
 
 def tokens(text: Column) -> Column:
@@ -39,6 +39,12 @@ def hashed_fingerprint(text: Column, n_bits: int = 2048, n: int = 3, hasher: str
     return pack_bits(bit_positions(ngrams(tokens(text), n), n_bits, hasher), n_bits)
 
 
+def narrower(fp: Column, n_bits: int) -> Column:
+    """The fingerprint of ``n_bits``, a divisor of the width of ``fp``, from its bits alone: nothing is hashed again."""
+    spots = F.when(fp.isNotNull(), F.array_distinct(F.transform(unpack_bits(fp), lambda p: p.cast("bigint") % n_bits)))
+    return pack_bits(spots, n_bits)
+
+
 def key_fingerprint(text: Column, patterns: list[str]) -> Column:
     """One 0/1 flag per fixed pattern."""
     return F.array(*[text.rlike(p).cast("int") for p in patterns])

@@ -192,7 +192,7 @@ SELECT b2048 AS doc_id, len(x.b)::int AS n_2048, len(y.b)::int AS n_128, list_su
 """)
 def g1(spark, sf):
     d = text_table(spark, sf, "documents")
-    long = d.select("doc_id", FP.hashed_fingerprint(F.col("text"), 2048, hasher="md5").alias("a"), FP.hashed_fingerprint(F.col("text"), 128, hasher="md5").alias("b"))
+    long = d.select("doc_id", FP.hashed_fingerprint(F.col("text"), 2048, hasher="md5").alias("a")).withColumn("b", FP.narrower(F.col("a"), 128))
     spots = F.aggregate(V.unpack_bits(F.col("a")), F.lit(0).cast("bigint"), lambda s, x: s + x)
     some = F.when(V.popcount(F.col("a")) > 0, spots)
     return long.select("doc_id", V.popcount(F.col("a")).alias("n_2048"), V.popcount(F.col("b")).alias("n_128"), some.alias("sum_2048"))

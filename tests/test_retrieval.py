@@ -175,3 +175,15 @@ def test_only_scores_that_can_be_kept_are_sorted(monkeypatch, k):
     s[np.arange(500), np.arange(500)] = -np.inf
     want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
     assert (best.ids == ids[want]).all() and sum(sorted_) < best.scored / 5
+
+
+def test_narrow_fingerprints_come_from_wide_ones(spark):
+    d = spark.createDataFrame([(0, "a b c d e " * 9 + "f g h i"), (1, "two words"), (2, ""), (3, None), (4, " ".join(str(i) for i in range(400)))], "i int, t string")
+    wide, t = FP.hashed_fingerprint(F.col("t"), 2048, hasher="md5"), F.col("t")
+    r = d.select("i", FP.narrower(wide, 128).alias("a"), FP.hashed_fingerprint(t, 128, hasher="md5").alias("b")).orderBy("i").collect()
+    assert [x["a"] for x in r] == [x["b"] for x in r]
+    from corvane.plans.registry import PLANS
+    import corvane.plans  # noqa: F401
+
+    plan = PLANS["G1_hashed_fingerprint"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1  # each run of words is hashed once
