@@ -33,8 +33,8 @@ CAPACITY = 4096
 END = 1
 #: Pieces packed in one task (about 40 bytes each) and open sequences a shard hands on.
 SHARD_PIECES, HANDED_ON = 20_000, 64
-#: Different words a Python worker remembers the ids of, and their longest length: longer ones are encoded each time.
-CACHED_WORDS, CACHED_LENGTH = 500_000, 64
+#: Different words a Python worker remembers the ids of (some 400 bytes each), and their longest length: longer ones are encoded each time.
+CACHED_WORDS, CACHED_LENGTH = 300_000, 64
 
 
 def _cut(text: bytes) -> list[bytes]:
@@ -65,13 +65,18 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()  # known words that later texts had as well
 
     def encode(self, texts: list) -> list[np.ndarray]:
         words = [_cut((t or "").encode()) for t in texts]
-        fresh = set().union(*words).difference(self.known)
+        used = set().union(*words)
+        fresh = used.difference(self.known)
+        here = used.difference(fresh)
+        self.again.update(here)
         if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known = {}
-            fresh = set().union(*words)
+            # most words of a corpus come once: those that came again are kept, or if they are too many, those of these texts
+            self.known = {w: self.known[w] for w in (self.again if 2 * len(self.again) < CACHED_WORDS else here)}
+            self.again = set()
         whole = []
         for w in fresh:
             word = w.decode()
@@ -102,6 +107,8 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
+        # one thread per worker: Spark has a task for every core, and each thread of the tokenizer keeps memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         give_back()
         encoder = remembered(f"encoder {tokenizer}", lambda: WordEncoder(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer)))
         for batch in text_pieces(batches, text, 1_000_000):
@@ -115,6 +122,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key).take(pa.array(rows[0], pa.int32())), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()),
                  pa.array(rows[3], pa.int64()), pa.array(rows[4], kind)], names=[f.name for f in schema])
+        give_back()
 
     return df.select(key, text).mapInArrow(run, schema)
 

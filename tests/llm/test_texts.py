@@ -175,6 +175,22 @@ def test_sum_of_squares_rule():
     assert all(sorted(v)[0][0] == 0 for v in used.values())
 
 
+def test_words_that_came_again_outlive_a_full_cache(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.CACHED_WORDS <= 300_000  # some 400 bytes each, in every worker
+    plain = packing.WordEncoder(path)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 40)
+    small = packing.WordEncoder(path)
+    for k in range(12):
+        texts = ["" if k == 9 else "river mill"] * (k < 10) + [" ".join(f"w{k}x{i}" for i in range(9))]
+        for a, b in zip(small.encode(texts), plain.encode(texts)):
+            assert a.tolist() == b.tolist()
+        assert len(small.known) <= 40
+    assert b"river" in small.known
+
+
 def test_packing_in_levels(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_PIECES", 300)
     rng = np.random.default_rng(1)
