@@ -60,3 +60,24 @@ def test_sweep_has_all_groups_at_every_k(spark):
     got = R.n7_groups(spark, "/root/testdata/sf0.001").collect()
     assert {r["k"] for r in got} == set(R.KS)
     assert {tuple(len(r[g]) for g in "ABCD") for r in got} == {(9, 3, 34, 3)}
+
+
+def test_mean_pooled_moves_tokens_once_and_no_vectors(spark):
+    from corvane.operators import models
+
+    tokens = spark.createDataFrame([(i % 7, i * i % 5) for i in range(60)], "entity long, vec_id long")
+    vectors = spark.createDataFrame([(k, [float(k), 1.0 / (k + 1)]) for k in range(4)], "vec_id long, vec array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small, large = (models.mean_pooled(tokens, vectors, "entity", "vec_id", limit_bytes=n) for n in (models.VECTOR_BYTES, 0))
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastExchange") == 1
+        want = {}
+        for e, v in ((i % 7, i * i % 5) for i in range(60)):
+            if v < 4:
+                want.setdefault(e, []).append((float(v), 1.0 / (v + 1)))
+        for got in (small.collect(), large.collect()):
+            assert {r["entity"]: r["n_tokens"] for r in got} == {e: len(x) for e, x in want.items()}
+            assert all(abs(a - sum(c) / len(c)) < 1e-12 for r in got for a, c in zip(r["pooled"], zip(*want[r["entity"]])))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
