@@ -15,7 +15,6 @@ are cut; repeated rows are packed each; an empty table gives an empty table; oth
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,17 +33,42 @@ END = 1
 #: Pieces packed in one task (about 40 bytes each) and open sequences a shard hands on.
 SHARD_PIECES, HANDED_ON = 20_000, 64
 #: Different words a Python worker remembers the ids of (some 400 bytes each), and their longest length: longer ones are encoded each time.
-CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+CACHED_WORDS, CACHED_LENGTH = 200_000, 64
+#: Words replaced by their ids in one go.
+WORDS_AT_ONCE = 500_000
 
 
-def _cut(text: bytes) -> list[bytes]:
-    """Words, lower-cased in A-Z, with closing punctuation after a letter on its own: the tokenizer does both as well, and fewer
-    different words are left. A text that may spell a special token keeps its case, since those are matched as written."""
-    return _CLOSING.sub(b" ", text if b"<|" in text else text.lower()).split()
+def _marked(values: bytes) -> np.ndarray:
+    return np.isin(np.arange(256), list(values))
 
 
-#: Where closing punctuation follows a letter, at the end of a word.
-_CLOSING = re.compile(rb"(?<=[a-z])(?=[.,;:!?]+(?:\s|$))")
+_SPACE, _CLOSING, _LETTER = _marked(b" \t\n\r\x0b\x0c"), _marked(b".,;:!?"), _marked(bytes(range(97, 123)))
+
+
+def _words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words, the number of each word of all texts in a row, and the words of each text.
+
+    Words are lower-cased in A-Z, with closing punctuation after a letter on its own: the tokenizer does both as well, and fewer
+    different words are left. A text that may spell a special token keeps its case, since those are matched as written.
+    """
+    data = np.frombuffer(b"\n".join([b"", *(t if b"<|" in t else t.lower() for t in texts), b""]), np.uint8)
+    space, marks = _SPACE[data], _CLOSING[data]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    # words that end in marks, and where that run of marks begins
+    closed = np.flatnonzero(marks[ends - 1])
+    runs = np.flatnonzero(~marks[:-1] & marks[1:]) + 1
+    bare = runs[np.searchsorted(runs, ends[closed] - 1, "right") - 1]
+    after_letter = _LETTER[data[bare - 1]]
+    closed, bare = closed[after_letter], bare[after_letter]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    offsets = np.insert(offsets, closed + 1, offsets[closed] + bare - starts[closed])
+    starts = np.insert(starts, closed + 1, bare)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[~space])])
+    found = words.dictionary_encode()
+    after = np.cumsum([len(t) + 1 for t in texts])
+    held, cuts = found.dictionary.buffers()[2].to_pybytes(), np.frombuffer(found.dictionary.buffers()[1], np.int64)[:len(found.dictionary) + 1].tolist()
+    return [held[a:b] for a, b in zip(cuts, cuts[1:])], found.indices.to_numpy(), np.diff(np.searchsorted(starts, np.append(0, after), "right"))
 
 
 #: The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from 256 on.
@@ -65,33 +89,54 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()  # known words that later texts had as well
+        self.again: set[bytes] = set()  # known words that later texts had as well, since the cache was three quarters full
 
     def encode(self, texts: list) -> list[np.ndarray]:
-        words = [_cut((t or "").encode()) for t in texts]
-        used = set().union(*words)
-        fresh = used.difference(self.known)
-        here = used.difference(fresh)
-        self.again.update(here)
+        words, codes, sizes = _words([(t or "").encode() for t in texts])
+        ids = [*map(self.known.get, words)]
+        fresh = [w for w, i in zip(words, ids) if i is None]
+        here = (w for w, i in zip(words, ids) if i is not None)
+        if 4 * len(self.known) > 3 * CACHED_WORDS:
+            self.again.update(here)
         if len(self.known) + len(fresh) > CACHED_WORDS:
-            # most words of a corpus come once: those that came again are kept, or if they are too many, those of these texts
-            self.known = {w: self.known[w] for w in (self.again if 2 * len(self.again) < CACHED_WORDS else here)}
+            # most words of a corpus come once: those that came again are kept, or if they are too many, none
+            self.known = {w: self.known[w] for w in self.again} if 2 * len(self.again) < CACHED_WORDS else {}
             self.again = set()
-        whole = []
-        for w in fresh:
+        made = self._ids(fresh)
+        self.known.update((w, i) for w, i in zip(fresh, made) if len(w) <= CACHED_LENGTH)
+        made = iter(made)
+        ids = [next(made) if i is None else i for i in ids] + [np.array([END], "<u4").tobytes()]
+        # each text's words with the closing token behind them, replaced by their ids
+        closes = np.cumsum(sizes + 1) - 1
+        row = np.full(len(codes) + len(sizes), len(words), np.int32)
+        inside = np.ones(len(row), bool)
+        inside[closes] = False
+        row[inside] = codes
+        table, lengths = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(lengths) - lengths
+        parts, n = [], []
+        for at in range(0, len(row), WORDS_AT_ONCE):
+            some = row[at:at + WORDS_AT_ONCE]
+            n.append(lengths[some])
+            ends = np.cumsum(n[-1])
+            parts.append(table[np.arange(ends[-1]) + np.repeat(begins[some] - ends + n[-1], n[-1])])
+        return np.split(np.concatenate(parts), np.cumsum(np.concatenate(n))[closes[:-1]]) if parts else []
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as the tokenizer gives them."""
+        out, whole = [], []
+        for w in words:
             word = w.decode()
-            if word.isalpha() and word == word.lower() and is_normalized("NFC", word):
-                # one run of letters that normalisation leaves alone goes straight to the tokenizer's model
-                self.known[w] = array("I", [t.id for t in self.model.tokenize(word if word.isascii() else w.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+            # one run of letters that normalisation leaves alone goes straight to the tokenizer's model
+            if w.isalpha() and w.islower():
+                out.append(array("I", [t.id for t in self.model.tokenize(word)]).tobytes())
+            elif word.isalpha() and word == word.lower() and is_normalized("NFC", word):
+                out.append(array("I", [t.id for t in self.model.tokenize(w.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes())
             else:
-                whole.append(word)
-        for word, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            self.known[word.encode()] = array("I", e.ids).tobytes()
-        known, closing = self.known.__getitem__, np.array([END], "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(known, ws)) + closing, "<u4") for ws in words]
-        for w in fresh:
-            if len(w) > CACHED_LENGTH:
-                del self.known[w]
+                out.append(b"")
+                whole.append((len(out) - 1, word))
+        for (k, _), e in zip(whole, self.tokenizer.encode_batch_fast([word for _, word in whole], add_special_tokens=False)):
+            out[k] = array("I", e.ids).tobytes()
         return out
 
 

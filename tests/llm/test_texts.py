@@ -191,6 +191,39 @@ def test_words_that_came_again_outlive_a_full_cache(monkeypatch):
     assert b"river" in small.known
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aBzé.,;:!?<|>\u00a0\u2028 \t\n\r\x0b1_'"), max_size=40), min_size=1, max_size=5))
+def test_words_give_the_ids_of_whole_texts(texts):
+    import public_tokenizers
+
+    encoder = packing.remembered("test encoder", lambda: packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")))
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1]
+
+
+def test_repeated_words_are_looked_up_once(monkeypatch):
+    import public_tokenizers
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, word, other=None):
+            self.asked += 1
+            return super().get(word, other)
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    once = [x.tolist() for x in encoder.encode(["river mill.", ""])]
+    encoder.known = Counted(encoder.known)
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 7, raising=False)
+    many = encoder.encode(["river mill. " * 500, ""])
+    assert [x.tolist() for x in many] == [once[0][:-1] * 500 + [1], [1]]
+    assert encoder.known.asked <= 10
+
+
 def test_packing_in_levels(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_PIECES", 300)
     rng = np.random.default_rng(1)
