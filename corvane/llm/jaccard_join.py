@@ -226,9 +226,11 @@ class _Texts:
             import zstandard
 
             packer = zstandard.ZstdCompressor(level=3)
+            forget("encoder")
             for piece in text_pieces(batches, text):
                 blobs = [packer.compress((t or "").encode()) for t in piece.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column(key), pa.array(blobs, pa.binary())], names=["doc", "blob"])
+            give_back()
 
         texts = df.select(F.col(key).cast("long").alias(key), text).mapInArrow(press, "doc long, blob binary")
         texts.where("doc is not null").repartition(buckets, "doc").write.option("path", new_path(self.spark, self.name)).option("compression", "none").bucketBy(buckets, "doc").saveAsTable(self.name)
@@ -243,6 +245,7 @@ class _Texts:
             import zstandard
 
             reader, last, hub = zstandard.ZstdDecompressor(), None, None
+            forget("encoder")
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     b = batch.slice(at, 256)
@@ -255,6 +258,7 @@ class _Texts:
                         keep.append(100 * both >= percent * (len(hub) + len(s) - both))
                     yield pa.RecordBatch.from_pydict({"a": [x for x, k in zip(names, keep) if k], "b": [x for x, k in zip(others, keep) if k]},
                                                      schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            give_back()
 
         return cut_lineage(rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from corvane.llm import mixing, packing, quality, secret_scan, substring_dedup
+from pyspark.sql.types import BooleanType
+
+from corvane.llm import common, mixing, packing, quality, secret_scan, substring_dedup
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, source string, kept string, offset string, size string, n_words string"
@@ -224,6 +226,18 @@ def test_repeated_words_are_looked_up_once(monkeypatch):
     assert encoder.known.asked <= 10
 
 
+def test_other_operators_drop_the_tokenizer(spark, docs):
+    def holds(texts):
+        import sys
+
+        kept = vars(sys.modules["_corvane_worker"]) if "_corvane_worker" in sys.modules else {}
+        return {"holds": [any(k.startswith("encoder") for k in kept) for _ in texts]}
+
+    assert packing.pieces(docs.repartition(8), "word_bpe_49k.json").count()
+    seen = common.map_text(docs.repartition(8), holds, [("holds", BooleanType())]).collect()
+    assert len(seen) == len(TEXTS) and not any(r["holds"] for r in seen)
+
+
 def test_packing_in_levels(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_PIECES", 300)
     rng = np.random.default_rng(1)
