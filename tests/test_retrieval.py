@@ -187,3 +187,36 @@ def test_narrow_fingerprints_come_from_wide_ones(spark):
 
     plan = PLANS["G1_hashed_fingerprint"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") == 1  # each run of words is hashed once
+
+
+def test_few_pairs_are_scored_in_double_precision(monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(5000, 16))
+    v[2500:] = v[:2500] + rng.normal(size=(2500, 16)) * 1e-9  # pairs that single precision cannot tell apart
+    v[4000:4100] = v[7]  # equal ones
+    v[13] = 0.0
+    ids, exact = rng.permutation(5000), []
+    take, keep = R._Best._take, R._Best._keep
+    monkeypatch.setattr(R._Best, "_take", lambda self, at, q_ids, q, l_ids, lib: exact.append(len(at) * len(l_ids)) or take(self, at, q_ids, q, l_ids, lib))
+    monkeypatch.setattr(R._Best, "_keep", lambda self, part, q_ids, mine, rows, *rest: exact.append(len(rows)) or keep(self, part, q_ids, mine, rows, *rest))
+    best = R._Best(R._cosine_block, 10, True)
+    for part in np.array_split(rng.permutation(5000), 2):
+        best.absorb(ids, {"vec": v}, ids[part], {"vec": v[part]})
+    s = np.round(unit(v) @ unit(v).T, R.SCORE_DIGITS)
+    s[np.arange(5000), np.arange(5000)] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :10]
+    assert np.allclose(best.scores, np.take_along_axis(s, order, 1), atol=1e-11, rtol=0)
+    # sums in another order move a score by one in its last digit, so ids are compared where no other score is that near
+    apart = (np.abs(np.diff(np.take_along_axis(s, np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :11], 1), axis=1)) > 2e-12)
+    clear = apart & np.concatenate([np.ones((5000, 1), bool), apart[:, :-1]], axis=1)
+    assert clear.mean() > 0.5 and (best.ids == ids[order])[clear].all()
+    assert (best.ids == ids[order]).mean() > 0.99
+    assert sum(exact) < best.scored / 4
+
+
+def test_tiles_hold_more_library_rows_and_are_not_put_together(sides):
+    queries, library, *_ = sides
+    hits = R._meet(queries, library, ["vec"], ["vec"], lambda: R._Best(R._cosine_block, 6, False), 64, 9)
+    assert hits.count() <= 13 * 6 * 3  # 90 library rows, 36 in a tile
+    plan = hits._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("hashpartitioning(q_tile" in line and "REPARTITION_BY_NUM" in line for line in plan) == 2
