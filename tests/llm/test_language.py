@@ -143,3 +143,72 @@ def test_scores_do_not_depend_on_the_text_laid_out_at_once(spark, monkeypatch):
     monkeypatch.setattr(L, "TEXT_AT_ONCE", 100)
     for a, b in zip(whole, sorted(map(tuple, L.score_documents(df, steps=5, min_count=20).collect())), strict=True):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
+
+
+def test_words_get_the_classes_of_the_rule():
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    words = [b"", b".", b"..!", b"a", b"a.", b"ab", b"ab?!", b"\xc3\xa9", b"\xc3\xa9t\xc3\xa9,", b"the", b"the.", b".a", b"a.b"]
+    words += ["".join(rnd.choice("abé.,;x") for _ in range(rnd.randint(1, 6))).encode() for _ in range(500)]
+    frequent = {b"the": 0, b"ab": 1, b"..!": 2}
+    for array in (pa.array(words, pa.binary()), pa.array([b"zz.", *words], pa.large_binary()).slice(1), pa.chunked_array([words[:7], words[7:]], pa.binary())):
+        assert L.word_classes(array, frequent).tolist() == [L.word_class(w, frequent) for w in words]
+    assert L.word_classes(pa.array([], pa.binary()), {}).tolist() == []
+    assert L.word_classes(pa.array([b"", b""]), {}).tolist() == [L.END, L.END]
+
+
+def test_pairs_of_words_are_trained_inside_a_class(spark, monkeypatch):
+    rnd = random.Random(7)
+    vocabulary = [a + b + "on" for a in "bdfgkmpt" for b in "aeiou"] + [a + b + "im" for a in "bdfgkmpt" for b in "aeiou"]
+    texts = [" ".join(rnd.choice(vocabulary[max(0, i - 8):i + 9]) for i in [rnd.randrange(len(vocabulary))] for _ in range(rnd.randint(0, 40))) for _ in range(160)]
+    rows = [*enumerate(texts), (3, texts[3]), (None, "never seen"), (500, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    weights = np.zeros((L.N_ROWS, L.CLASSES))
+    monkeypatch.setattr(L, "train", lambda counts, steps: weights)
+
+    counts, after = {}, {}
+    for d, t in rows:
+        if not is_out(d):
+            for w in (t or "").encode().split() + [b""]:
+                counts[w] = counts.get(w, 0) + 1
+    ranked = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[: L.FREQUENT]
+    frequent = {w: k for k, w in enumerate(ranked)}
+    totals = np.ones(L.CLASSES)
+    for w, n in counts.items():
+        totals[L.word_class(w, frequent)] += n + 1
+    for d, t in rows:
+        if not is_out(d):
+            for before, _, kind, w in steps_of(t, frequent):
+                if kind >= L.FIRST + L.FREQUENT:
+                    of = after.setdefault((before, kind), {})
+                    of[w] = of.get(w, 0) + 1
+    trained = {}
+    for (before, kind), of in after.items():
+        names = list(of)
+        n, s = np.array([of[w] for w in names]), np.array([(counts[w] + 1) / totals[kind] for w in names])
+        x = np.zeros(len(names))
+        for _ in range(3000):
+            z = 1 + (s * (np.exp(x) - 1)).sum()
+            x += 0.1 * (n - n.sum() * s * np.exp(x) / z - L.PRIOR * x)
+        assert np.abs(n - n.sum() * s * np.exp(x) / z - L.PRIOR * x).max() < 1e-6
+        # all words of the class, those without a pair and the unseen ones add up to 1
+        trained[before, kind] = dict(zip(names, x)), math.log(1 + (s * (np.exp(x) - 1)).sum())
+    assert len(trained) > 60
+
+    plain = {}
+    for r in L.score_documents(df, min_count=10**9).collect():
+        plain.setdefault((r["doc_id"]), r["score"])
+    for chunk_docs, at_once in ((1000, 10**6), (20, 500)):
+        monkeypatch.setattr(L, "TOKENS_AT_ONCE", at_once)  # one part, and several
+        got = L.score_documents(df, min_count=10**9, chunk_docs=chunk_docs, word_pairs=True).collect()
+        assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got) == sorted(-1 if d is None else d for d, _ in rows)
+        text_of = dict(rows)
+        for r in got:
+            gain = 0.0
+            for before, _, kind, w in steps_of(text_of[r["doc_id"]], frequent):
+                weights_of, norm = trained.get((before, kind), ({}, 0.0))
+                gain += (weights_of.get(w, 0.0) - norm) / math.log(10)
+            assert abs(r["score"] - plain[r["doc_id"]] - gain) < 0.01 + 0.005 * abs(gain)
+    held = [(r["score"] - plain[r["doc_id"]], r["n_tokens"]) for r in got if r["held_out"]]
+    assert sum(g for g, _ in held) / sum(n for _, n in held) > 0.01
