@@ -220,3 +220,40 @@ def test_tiles_hold_more_library_rows_and_are_not_put_together(sides):
     assert hits.count() <= 13 * 6 * 3  # 90 library rows, 36 in a tile
     plan = hits._jdf.queryExecution().executedPlan().toString().splitlines()
     assert sum("hashpartitioning(q_tile" in line and "REPARTITION_BY_NUM" in line for line in plan) == 2
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_hybrid_scores_few_pairs_in_double_precision(monkeypatch, twice):
+    rng = np.random.default_rng(8)
+    n, k = 6000, 5
+    vec = rng.normal(size=(n, 8))
+    bits = rng.random((n, 64)) < 0.3
+    if twice:  # every row comes twice: ties at each rank
+        vec[n // 2:], bits[n // 2:] = vec[:n // 2], bits[:n // 2]
+    bits[10] = False
+    ids = rng.permutation(n)
+    lib = {"vec": vec, "fp": np.packbits(bits, axis=1, bitorder="little").view(np.int64)}
+    queries = np.r_[10, rng.choice(n, 149, False)]
+    q = {c: m[queries] for c, m in lib.items()}
+    cells, cosine = [], R._cosine_block
+    monkeypatch.setattr(R, "_cosine_block", lambda a, b: (cells.append(len(a["vec"]) * len(b["vec"])), cosine(a, b))[1])
+    cos = unit(q["vec"]) @ unit(vec).T
+    both = bits[queries].astype(float) @ bits.T
+    tan = both / np.maximum(bits[queries].sum(1)[:, None] + bits.sum(1)[None] - both, 1)
+    own = ids[queries][:, None] == ids[None, :]
+    moments = R._Moments(True)
+    for part in (slice(0, 2500), slice(2500, n)):
+        moments.absorb(ids[queries], q, ids[part], {c: m[part] for c, m in lib.items()})
+    want = np.stack([(~own).sum(1), *[x for s in (cos, tan) for x in ((s * ~own).sum(1), (s * s * ~own).sum(1))]], 1)
+    assert np.abs(moments.acc - want).max() < 1e-8
+    mean, sd = ([np.array([s[i][~own[i]].mean() for i in range(len(s))]) for s in (cos, tan)], [np.array([s[i][~own[i]].std(ddof=1) for i in range(len(s))]) for s in (cos, tan)])
+    q["stats"] = np.stack([mean[0], sd[0], mean[1], sd[1]], 1)
+    score = sum((s - m[:, None]) / (d[:, None] + 1e-9) for s, m, d in zip((cos, tan), mean, sd))
+    score = np.where(own, -np.inf, np.round(score, R.SCORE_DIGITS))
+    best = R._Best(R._hybrid_block, k, True)
+    for part in (slice(0, 2500), slice(2500, n)):
+        best.absorb(ids[queries], q, ids[part], {c: m[part] for c, m in lib.items()})
+    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+    assert (best.ids == ids[order]).all() and np.abs(best.scores - np.take_along_axis(score, order, 1)).max() < 1e-11
+    # the mean and spread of cosines need no pair, and the search only its first rows
+    assert sum(cells) < 0.4 * len(queries) * n
