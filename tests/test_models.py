@@ -81,3 +81,45 @@ def test_mean_pooled_moves_tokens_once_and_no_vectors(spark):
             assert all(abs(a - sum(c) / len(c)) < 1e-12 for r in got for a, c in zip(r["pooled"], zip(*want[r["entity"]])))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_sweep_equals_a_search_per_k_and_keeps_no_vector_per_neighbour(spark, tmp_path):
+    import os
+
+    from corvane.operators import retrieval
+    from corvane.plans import inputs, models as plans
+    from corvane.session import cut_lineage, shared_dir
+
+    rng = np.random.default_rng(5)
+    vec = rng.normal(size=(240, 40)).round(3)
+    rows = [(i, v.tolist(), int(i % 4)) for i, v in enumerate(vec)]
+    rows[9] = (9, None, 1)
+    rows += [rows[20], rows[33], (None, vec[3].tolist(), 2)]  # ids that repeat, and one that is null
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    # no part for some ids: these are nobody's neighbours
+    parts = [(i, f"name {i}", "b", "t", int(i % 7), 10.0 * i) for i in range(30) if i % 11] + [(4, "twice", "b", "t", 3, 5.0)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    sf, ks = str(tmp_path), [1, 5, 30]
+
+    def bytes_kept():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(shared_dir(spark)) for f in files)
+
+    def sweep(**sizes):
+        return {k: sorted((r["query_id"], [[np.nan if x is None else round(x, 5) + 0.0 for x in r[g]] for g in "ABCD"]) for r in f.collect()) for k, f in plans.sweep(spark, sf, ks, **sizes).items()}
+
+    before = bytes_kept()
+    looked_up = sweep()
+    kept = bytes_kept() - before
+    joined = sweep(limit_bytes=0)
+    q, lib = inputs.queries_and_library(spark, sf)
+    hits = cut_lineage(retrieval.topk_cosine(q, lib, max(ks), exclude_self=True))
+    for k in ks:
+        f = plans.features(spark, sf, hits.where(F.col("rank") <= k), (k,), k)[0]
+        want = sorted((r["query_id"], [[np.nan if x is None else round(x, 5) + 0.0 for x in r[g]] for g in "ABCD"]) for r in f.collect())
+        assert len(want) > 200
+        for got in (looked_up[k], joined[k]):
+            assert [r[0] for r in got] == [r[0] for r in want]
+            for a, b in zip(got, want):
+                assert all(np.allclose(x, y, atol=2e-5, equal_nan=True) for x, y in zip(a[1], b[1]))
+    # a vector per neighbour and k was kept before: 36 of 40 numbers per query
+    assert kept < len(rows) * sum(ks) * 40 * 4
